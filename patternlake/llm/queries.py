@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, quality
+from . import bpe, chat, quality, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_chat_format": chat.op3_chat_format,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
