@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, token_counts
+from . import bpe, chat, quality, repeats, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_byte_bpe": bpe.op9_byte_bpe,
