@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, repeats, token_counts
+from . import bpe, chat, near, quality, repeats, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_near_dedup": near.op10_near_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, table
+from .hashing import U as _U
+from .hashing import Rolling, bytes_of, mix
 
 LENGTH, Q = 200, 32
 #: Classes of a bucket that one task refines together; hashes tell the windows of larger ones apart.
@@ -44,49 +46,6 @@ HOT = 2000
 #: Window starts that are hashed at a time; bytes that are refined at a time.
 SEGMENT, BLOCK = 1 << 19, 1 << 20
 
-_U = np.uint64
-
-
-def _series(seed: int) -> tuple[np.ndarray, int, int]:
-    rng = np.random.default_rng(seed)
-    base = int(rng.integers(1 << 62)) * 2 + 1
-    return rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1), base, pow(base, -1, 1 << 64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class Rolling:
-    """Polynomial hashes, modulo 2**64, of any stretch of a byte array."""
-
-    _powers: dict[tuple[int, bool], np.ndarray] = {}
-
-    def __init__(self, data: np.ndarray, seed: int):
-        values, base, inverse = _series(seed)
-        n = len(data)
-        self.inverse = self._power(inverse, n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * self._power(base, n), out=self.sums[1:])
-
-    @classmethod
-    def _power(cls, base: int, n: int) -> np.ndarray:
-        if len(cls._powers.get(base, ())) < n:
-            steps = np.full(max(n, SEGMENT + LENGTH), base, np.uint64)
-            steps[0] = 1
-            cls._powers[base] = np.multiply.accumulate(steps)
-        return cls._powers[base][:n]
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
-
-    def every(self, length: int) -> np.ndarray:
-        m = len(self.sums) - length
-        return _mix((self.sums[length:] - self.sums[:m]) * self.inverse[:m]) if m > 0 else np.zeros(0, np.uint64)
-
-
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     m = len(x) - width + 1
     rows = -(-len(x) // width)
@@ -129,24 +88,15 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, q: int) -> Iterator[tu
         lo_at = np.flatnonzero(new)
         hi_at = np.concatenate((lo_at[1:], [len(window)])) - 1
         lo, hi, at, own = window[lo_at], window[hi_at], gram[lo_at], owner[lo_at]
-        content = _mix(rolling.of(lo, hi + length) + (at - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        content = mix(rolling.of(lo, hi + length) + (at - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
         shift = s - starts[own]
-        yield own, lo + shift, hi + shift, at + shift, _mix(grams[at] + _U(1)), content
-
-
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A string or binary column's bytes, one after another, and where each value ends."""
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+        yield own, lo + shift, hi + shift, at + shift, mix(grams[at] + _U(1)), content
 
 
 def _runs_of_texts(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = _bytes_of(batch["t"])
+            data, ends = bytes_of(batch["t"])
             h, g, c = (batch[x].to_numpy(zero_copy_only=False) for x in ("h", "g", "c"))
             for own, lo, hi, at, key, content in runs(data, ends, length, q):
                 yield pa.RecordBatch.from_arrays(
@@ -169,7 +119,7 @@ def _contents(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = _bytes_of(batch["t"])
+            data, ends = bytes_of(batch["t"])
             starts = np.concatenate(([0], ends[:-1]))
             asked = batch["asked"]
             n = np.diff(asked.offsets.to_numpy())
@@ -249,7 +199,7 @@ def _refine(length: int):
     """Spans of the windows that are repeated; rows come sorted by bucket."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
-        data, ends = _bytes_of(rows["b"].combine_chunks())
+        data, ends = bytes_of(rows["b"].combine_chunks())
         starts = np.concatenate(([0], ends[:-1]))
         n = ends - starts - length + 1
         owner = np.repeat(np.arange(len(n)), n)
@@ -293,7 +243,7 @@ def _window_hashes(length: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 rows = batch.slice(k, 1000)
-                data, ends = _bytes_of(rows["b"])
+                data, ends = bytes_of(rows["b"])
                 starts = np.concatenate(([0], ends[:-1]))
                 n = ends - starts - length + 1
                 owner = np.repeat(np.arange(len(n)), n)
