@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, near, quality, repeats, token_counts
+from . import bpe, chat, near, pii, quality, repeats, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
+    "op5_pii": pii.op5_pii,
     "op6_token_counts": token_counts.op6_token_counts,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_near_dedup": near.op10_near_dedup,
