@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, near, pii, quality, repeats, token_counts
+from . import bpe, chat, forest, near, packing, pii, quality, repeats, secrets, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_pii": pii.op5_pii,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_ann_forest": forest.op8_ann_forest,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_near_dedup": near.op10_near_dedup,
 }
