@@ -14,14 +14,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct matches in each of a worker's two generations of cache; those not met
@@ -136,32 +134,21 @@ def worker_encoder(path: str, pattern: str) -> ByteBPE:
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array) and decoded (binary) of every text."""
 
-    def run(batches: Iterator) -> Iterator:
+    def make():
         bpe = worker_encoder(path, pattern)
-        for rows in batches:
-            rows["ids"] = [bpe.encode(t) for t in rows.pop("t")]
-            rows["decoded"] = [bpe.decode(i) for i in rows["ids"]]
-            yield rows
+        return lambda texts: [(ids := bpe.encode(t), bpe.decode(ids)) for t in texts]
 
-    given = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    kind = given.schema["i"].dataType.simpleString()
-    return given.mapInPandas(run, f"i {kind}, ids array<int>, decoded binary").withColumnRenamed("i", id_col)
+    return map_texts(docs, id_col, text_col, make, "ids array<int>, decoded binary")
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
 
-    def run(batches: Iterator) -> Iterator:
+    def make():
         bpe = worker_encoder(path, pattern)
-        for rows in batches:
-            found = [bpe.round_trip(t) for t in rows.pop("t")]
-            for k, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256")):
-                rows[name] = [x[k] for x in found]
-            yield rows
-
-    given = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    kind = given.schema["i"].dataType.simpleString()
-    return given.mapInPandas(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)
+        return lambda texts: [bpe.round_trip(t) for t in texts]
+
+    return map_texts(docs, id_col, text_col, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

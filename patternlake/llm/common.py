@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,27 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[str]], list[tuple]]], columns: str) -> DataFrame:
+    """The id, as it is, and for each text (null: empty) the values of `columns`.
+
+    `make` runs once per task and gives a function from texts to rows.
+    """
+    given = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    names = [c.split()[0] for c in columns.split(", ")]
+    kind = given.schema["i"].dataType.simpleString()
+    session = docs.sparkSession
+    wanted = pa.schema([(f.name, _ARROW.get(f.dataType.simpleString(), pa.int64())) for f in session.createDataFrame([], columns).schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = make()
+        for batch in batches:
+            rows = rows_of(batch["t"].to_pylist())
+            made = [pa.array([r[k] for r in rows], wanted.field(k).type) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch["i"], *made], ["i", *names])
+
+    return given.mapInArrow(run, f"i {kind}, {columns}").withColumnRenamed("i", id_col)
+
+
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}

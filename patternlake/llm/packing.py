@@ -21,7 +21,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,25 +113,29 @@ def pack_documents(
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("c", "i", "s"), F.lit(shards)).cast("long"))
     kind = rows.schema["i"].dataType.simpleString()
 
-    def run(key: tuple, given: pd.DataFrame) -> pd.DataFrame:
-        given = given.assign(rest=given["n"] % capacity, full=given["n"] // capacity)
-        given = given.sort_values(["rest", "c", "i"], ascending=[False, True, True], kind="stable")
-        lasting = given[(given["rest"] > 0) | (given["n"] == 0)]
-        marks = [(n, None if n == 0 or s is None else s, None if n == 0 else c) for n, s, c in zip(lasting["rest"], lasting["s"], lasting["c"], strict=True)]
-        where = pack(marks, capacity)
-        out = pd.DataFrame({"i": lasting["i"], "piece": lasting["full"], "start": lasting["full"] * capacity, "length": lasting["rest"]})
-        out["bin_id"] = [b for b, _ in where]
-        out["bin_offset"] = [x for _, x in where]
-        whole = given[given["full"] > 0]
-        own = whole.loc[whole.index.repeat(whole["full"])]
-        piece = own.groupby(level=0).cumcount()
-        first = 1 + max((b for b, _ in where), default=-1)
-        full = pd.DataFrame({"i": own["i"], "piece": piece, "start": piece * capacity, "length": capacity, "bin_id": range(first, first + len(own)), "bin_offset": 0})
-        out = pd.concat([out, full], ignore_index=True)
-        out["bin_id"] += key[0] << 32
-        return out
-
-    packed = dealt.groupBy("shard").applyInPandas(run, f"i {kind}, piece long, start long, length long, bin_id long, bin_offset long")
+    def run(given: pa.Table) -> pa.Table:
+        n = given["n"].to_numpy()
+        rest, full = n % capacity, n // capacity
+        rank = pc.rank(given["i"], null_placement="at_end").to_numpy()
+        order = np.lexsort((rank, given["c"].to_numpy(), -rest))
+        lasting = order[(rest[order] > 0) | (n[order] == 0)]
+        sources, clusters = given["s"].to_pylist(), given["c"].to_pylist()
+        where = pack([(int(rest[k]), sources[k] if n[k] else None, clusters[k] if n[k] else None) for k in lasting], capacity)
+        whole = np.repeat(order, full[order])
+        piece = np.arange(len(whole)) - np.repeat(np.cumsum(full[order]) - full[order], full[order])
+        bins = np.array([b for b, _ in where], np.int64)
+        first = bins.max() + 1 if len(bins) else 0
+        columns = {
+            "i": given["i"].take(pa.array(np.concatenate([lasting, whole]))),
+            "piece": np.concatenate([full[lasting], piece]),
+            "start": np.concatenate([full[lasting], piece]) * capacity,
+            "length": np.concatenate([rest[lasting], np.full(len(whole), capacity)]),
+            "bin_id": np.concatenate([bins, first + np.arange(len(whole))]) + (given["shard"][0].as_py() << 32),
+            "bin_offset": np.concatenate([np.array([x for _, x in where], np.int64), np.zeros(len(whole), np.int64)]),
+        }
+        return pa.table(columns)
+
+    packed = dealt.groupBy("shard").applyInArrow(run, f"i {kind}, piece long, start long, length long, bin_id long, bin_offset long")
     return packed.withColumnRenamed("i", id_col)
 
 

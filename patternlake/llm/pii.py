@@ -24,10 +24,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, TRAINING, EPOCHS = 8, 240, 12
@@ -377,20 +378,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id, n_email, n_ip, n_card, n_phone (of the patterns), base, spans (texts as told() writes them)."""
     weights = docs.sparkSession.sparkContext.broadcast((trained().weights, trained().moves))
 
-    def run(batches: Iterator) -> Iterator:
+    def make():
         field = Field(*weights.value)
-        for rows in batches:
-            both = [all_spans(t, field) for t in rows.pop("t")]
-            for k, kind in enumerate(KINDS):
-                rows[f"n_{kind}"] = [sum(x[1] == k for x in base) for base, _ in both]
-            rows["base"] = [told(base) for base, _ in both]
-            rows["spans"] = [told(every) for _, every in both]
-            yield rows
-
-    given = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    kind = given.schema["i"].dataType.simpleString()
+
+        def row(text: str) -> tuple:
+            base, every = all_spans(text, field)
+            return (*[sum(x[1] == k for x in base) for k in range(len(KINDS))], told(base), told(every))
+
+        return lambda texts: [row(t) for t in texts]
+
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return given.mapInPandas(run, f"i {kind}, {counts}, base string, spans string").withColumnRenamed("i", id_col)
+    return map_texts(docs, id_col, text_col, make, f"{counts}, base string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -407,13 +405,13 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the spans in its text replaced; null texts stay null."""
     weights = docs.sparkSession.sparkContext.broadcast((trained().weights, trained().moves))
 
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(*weights.value)
-        for rows in batches:
-            rows[text_col] = [None if t is None else masked(t, all_spans(t, field)[1]) for t in rows[text_col]]
-            yield rows
+        for batch in batches:
+            texts = [None if t is None else masked(t, all_spans(t, field)[1]) for t in batch[text_col].to_pylist()]
+            yield batch.set_column(batch.schema.names.index(text_col), text_col, pa.array(texts, pa.string()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

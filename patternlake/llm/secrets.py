@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -163,16 +163,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, start, end, score (the forest's share for a secret) and is_secret of every candidate."""
     model = model or train(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [(i, a, b, features(t, a, b)) for i, t in zip(rows["i"], rows["t"], strict=True) for a, b in candidates(t)]
-            for k in range(0, len(found), 5000):
-                part = found[k : k + 5000]
-                yield pd.DataFrame({"i": pd.Series([x[0] for x in part], dtype=rows["i"].dtype), "start": [x[1] for x in part], "end": [x[2] for x in part], "f": [x[3] for x in part]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, a, b, features(t, a, b)) for k, t in enumerate(batch["t"].to_pylist()) for a, b in candidates(t)]
+            row, start, end, f = ([x[c] for x in found] for c in range(4))
+            arrays = [batch["i"].take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(f, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["i", "start", "end", "f"])
 
     given = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     kind = given.schema["i"].dataType.simpleString()
-    found = given.mapInPandas(run, f"i {kind}, start long, end long, f array<double>")
+    found = given.mapInArrow(run, f"i {kind}, start long, end long, f array<double>")
     scored = model.transform(found.withColumn("features", array_to_vector("f")))
     score = F.get(vector_to_array("probability"), F.lit(1))
     return scored.select(F.col("i").alias(id_col), "start", "end", score.alias("score"), (F.col("prediction") == 1).alias("is_secret"))

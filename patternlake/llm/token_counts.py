@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the broadcast table; with LONGEST it has some 4 MB at most.
@@ -107,6 +107,18 @@ def special_pattern(path: str) -> regex.Pattern | None:
 _workers: dict[tuple, Counts] = {}
 
 
+class _Tier:
+    """The broadcast table with a name by which workers tell it from an earlier one."""
+
+    def __init__(self, spark: SparkSession, lengths: dict[str, int]):
+        self.shared = spark.sparkContext.broadcast(lengths)
+        self.id = hash(frozenset(lengths.items()))
+
+    @property
+    def value(self) -> dict[str, int]:
+        return self.shared.value
+
+
 def frequent_words(texts: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, size: int = FREQUENT) -> list[str]:
     """The commonest pre-tokens of column t, from every task's summary of all its texts."""
 
@@ -129,25 +141,24 @@ def count_tokens(
     docs: DataFrame, path: str, limit: int, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", size: int = FREQUENT
 ) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every text."""
-    given = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    words = frequent_words(given.select("t"), path, pattern, size)
+    words = frequent_words(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")), path, pattern, size)
     lengths = Counts(path, pattern, {}).lengths(words)
-    tier = docs.sparkSession.sparkContext.broadcast(dict(zip(words, lengths, strict=True)))
+    tier = _Tier(docs.sparkSession, dict(zip(words, lengths, strict=True)))
 
-    def run(batches: Iterator) -> Iterator:
-        key = (path, pattern, tier.id if hasattr(tier, "id") else 0)
+    def make():
+        key = (path, pattern, tier.id)
         if key not in _workers:
             _workers.clear()
             _workers[key] = Counts(path, pattern, tier.value)
         counts = _workers[key]
-        for rows in batches:
-            texts = list(rows.pop("t"))
-            rows["n_tokens"] = [n for k in range(0, len(texts), CHUNK) for n in counts.count_all(texts[k : k + CHUNK])]
-            yield rows
 
-    kind = given.schema["i"].dataType.simpleString()
-    counted = given.select("i", F.octet_length("t").cast("long").alias("n_bytes"), "t").mapInPandas(run, f"i {kind}, n_bytes long, n_tokens long")
-    return counted.select(F.col("i").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        def rows(texts: list[str]) -> list[tuple]:
+            chunks = (texts[k : k + CHUNK] for k in range(0, len(texts), CHUNK))
+            return [(len(t.encode()), n, n > limit) for chunk in chunks for t, n in zip(chunk, counts.count_all(chunk), strict=True)]
+
+        return rows
+
+    return map_texts(docs, id_col, text_col, make, "n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
