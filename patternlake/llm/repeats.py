@@ -136,13 +136,12 @@ def _contents(length: int):
                     [
                         flat.field("k")[part],
                         flat.field("n")[part],
-                        flat.field("hot")[part],
                         batch["h"].take(pa.array(owner[part])),
                         batch["g"].take(pa.array(owner[part])),
                         pa.array(at[part]),
                         pa.array([whole[a:b] for a, b in zip(lo[part], hi[part], strict=True)], pa.binary()),
                     ],
-                    ["k", "n", "hot", "h", "g", "at", "b"],
+                    ["k", "n", "h", "g", "at", "b"],
                 )
 
     return run
@@ -193,6 +192,12 @@ def _spans(windows: np.ndarray, hit: np.ndarray, owner: np.ndarray, length: int)
 
 
 _SPAN = "h long, g long, a long, b long"
+_RUN = "k long, r long, h long, g long, at long, c long"
+
+
+def _whole_rows(df: DataFrame) -> DataFrame:
+    """`df`, with all of its columns in use, so that each reader of it can reuse one exchange."""
+    return df.mapInArrow(lambda batches: batches, df.schema)
 
 
 def _refine(length: int):
@@ -262,29 +267,23 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, hot: int
 
     Spans may overlap; texts without any are left out.
     """
-    found = texts.where(F.octet_length("t") >= length).mapInArrow(
-        _runs_of_texts(length, q), "k long, r long, h long, g long, at long, c long"
-    )
+    found = texts.where(F.octet_length("t") >= length).mapInArrow(_runs_of_texts(length, q), _RUN)
     often = found.groupBy("k").agg(F.sum("c").alias("n")).where("n > 1").select("k")
-    found = found.join(often, "k", "left_semi")
-    classes = found.groupBy("k", "r").agg(F.sum("c").alias("n"), F.min(F.struct("h", "g", "at")).alias("one"))
+    found = _whole_rows(found.join(often, "k", "left_semi"))
+    classes = _whole_rows(found.groupBy("k", "r").agg(F.sum("c").alias("n"), F.min(F.struct("h", "g", "at")).alias("one")).select("k", "r", "n", "one.*"))
     whole = found.join(classes.where("n > 1").select("k", "r"), ["k", "r"], "left_semi").select(
         "h", "g", F.shiftright("at", 24).alias("a"), (F.shiftright("at", 24) + F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF)) + length).alias("b")
     )
     several = classes.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
-    asked = (
-        classes.join(several, "k")
-        .select("one.*", "k", "n", (F.col("m") > hot).alias("hot"))
-        .groupBy("h", "g")
-        .agg(F.collect_list(F.struct("k", "n", "hot", "at")).alias("asked"))
-    )
-    contents = texts.join(asked, ["h", "g"]).select("h", "g", "t", "asked").mapInArrow(
-        _contents(length), "k long, n long, hot boolean, h long, g long, at long, b binary"
-    )
-    partly = (
-        contents.where("not hot").repartition("k").sortWithinPartitions("k").select("k", "n", "h", "g", "at", "b").mapInArrow(_refine(length), _SPAN)
-    )
-    windows = contents.where("hot").mapInArrow(_window_hashes(length), "e long, f long, n long, h long, g long, a long")
+    asked = classes.join(several, "k").select("h", "g", "k", "n", "m", "at")
+
+    def contents(some: DataFrame) -> DataFrame:
+        by_text = some.groupBy("h", "g").agg(F.collect_list(F.struct("k", "n", "at")).alias("asked"))
+        return texts.join(by_text, ["h", "g"]).select("h", "g", "t", "c", "asked").mapInArrow(_contents(length), "k long, n long, h long, g long, at long, b binary")
+
+    few = contents(asked.where(F.col("m") <= hot))
+    partly = few.repartition("k").sortWithinPartitions("k").mapInArrow(_refine(length), _SPAN)
+    windows = contents(asked.where(F.col("m") > hot)).mapInArrow(_window_hashes(length), "e long, f long, n long, h long, g long, a long")
     twice = windows.groupBy("e", "f").agg(F.count("*").alias("m")).where("m > 1").select("e", "f")
     hotly = windows.where("n = 1").join(twice, ["e", "f"], "left_semi").select("h", "g", "a", (F.col("a") + length).alias("b"))
     every = whole.unionByName(partly).unionByName(hotly)
@@ -313,18 +312,21 @@ def _cleaned(length: int, with_text: bool):
                 n_removed.append(n - len(kept))
                 n_spans.append(len(merged))
                 digest.append(hashlib.sha256(kept).hexdigest())
-                left.append(kept)
+                left.append(kept.decode("utf-8", "ignore"))
             columns = [batch["h"], batch["g"], *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(digest, pa.string())]
             names = ["h", "g", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                columns, names = [*columns, pa.array(left, pa.binary())], [*names, "kept"]
+                columns, names = [*columns, pa.array(left, pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, with_text: bool = True, hot: int = HOT) -> DataFrame:
-    """`docs` without its text, with n_bytes, n_removed, n_spans, kept_sha256 and, `with_text`, kept (binary)."""
+    """`docs` without its text, with n_bytes, n_removed, n_spans, kept_sha256 and, `with_text`, kept.
+
+    kept is what remains, without bytes of characters that a cut left incomplete; kept_sha256 is of all bytes.
+    """
     h, g = free_name(docs, "h"), free_name(docs, "g")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(*[docs[c] for c in docs.columns if c != text_col], F.xxhash64(text).alias(h), F.xxhash64(F.lit(7), text).alias(g))
@@ -333,7 +335,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         .groupBy("h", "g")
         .agg(F.first("t").alias("t"), F.count("*").alias("c"))
     )
-    kinds = "h long, g long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    kinds = "h long, g long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     done = texts.join(repeated_spans(texts, length, min(Q, length), hot), ["h", "g"], "left").select("h", "g", "t", "c", "spans").mapInArrow(
         _cleaned(length, with_text), kinds
     )
