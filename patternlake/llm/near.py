@@ -19,9 +19,11 @@ the connected components of the links.
 4. In each bucket the member with most bucket-mates is the hub. Each text is verified
    against the hub it shares most buckets with. Components of these links are found by
    large-star and small-star steps.
-5. The rest: buckets that still hold several components are compared in blocks of
-   signatures, so that every pair of members from different components is seen; those whose
-   signatures agree on 60 % or more (at similarity 0.8 all but 1e-14 do) are verified.
+5. The rest: in buckets that still hold several components, the members outside the
+   largest one are compared with all members, a block of the ones with a block of the others
+   at a time. Members with a partner whose signature agrees on 60 % or more (at similarity
+   0.8 all but 1e-14 do) are verified in their cell, which gives links enough to join what
+   is linked there, not all pairs.
 
 Defined results: null text, and texts without words, are linked only to equal texts
 (null counts as empty); repeated rows are equal texts; ties of a class's smallest
@@ -45,7 +47,7 @@ WORDS, REGISTERS, ROWS, BANDS = 5, 256, 6, 42
 #: Similarity as a fraction, 4/5.
 LEAST = (4, 5)
 #: Share of registers below which signatures rule a link out, and members of a block.
-SURE, BLOCK = 0.6, 128
+SURE, BLOCK = 0.6, 256
 #: Bytes that are hashed at a time.
 SEGMENT = 1 << 19
 _BLANK = np.zeros(256, bool)
@@ -227,52 +229,101 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("h"), F.col("v").alias("label")).unionByName(roots)
 
 
-def _blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs from different components whose signatures agree enough; rows come sorted by cell."""
-    held: list[pa.RecordBatch] = []
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        h, label, side = (rows[x].to_numpy() for x in ("h", "label", "side"))
-        sketch = np.frombuffer(b"".join(rows["s"].to_pylist()), np.uint8).reshape(len(h), REGISTERS)
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        found = [np.zeros((0, 2), np.int64)]
-        for x in left:
-            ok = ((sketch[right] == sketch[x]).sum(axis=1) >= SURE * REGISTERS) & (label[right] != label[x])
-            if i == j:
-                ok &= right > x
-            found.append(np.stack([np.minimum(h[x], h[right[ok]]), np.maximum(h[x], h[right[ok]])], axis=1))
-        pairs = np.concatenate(found)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def cell(batch: pa.RecordBatch, k: int) -> tuple:
-        return tuple(batch[x][k].as_py() for x in ("k", "i", "j"))
-
-    for batch in batches:
-        keys = np.stack([batch[x].to_numpy() for x in ("k", "i", "j")])
-        bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if held and cell(held[0], 0) != cell(batch, a):
-                yield compare(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield compare(pa.Table.from_batches(held))
+_CELL = ["k", "i", "j"]
+
+
+def _by_cell(work):
+    """`work` on the rows of each cell (k, i, j); rows come sorted by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch[x].to_numpy() for x in _CELL])
+            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if held and any(held[0][x][0] != part[x][0] for x in _CELL):
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
+def _plausible(rows: pa.Table) -> pa.RecordBatch:
+    """The rows of a cell that have a partner from another component with a signature close enough."""
+    label, weak = rows["label"].to_numpy(), rows["weak"].to_numpy()
+    sketch = np.frombuffer(b"".join(rows["s"].to_pylist()), np.uint8).reshape(len(label), REGISTERS)
+    left, right = np.flatnonzero(weak), np.flatnonzero(~weak)
+    keep = np.zeros(len(label), bool)
+    for x in left:
+        ok = ((sketch[right] == sketch[x]).sum(axis=1) >= SURE * REGISTERS) & (label[right] != label[x])
+        keep[right[ok]] = True
+        keep[x] = ok.any()
+    found = rows.select([*_CELL, "h", "label", "weak"]).filter(pa.array(keep)).combine_chunks()
+    return found.to_batches()[0] if found.num_rows else pa.RecordBatch.from_pylist([], found.schema)
+
+
+def _linked(rows: pa.Table) -> pa.RecordBatch:
+    """Links in a cell between components, as many as join what is linked there."""
+    h, label, weak = (rows[x].to_numpy() for x in ("h", "label", "weak"))
+    own, shingle, weight = bags(*bytes_of(rows["t"].combine_chunks()))
+    total = np.bincount(own, weights=weight, minlength=len(h))
+    begin = np.searchsorted(own, np.arange(len(h) + 1))
+    order = np.argsort(shingle, kind="stable")
+    postings, of, much = shingle[order], own[order], weight[order]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    pairs = []
+    for x in np.flatnonzero(weak):
+        mine = slice(begin[x], begin[x + 1])
+        lo, hi = np.searchsorted(postings, shingle[mine], "left"), np.searchsorted(postings, shingle[mine], "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        least = np.bincount(of[at], weights=np.minimum(much[at], np.repeat(weight[mine], n)), minlength=len(h))
+        most = total + total[x] - least
+        for y in np.flatnonzero((LEAST[1] * least >= LEAST[0] * most) & (most > 0) & (label != label[x]) & ~weak):
+            a, b = find(int(label[x])), find(int(label[y]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                pairs.append((min(h[x], h[y]), max(h[x], h[y])))
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
 def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and could be linked."""
+    """Verified links between members of a bucket from different components.
+
+    In a bucket, members outside its largest component (weak) are compared with all
+    members. Blocks of BLOCK of the ones and of the others meet in cells; what a cell emits is
+    bounded by its members.
+    """
     labelled = members.join(labels, "h", "left").select("k", "h", F.coalesce("label", "h").alias("label"))
-    mixed = labelled.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y")
-    open_ = cut(labelled.join(mixed.select("k", "m"), "k"))
+    sizes = labelled.groupBy("k", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("k").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top")).where("top.n < m")
+    mixed = mixed.select("k", F.col("top.label").alias("main"), F.ceil(F.col("m") / BLOCK).alias("js"), F.ceil((F.col("m") - F.col("top.n")) / BLOCK).alias("is"))
+    open_ = cut(labelled.join(mixed, "k"))
     wanted = texts.join(open_.select("h").distinct(), "h", "left_semi")
     sketches = wanted.select("h", "t").mapInArrow(_sketched, "h long, s binary")
-    blocks = open_.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("side", F.pmod(F.xxhash64("h", "k"), F.col("blocks")))
-    cells = blocks.select("k", "h", "label", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
-    cells = cells.select("k", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "h", "label", "side").join(sketches, "h")
-    order = ["k", "i", "j"]
-    spread = cells.select(*order, "h", "label", "side", "s").repartition(*order).sortWithinPartitions(*order)
-    return spread.mapInArrow(_blockwise, "a long, b long").distinct()
+    spot, zero = F.xxhash64("h", "k"), F.lit(0).cast("long")
+    strong = open_.select("k", F.explode(F.sequence(zero, F.col("is") - 1)).alias("i"), F.pmod(spot, "js").alias("j"), "h", "label", F.lit(False).alias("weak"))
+    weak = open_.where("label <> main").select("k", F.pmod(spot, "is").alias("i"), F.explode(F.sequence(zero, F.col("js") - 1)).alias("j"), "h", "label", F.lit(True).alias("weak"))
+    kinds = "k long, i long, j long, h long, label long, weak boolean"
+
+    def cells(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+    close = cells(strong.unionByName(weak).join(sketches, "h").select(*_CELL, "h", "label", "weak", "s")).mapInArrow(_by_cell(_plausible), kinds)
+    close = cut(close)
+    return cells(close.join(texts.select("h", "t"), "h").select(*_CELL, "h", "label", "weak", "t")).mapInArrow(_by_cell(_linked), "a long, b long").distinct()
 
 
 def text_labels(texts: DataFrame) -> DataFrame:
@@ -295,8 +346,7 @@ def text_labels(texts: DataFrame) -> DataFrame:
     )
     links = cut(verified(pairs, met))
     labels = components(links)
-    more = verified(_rest(members, labels, met), met)
-    return components(links.unionByName(more))
+    return components(links.unionByName(_rest(members, labels, met)))
 
 
 def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
