@@ -375,5 +375,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), kept (doc_id is class_id)."""
     found = near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    heads = found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    # grouped by a struct, heads are dealt anew for the join, which may then split large classes
+    heads = found.groupBy(F.struct("label").alias("x")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    heads = heads.select("x.label", "class_id", "class_rows")
     return found.join(heads, "label").select("doc_id", "class_id", "class_rows", (F.col("doc_id") == F.col("class_id")).alias("kept"))

@@ -270,7 +270,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, hot: int
     found = texts.where(F.octet_length("t") >= length).mapInArrow(_runs_of_texts(length, q), _RUN)
     often = found.groupBy("k").agg(F.sum("c").alias("n")).where("n > 1").select("k")
     found = _whole_rows(found.join(often, "k", "left_semi"))
-    classes = _whole_rows(found.groupBy("k", "r").agg(F.sum("c").alias("n"), F.min(F.struct("h", "g", "at")).alias("one")).select("k", "r", "n", "one.*"))
+    # grouped by a struct, classes are dealt anew after map-side sums, and the join above may split hot buckets
+    classes = found.groupBy(F.struct("k", "r").alias("x")).agg(F.sum("c").alias("n"), F.min(F.struct("h", "g", "at")).alias("one"))
+    classes = _whole_rows(classes.select("x.*", "n", "one.*"))
     whole = found.join(classes.where("n > 1").select("k", "r"), ["k", "r"], "left_semi").select(
         "h", "g", F.shiftright("at", 24).alias("a"), (F.shiftright("at", 24) + F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF)) + length).alias("b")
     )
