@@ -26,12 +26,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; where it names none, as in tests, a temporary one of the session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="patternlake-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, which survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="patternlake-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,9 @@ is one shingle of all its words). Two texts are linked where the weighted Jaccar
 similarity of their bags, sum of minima over sum of maxima, is 0.8 or more; classes are
 the connected components of the links.
 
-1. Equal texts are merged in the one shuffle of all texts.
+1. Equal texts are merged in the one shuffle of all texts and written as a table that is
+   bucketed by text id, so that later steps join texts without moving them again. The
+   table lies in the shared folder and goes when the classes are known.
 2. Signatures: each unit of a shingle's weight is a Poisson process that throws points
    in time onto REGISTERS registers; a register keeps its first point. Weight levels
    1, 2, 3-4, 5-8, ... form octaves. A process of an octave's whole rate is drawn once
@@ -33,14 +35,16 @@ Different texts share a 64-bit id with probability n*n/2**65.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import cut, free_name, shared_folder, table
 from .hashing import Rolling, U, bytes_of, mix
 
 WORDS, REGISTERS, ROWS, BANDS = 5, 256, 6, 42
@@ -202,9 +206,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text ids whose texts (h, t) are linked."""
+    """The pairs (a, b) of text ids whose texts (h, t) are linked; few texts are b.
+
+    Both sides of the second join are dealt anew, which lets Spark split a b of many pairs.
+    """
     first = texts.select(F.col("h").alias("a"), F.col("t").alias("ta"))
-    second = texts.select(F.col("h").alias("b"), F.col("t").alias("tb"))
+    second = texts.join(pairs.select(F.col("b").alias("h")).distinct(), "h").select("h", "t").mapInArrow(lambda batches: batches, "h long, t string")
+    second = second.select(F.col("h").alias("b"), F.col("t").alias("tb"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
 
@@ -326,34 +334,52 @@ def _rest(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     return cells(close.join(texts.select("h", "t"), "h").select(*_CELL, "h", "label", "weak", "t")).mapInArrow(_by_cell(_linked), "a long, b long").distinct()
 
 
+@contextmanager
+def _database(spark: SparkSession):
+    """A database in the shared folder, dropped with its tables at the end."""
+    name = f"near_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_folder(spark)}/{name}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def text_labels(texts: DataFrame) -> DataFrame:
     """h and label of every text (h, t) that is linked to another; labels are ids of texts."""
-    banded = texts.mapInArrow(_banded, "h long, n long, bands array<long>").select("h", "n", F.explode("bands").alias("k"))
-    shared = banded.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
-    mates = banded.join(shared, "k").groupBy("h").agg(F.first("n").alias("n"), F.sum("m").alias("degree"), F.collect_list("k").alias("ks"))
-    met = cut(texts.select("h", "t").join(mates, "h"))
-    members = met.select("h", "n", "degree", F.explode("ks").alias("k"))
-    hubs = members.groupBy("k").agg(F.max(F.struct("degree", "h", "n")).alias("hub"))
-    pairs = (
-        members.join(hubs, "k")
-        .where(f"h <> hub.h and {LEAST[1]} * least(n, hub.n) >= {LEAST[0]} * greatest(n, hub.n)")
-        .groupBy("h", F.col("hub.h").alias("to"))
-        .agg(F.count("*").alias("times"))
-        .groupBy("h")
-        .agg(F.max(F.struct("times", "to")).alias("best"))
-        .select(F.least("h", "best.to").alias("a"), F.greatest("h", "best.to").alias("b"))
-        .distinct()
-    )
-    links = cut(verified(pairs, met))
-    labels = components(links)
-    return components(links.unionByName(_rest(members, labels, met)))
+    spark = texts.sparkSession
+    with _database(spark) as base:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        texts.write.bucketBy(buckets, "h").option("compression", "zstd").saveAsTable(f"{base}.texts")
+        texts = spark.table(f"{base}.texts")
+        texts.mapInArrow(_banded, "h long, n long, bands array<long>").write.saveAsTable(f"{base}.bands")
+        banded = spark.table(f"{base}.bands").select("h", "n", F.explode("bands").alias("k"))
+        shared = banded.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+        mates = cut(banded.join(shared, "k").groupBy("h").agg(F.first("n").alias("n"), F.sum("m").alias("degree"), F.collect_list("k").alias("ks")))
+        members = mates.select("h", "n", "degree", F.explode("ks").alias("k"))
+        hubs = members.groupBy("k").agg(F.max(F.struct("degree", "h", "n")).alias("hub"))
+        pairs = (
+            members.join(hubs, "k")
+            .where(f"h <> hub.h and {LEAST[1]} * least(n, hub.n) >= {LEAST[0]} * greatest(n, hub.n)")
+            .groupBy("h", F.col("hub.h").alias("to"))
+            .agg(F.count("*").alias("times"))
+            .groupBy("h")
+            .agg(F.max(F.struct("times", "to")).alias("best"))
+            .select(F.col("h").alias("a"), F.col("best.to").alias("b"))
+        )
+        links = cut(verified(cut(pairs), texts))
+        labels = components(links)
+        return components(links.unionByName(_rest(members, labels, texts)))
+
+
+def distinct_texts(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.select(F.xxhash64(text).alias("h"), text.alias("t")).groupBy("h").agg(F.first("t").alias("t"))
 
 
 def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` without its text, with label (of the text's class) and h (of the text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g"), text.alias("t")).groupBy("h", "g").agg(F.first("t").alias("t"))
-    labels = text_labels(texts.select("h", "t")).withColumnsRenamed({"h": "h__", "label": "label__"})
+    labels = text_labels(distinct_texts(docs, text)).withColumnsRenamed({"h": "h__", "label": "label__"})
     h, label = free_name(docs, "h"), free_name(docs, "label")
     keyed = docs.select(*[docs[c] for c in docs.columns if c != text_col], F.xxhash64(text).alias(h))
     joined = keyed.join(labels, keyed[h] == labels["h__"], "left")
@@ -361,15 +387,19 @@ def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate class: the one with the smallest (id, text); columns as given."""
+    """One row of each near-duplicate class, with the columns as given: the one with the smallest id.
+
+    Null ids come last; ties go by the hashes of the text and of the row. Texts travel once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    h, label, row = free_name(docs, "h"), free_name(docs, "label"), free_name(docs, "row")
-    texts = docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g"), text.alias("t")).groupBy("h", "g").agg(F.first("t").alias("t"))
-    labels = text_labels(texts.select("h", "t")).withColumnsRenamed({"h": "h__", "label": "label__"})
-    keyed = docs.withColumn(h, F.xxhash64(text))
-    found = keyed.join(labels, keyed[h] == labels["h__"], "left").select(*[keyed[c] for c in keyed.columns], F.coalesce(labels["label__"], keyed[h]).alias(label))
-    best = found.groupBy(label).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col(id_col).isNull(), id_col, text)).alias(row))
-    return best.select(*[F.col(row).getField(c).alias(c) for c in docs.columns])
+    labels = text_labels(distinct_texts(docs, text))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("tie"))
+    firsts = docs.select(F.xxhash64(text).alias("h"), order.alias("o")).groupBy("h").agg(F.min("o").alias("o"))
+    classes = firsts.join(labels, "h", "left").groupBy(F.coalesce("label", "h").alias("label")).agg(F.min(F.struct("o.last", "o.id", "h")).alias("best"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.xxhash64(text).alias("h"), order.alias("o"), row.alias("row")).groupBy("h").agg(F.min_by("row", "o").alias("row"))
+    return rows.join(classes.select("best.h"), "h", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
