@@ -35,7 +35,7 @@ class Rolling:
     @classmethod
     def _power(cls, base: int, n: int) -> np.ndarray:
         if len(cls._powers.get(base, ())) < n:
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
+            steps = np.full(max(n, (1 << 19) + (1 << 13)), base, np.uint64)
             steps[0] = 1
             cls._powers[base] = np.multiply.accumulate(steps)
         return cls._powers[base][:n]

@@ -52,8 +52,8 @@ WORDS, REGISTERS, ROWS, BANDS = 5, 256, 6, 42
 LEAST = (4, 5)
 #: Share of registers below which signatures rule a link out, and members of a block.
 SURE, BLOCK = 0.6, 256
-#: Bytes that are hashed at a time.
-SEGMENT = 1 << 19
+#: Bytes that are hashed at a time; points that are drawn at a time.
+SEGMENT, POINTS = 1 << 19, 1 << 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -117,7 +117,7 @@ def signatures(own: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     live = np.arange(len(of))
     time, drawn, block = np.zeros(len(of)), 0, 2
     while len(live):
-        step = max(1, (1 << 21) // block)
+        step = max(1, POINTS // block)
         going = []
         for k in range(0, len(live), step):
             p = live[k : k + step]
