@@ -81,6 +81,14 @@ def has_term(text: Column, term: str) -> Column:
     return F.contains(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")), F.lit(f" {' '.join(wanted)} "))
 
 
+def has_prefix(text: Column, start: str) -> Column:
+    """Whether a token of `text` begins with the last token of `start`, after its others."""
+    wanted = _plain_tokens(start)
+    if not wanted:
+        return F.lit(False)
+    return F.contains(F.concat(F.lit(" "), F.array_join(tokens(text), " ")), F.lit(f" {' '.join(wanted)}"))
+
+
 def _plain_tokens(term: str) -> list[str]:
     source, target = _latin()
     folded = term.lower().translate(str.maketrans(source, target))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import brands, search, stats
+from ..operators import brands, rendering, search, stats
 from ..operators import catalog as C
 from .catalog_view import CATALOG_SQL, catalog, load
 
@@ -83,6 +83,13 @@ def match_folded(spark, d):
     return catalog(spark, d).where(search.matches("Élément", ("description",))).select("id")
 
 
+@query(f"""SELECT id FROM cat WHERE len(list_filter({_TOKENS.format('description')}, lambda t: starts_with(t, 'thin'))) > 0 AND NOT list_contains({_TOKENS.format('description')}, 'of')
+OR list_contains({_TOKENS.format('source_object')}, 'src4')""", True)
+def match_boolean(spark, d):
+    description = F.col("description")
+    return catalog(spark, d).where(T.has_prefix(description, "thin") & ~T.has_term(description, "of") | T.has_term(F.col("source_object"), "src4")).select("id")
+
+
 @query("SELECT id, complexity_score FROM cat WHERE description ILIKE '%thin the%' OR name ILIKE '%thin the%' OR source_object ILIKE '%thin the%' OR tags_text ILIKE '%thin the%'", True)
 def like_fallback(spark, d):
     part = "thin the"
@@ -483,3 +490,28 @@ def topology_reach(spark, d):
              UNION ALL SELECT r.conv_id, e.b, r.steps + 1 FROM r JOIN topology_edges e ON e.conv_id = r.conv_id AND e.a = r.b)
            SELECT conv_id, b AS reached, steps FROM r"""
     )
+
+
+# Rendering, rankings' bookkeeping ------------------------------------------------------------------
+
+
+@query("""SELECT id, CASE id % 3
+WHEN 0 THEN '// Pattern: ' || name || chr(10) || '// Category: ' || category || ' | Complexity: ' || complexity_score || '/5' || chr(10) || '// Fields: ' || source_object || chr(10) || '/*' || chr(10) || tags_text || chr(10) || '*/' || chr(10)
+WHEN 1 THEN '<!-- Pattern: ' || name || ' -->' || chr(10) || '<!-- ' || source_hash || ' -->' || chr(10) || '<!-- Structure:' || chr(10) || tags_text || chr(10) || '-->' || chr(10)
+ELSE tags_text END AS shown FROM cat""", True)
+def render_for_editor(spark, d):
+    file = F.element_at(F.array(F.lit("A.cls"), F.lit("b-meta.xml"), F.lit("c.json")), (F.col("id") % 3 + 1).cast("int"))
+    shown = rendering.for_editor(file, F.col("name"), F.col("category"), F.col("complexity_score"), F.col("seen_in_sources"), F.col("source_hash"), F.col("tags_text"))
+    return catalog(spark, d).select("id", shown.alias("shown"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(user_id * 100 / 1000000 * 0.25 + event_id / 1000000 * 1.25), 6) AS cost,
+round(sum(user_id * 100 / 1000000 * 0.25 + event_id / 1000000 * 1.25), 6) > 1.0 AS over_cap FROM events GROUP BY 1""")
+def daily_costs(spark, d):
+    calls = load(spark, d, "events").select("ts", rendering.cost(F.col("user_id") * 100, F.col("event_id"), 0.25, 1.25).alias("spent"))
+    return rendering.daily_costs(calls, "ts", "spent", 1.0)
+
+
+@query("SELECT conv_id, turn, md5(text || ':' || conv_id) AS key FROM conversations")
+def cache_keys(spark, d):
+    return load(spark, d, "conversations").select("conv_id", "turn", rendering.cache_key(F.col("text"), F.col("conv_id")).alias("key"))
