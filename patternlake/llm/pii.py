@@ -90,16 +90,24 @@ _NUMBER = re.compile(r"[0-9](?:[ ().:/_-]{0,3}[0-9]){6,24}")
 _DOT = re.compile(r"(?<!\w)[\[({<]?(?:dot|DOT|Dot)[\])}>]?(?!\w)")
 _AT = re.compile(r"[\[({<] ?(?:at|AT|At) ?[\])}>]")
 _HEX = re.compile(r"[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}")
+#: Four short numbers, with any sign for a dot between them; plain dots alone are the patterns'.
+_BETWEEN = r" ?(?:[\[({<] ?(?:\.|dot) ?[\])}>]|dot|,|\.) ?"
+_FOUR = re.compile(rf"(?i)(?<![0-9])(?!(?:[0-9]+\.){{3}}[0-9])[0-9]{{1,3}}(?:{_BETWEEN}[0-9]{{1,3}}){{3}}(?![0-9])")
+#: Addresses with a run of zeros left out; those of four groups and more without one are in _HEX.
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+_SHORTENED = re.compile(rf"(?<![0-9A-Za-z_])(?:{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![0-9A-Za-z_])")
 
 
 def triggers(text: str) -> list[tuple[int, int]]:
-    found = [m.span() for m in _NUMBER.finditer(text)] if _DIGIT.search(text) else []
+    found = [m.span() for p in (_NUMBER, _FOUR) for m in p.finditer(text)] if _DIGIT.search(text) else []
     if "dot" in text or "DOT" in text or "Dot" in text:
         found += [m.span() for m in _DOT.finditer(text)]
     if "[" in text or "(" in text or "{" in text or "<" in text:
         found += [m.span() for m in _AT.finditer(text)]
     if text.count(":") > 2:
         found += [m.span() for m in _HEX.finditer(text)]
+    if "::" in text:
+        found += [m.span() for m in _SHORTENED.finditer(text)]
     return sorted(found)
 
 
@@ -114,11 +122,10 @@ _CUES = {
 _BAD_CUE = re.compile(r"(?i)(?:id|order|version|isbn|ref|sku|page|serial|ticket|invoice|code|build|issue|seq)\W*$")
 _SPELLED = re.compile(r"(?i)[A-Za-z0-9._%+-]+ ?(?:[\[({<] ?at ?[\])}>]|at|@) ?[A-Za-z0-9-]+(?: ?(?:[\[({<] ?dot ?[\])}>]|dot|\.) ?[A-Za-z0-9-]+)*? ?(?:[\[({<] ?dot ?[\])}>]|dot|\.) ?[A-Za-z]{2,6}")
 _ENDING = re.compile(r"(?i)(?:com|org|net|edu|gov|io|co|info|de|fr|es|uk|eu)$")
-_SIX = re.compile(r"(?i)[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){3,7}")
+_SIX = re.compile(rf"[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{3,7}}|{_SHORTENED.pattern}")
 _PHONE_SHAPE = re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4}[ /.-][0-9]{3,4}[ .-]?[0-9]{3,5}|00[0-9]{1,2}[ .-][0-9 .-]{7,14}")
 _CARD_SHAPE = re.compile(r"[0-9]{4}([./_ -]+)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([./_ -]+)[0-9]{6}\2[0-9]{4,5}")
-_IP_SHAPE = re.compile(r"[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|[\[(]dot[\])]|dot|, ?|\. ) ?[0-9]{1,3}){3}")
-N_FEATURES = 16
+N_FEATURES = 18
 
 
 class Segment:
@@ -128,19 +135,19 @@ class Segment:
     def features(span: str, before: str, words: int) -> np.ndarray:
         digits = _digits(span)
         letters = sum(c.isalpha() for c in span)
-        shape = _PHONE_SHAPE.fullmatch(span)
+        shape, four = _PHONE_SHAPE.fullmatch(span), bool(_FOUR.fullmatch(span))
         out = np.zeros((len(KINDS), N_FEATURES))
         common = [1.0, words / LONGEST, letters > 0 and len(digits) > 0, bool(_BAD_CUE.search(before))]
         groups = re.findall(r"[0-9]+", span)
         own = (
             [bool(_SPELLED.fullmatch(span)), bool(_ENDING.search(span)), "dot" in span.lower(), bool(re.search(r"[\[({<]", span)), letters >= 8, len(digits) <= 4],
-            [bool(_SIX.fullmatch(span)), "::" in span, bool(_IP_SHAPE.fullmatch(span)), len(groups) == 4 and all(map(_octet, groups)), span.count(":") >= 4, letters == 0],
+            [four or bool(_SIX.fullmatch(span)), "::" in span, four, len(groups) == 4 and all(map(_octet, groups)), span.count(":") >= 4, letters == 0],
             [bool(_CARD_SHAPE.fullmatch(span)), 14 <= len(digits) <= 19 and luhn(digits), 14 <= len(digits) <= 19, span[:1] in "3456", letters == 0, len(groups) >= 3],
             [bool(shape), 9 <= len(digits) <= 13, "(" in span, len(groups) >= 3, letters == 0, span[:1] in "(0"],
         )
         for k in range(len(KINDS)):
             cue = bool(_CUES[k].search(before))
-            row = [*common, cue, *own[k], bool(own[k][0]) and cue, bool(own[k][0]) and bool(own[k][1]), bool(own[k][0]) and common[3], not own[k][0], bool(span[:1] in _EDGE or span[-1:] in _EDGE)]
+            row = [*common, cue, *own[k], bool(own[k][0]) and cue, bool(own[k][0]) and bool(own[k][1]), bool(own[k][0]) and common[3], not own[k][0], bool(span[:1] in _EDGE or span[-1:] in _EDGE), "," in span, bool(re.search(r"[0-9] ?[\[({<]", span))]
             out[k] = row
         return out
 
@@ -152,9 +159,9 @@ def _segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
         before = text[max(0, tokens[i][0] - 16) : tokens[i][0]]
         for n in range(1, min(LONGEST, len(tokens) - i) + 1):
             start, end = tokens[i][0], tokens[i + n - 1][1]
-            while end > start and text[end - 1] in _EDGE:
+            while end > start and text[end - 1] in _EDGE and text[end - 2 : end] != "::":
                 end -= 1
-            while start < end and text[start] in _EDGE:
+            while start < end and text[start] in _EDGE and text[start : start + 2] != "::":
                 start += 1
             span = text[start:end]
             if len(span) <= 80 and triggers(span):
@@ -259,8 +266,14 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
             return f"{word()}{rng.choice(['', '.' + word(), number(2)])}{a}{host}{b}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
         if kind == 1:
             if rng.random() < 0.5:
-                return ":".join(f"{rng.randrange(65536):x}" for _ in range(8))
-            return rng.choice(["[.]", " dot ", "(.)", " . ".strip() + " "]).join(str(rng.randrange(256)) for _ in range(4))
+                groups = [f"{rng.randrange(65536):x}" for _ in range(8)]
+                if rng.random() < 0.5:
+                    return ":".join(groups)
+                a = rng.randrange(7)
+                return ":".join(groups[:a]) + "::" + ":".join(groups[a + rng.randint(2, min(7, 8 - a)) :])
+            numbers = [str(rng.randrange(10 ** rng.randint(1, 3)) % 256) for _ in range(4)]
+            sep = rng.choice(["[.]", " dot ", "(.)", ". ", "[dot]", "(dot)", "dot", ", ", ""])
+            return sep.join(numbers) if sep else ".".join(numbers[:3]) + "[.]" + numbers[3]
         if kind == 2:
             x, sep = card(), rng.choice([".", "/", "_", "  "])
             return sep.join((x[:4], x[4:8], x[8:12], x[12:]))
@@ -280,6 +293,10 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
         lambda: f"ticket {number(4)}/{number(6)}",
         lambda: ":".join(number(2) for _ in range(4)),
         lambda: f"{number(6)} {number(6)}",
+        lambda: ", ".join(number(rng.randint(1, 3)) for _ in range(rng.randint(4, 6))),
+        lambda: ", ".join(number(rng.randint(1, 2)) for _ in range(4)),
+        lambda: f"{rng.choice(('add', 'cafe', 'dec', 'bad', 'ace'))}::{rng.choice(('add', 'fade', 'dec', 'be', 'face'))}",
+        lambda: f"{number(2)}:{number(2)}:{number(2)}",
     ]
     out = []
     for _ in range(n):
@@ -289,9 +306,10 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
                 text += " " + rng.choice(decoys)()
             else:
                 kind = rng.randrange(4)
-                text += " " + rng.choice(cues[kind])
-                text = text.rstrip() + " "
                 x = entity(kind)
+                # numbers with commas are an address only where the text says so
+                text += " " + rng.choice(cues[kind][: 3 if "," in x else 4])
+                text = text.rstrip() + " "
                 marks.append((len(text), kind, len(text) + len(x)))
                 text += x
             text += rng.choice(["", ".", ",", ""]) + " " + " ".join(word() for _ in range(rng.randint(1, 3)))
@@ -307,7 +325,9 @@ def trained(n: int = TRAINING, epochs: int = EPOCHS, seed: int = 1) -> Field:
         tokens = [m.span() for m in _WORD.finditer(text)]
         segments = _segments(text, tokens)
         place = {(s[2], s[3]): k for k, s in enumerate(segments)}
-        gold = {place[a, b]: kind for a, kind, b in marks if (a, b) in place}
+        if lost := [text[a:b] for a, _, b in marks if (a, b) not in place]:
+            raise ValueError(f"no candidate segment for {lost}")
+        gold = {place[a, b]: kind for a, kind, b in marks}
         if segments:
             examples.append((len(tokens), segments, gold))
     field, order = Field(), random.Random(seed)
