@@ -1,7 +1,11 @@
 """Secret scans: a pattern finds candidates, a random forest removes false positives.
 
 A candidate is a run of at least SHORTEST characters of the alphabets in which keys and
-tokens are written. Its features are its length, the likelihood of its character
+tokens are written, or what its context makes one whatever its characters: the value after a
+cue such as password or key (quoted, or up to the next blank), the password or token before
+the @ of an address, each of at least FLOOR characters, and a quoted value without blanks of
+at least QUOTED. A run ends where such a value starts that
+reaches its end; other candidates may lie in each other. Its features are its length, the likelihood of its character
 transitions under prose, dictionary coverage, shares of character classes, entropy,
 whether it lies in a path or address, and the words around it. The forest is Spark's, trained
 on LABELLED findings that are generated with labels from a fixed seed; their number bounds what
@@ -18,6 +22,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -32,9 +37,23 @@ from pyspark.sql import functions as F
 from .common import table
 
 SHORTEST, LABELLED, TREES, DEPTH = 20, 3000, 30, 8
+FLOOR, QUOTED = 4, 8
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % SHORTEST)
+#: A cue with what may stand between it and its value.
+_NAMED = re.compile(
+    r"(?i)(?:token|secret|passw|passphrase|passcode|pwd|key|auth|bearer|credential|private|signature)[\w-]{0,30}[\"'`]?\]?\s{0,4}(?:=>|:=|==|[=:])\s{0,4}"
+    r"|\b(?:password|passwd|passphrase|passcode|pwd|secret|token|bearer|key)(?:[ \t]{1,4}is)?[ \t]{1,4}"
+)
+_IN_QUOTES = {q: re.compile(rf"{q}((?:\\.|[^{q}\\\r\n])*){q}") for q in "\"'`"}
+#: Up to a blank, a quote or the next name of a list such as a query string.
+_PLAIN = re.compile(r"(?:(?![&;,|?][\w.-]{1,40}[=:])[^\s\"'`<>])+")
+_QUOTED = re.compile(r"([\"'`])([^\s\"'`]{%d,})\1" % QUOTED)
+_USERINFO = re.compile(r"://([^\s/\"'<>]+)@")
+_PLACEHOLDER = re.compile(r"(?i)[$%%<{\[(*]|x{3,}|(?:your|example|change_?me|none|null|nil|true|false|required|optional|string|str|int)\b|\w+[.(\[][A-Za-z_\"']".replace("%%", "%"))
 _LETTERS = re.compile(r"[a-z]{3,}")
 _CUE = re.compile(r"(?i)token|secret|passw|pwd|api|key|auth|bearer|credential|private|signature")
+#: Right before a value.
+_SECRET_CUE = re.compile(r"(?i)(?:passw\w*|passphrase|passcode|pwd|secret\w*|token|(?:api|access|auth|private|secret)[_ -]?key)[\"'`]?\]?\s*(?:=>|:=|==|[=:]|is)?\s*[\"'`]?$")
 _INNOCENT = re.compile(r"(?i)commit|sha|md5|checksum|digest|uuid|guid|etag|hash|revision|build|image|data:|file|path|href|src|id\b")
 #: Everyday words of the languages at hand, for dictionary coverage and transitions.
 _WORDS = (
@@ -97,18 +116,55 @@ def features(text: str, start: int, end: int) -> list[float]:
         float(bool(re.search(r"[=:]\s*[\"'`]?$", before))),
         float(bool(re.match(r"(?:AKIA|ASIA|ghp_|gho_|glpat-|sk_live_|sk-|xox[bp]-|eyJ|AIza)", span))),
         float(bool(re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
+        float(bool(_PLACEHOLDER.match(span))),
+        float(bool(re.search(r"://[^\s/]*$", before)) and after[:1] == "@"),
+        float(any(c.isspace() for c in span)),
+        float(bool(_SECRET_CUE.search(near))),
     ]
 
 
+def values(text: str) -> Iterator[tuple[int, int]]:
+    """What the context makes a candidate; in time linear in the text."""
+    m = _NAMED.search(text)
+    while m:
+        start = at = m.end()
+        quoted = _IN_QUOTES[text[at]].match(text, at) if text[at : at + 1] in _IN_QUOTES else None
+        if quoted:
+            yield quoted.span(1)
+        else:
+            start += text[at : at + 1] in _IN_QUOTES
+            if plain := _PLAIN.match(text, start):
+                end = plain.end()
+                # a long value is not searched for further names, it is a candidate with what they name
+                at = end if end - start > 64 else at
+                while end > start and text[end - 1] in ".=~-,;:)]}" and text[end - 2 : end] != "==":
+                    end -= 1
+                yield start, end
+        m = _NAMED.search(text, at)
+    for m in _QUOTED.finditer(text):
+        yield m.span(2)
+    for m in _USERINFO.finditer(text):
+        yield m.start(1) + m[1].find(":") + 1, m.end(1)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    found = []
+    found = {(a, b) for a, b in values(text) if b - a >= FLOOR}
+    ends: dict[int, int] = {}
+    for a, b in found:
+        ends[a] = max(b, ends.get(a, 0))
+    starts = sorted(ends)
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
         while end > start and text[end - 1] in ".=~-" and not text[end - 2 : end] == "==":
             end -= 1
+        # what a value has to the end of the run, with padding or a name before it, isn't a candidate twice
+        for a in starts[bisect_left(starts, start) : bisect_left(starts, end)]:
+            if ends[a] >= end:
+                end = a
+                break
         if end - start >= SHORTEST:
-            found.append((start, end))
-    return found
+            found.add((start, end))
+    return sorted(found)
 
 
 def labelled(n: int, seed: int) -> Iterator[tuple[str, int, int, int]]:
@@ -119,6 +175,19 @@ def labelled(n: int, seed: int) -> Iterator[tuple[str, int, int, int]]:
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve tion ment ing eau oi ung sch heit ción mente que ado ez".split()
     long_word = lambda k: "".join(rng.choice(syllables) for _ in range(40))[:k]
     name = lambda: rng.choice(_WORDS)
+    cues = ("password", "passwd", "pwd", "secret", "SECRET", "db_password", "PASSWORD", "api_key", "passphrase", "token")
+
+    def password() -> str:
+        if rng.random() < 0.4:
+            return pick(alnum + "!$%&*#?^", rng.randint(7, 24))
+        x = "".join(rng.choice((name(), long_word(rng.randint(3, 7)))) for _ in range(rng.randint(1, 2)))
+        x = rng.choice((x, x.capitalize(), x.replace("o", "0").replace("e", "3")))
+        return x + pick(string.digits, rng.randint(1, 4)) + rng.choice(("", "", pick("!$%&*#?", 1), pick("!$&#", 1) + pick(string.digits, 1)))
+
+    def quoted(cue: str, value: str) -> tuple[str, str, str]:
+        q = rng.choice(('"', "'", "", ""))
+        return cue + rng.choice((" = ", ": ", "=", " := ")) + q, value, q
+
     secrets = [
         lambda: (rng.choice(("token", "api_key", "secret", "auth_token", "access_key", "password", "client_secret")) + rng.choice((' = "', ": '", "=", ": ", ' : "')), pick(hexa, rng.choice((32, 40, 40, 40, 48, 64))), rng.choice(('"', "'", "", " "))),
         lambda: (rng.choice(("key=", "aws_secret_access_key = ", 'secret: "', "Authorization: Bearer ", "")), pick(base, rng.choice((40, 44, 32))), ""),
@@ -126,6 +195,13 @@ def labelled(n: int, seed: int) -> Iterator[tuple[str, int, int, int]]:
         lambda: (rng.choice(("", "token ", "use ")), rng.choice(("ghp_", "glpat-", "sk_live_", "xoxb-", "AIza", "sk-")) + pick(alnum, rng.choice((24, 32, 36))), ""),
         lambda: (rng.choice(("jwt ", "bearer ", "")), "eyJ" + pick(alnum, 30) + "." + pick(alnum, 60) + "." + pick(alnum, 43), ""),
         lambda: (rng.choice(("PASSWORD=", "pwd: ", 'passwd = "')), pick(alnum + "_-", rng.randint(20, 30)), ""),
+        lambda: quoted(rng.choice(cues), password()),
+        lambda: quoted(rng.choice(cues), password()),
+        lambda: (rng.choice(("password", "token", "pwd", "secret", "passcode", "api_key")) + rng.choice((": ", "=", " is ", " ")), password(), ""),
+        lambda: quoted(rng.choice(("api_key", "access_key", "token", "secret", "client_secret")), pick(rng.choice((hexa, alnum)), rng.randint(8, 19))),
+        lambda: (rng.choice(("postgres", "mysql", "https", "redis", "amqp")) + "://" + rng.choice((name() + ":", ":")), password(), "@" + name() + rng.choice(("", ".example.com", ":5432/" + name()))),
+        lambda: (rng.choice(("connect('app', '", "login('", "auth('me', '")), pick(alnum + "!$%&*#@?", rng.randint(12, 24)), "')"),
+        lambda: (rng.choice(('passphrase = "', 'password: "')), " ".join(name() for _ in range(rng.randint(4, 6))), '"'),
     ]
     decoys = [
         lambda: (" ", long_word(rng.randint(20, 45)), rng.choice((" ", ".", ","))),
@@ -142,6 +218,12 @@ def labelled(n: int, seed: int) -> Iterator[tuple[str, int, int, int]]:
         lambda: ("data:image/png;base64,", pick(base, 160), ""),
         lambda: (" ", rng.choice(syllables) * rng.randint(11, 20), " "),
         lambda: (" ", "-".join(name() for _ in range(rng.randint(5, 8))), " "),
+        lambda: (rng.choice(("key", "token", "the secret", "password", "auth", "private", "keyboard", "author")) + rng.choice((" ", " is ", ": ")), rng.choice((name(), long_word(rng.randint(4, 12)))), rng.choice((" ", ".", ","))),
+        lambda: quoted(rng.choice(("key", "keyword", "sort_key", "primary_key", "author", "token_type")), rng.choice((name(), name() + "_" + name(), long_word(rng.randint(4, 12))))),
+        lambda: quoted(rng.choice(cues), rng.choice(("None", "null", "required", "string", "${" + name().upper() + "}", "<your-" + name() + ">", "********", "xxxxxxxx", "request." + name(), "os.environ['" + name() + "']", "get_" + name() + "()", "{{ " + name() + " }}", "example"))),
+        lambda: (rng.choice(("= '", '("', ': "', "`")), rng.choice((long_word(rng.randint(8, 18)), name() + "_" + name() + "_" + name(), name() + "." + name() + "." + name(), pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2))), rng.choice(('"', "'", "`"))),
+        lambda: (rng.choice(("key: ", "max_tokens = ", "tokens: ", "key = ")), pick(string.digits, rng.randint(4, 6)), ""),
+        lambda: ("https://", name() + "@" + name(), ".example.com"),
     ]
     while n > 0:
         secret = rng.random() < 0.45

@@ -1,0 +1,48 @@
+import time
+
+import pytest
+
+from patternlake.llm import secrets
+
+SHORT = (
+    ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"),
+    ("pwd: hunter2hunter2", "hunter2hunter2"),
+    ('api_key = "a1b2c3d4e5f6a7b8"', "a1b2c3d4e5f6a7b8"),
+    ("postgres://app:s3cr3t!Pw@db", "s3cr3t!Pw"),
+    ('SECRET: "k9$Lm2#pQ8@xR4vT7wZ1yB"', "k9$Lm2#pQ8@xR4vT7wZ1yB"),
+)
+INNOCENT = ("the key point is this", "password: required", "password = None", "token = request.token", "the author wrote 'something'", "see https://docs.example.com/a")
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.train(spark)
+
+
+def found(spark, model, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.find_secrets(docs, model=model).where("is_secret").collect()
+    return {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in rows}
+
+
+def test_short_and_odd_secrets(spark, model):
+    texts = [f"é we set {t} there" for t, _ in SHORT]
+    assert found(spark, model, texts) == {(k, value) for k, (_, value) in enumerate(SHORT)}
+    assert found(spark, model, INNOCENT) == set()
+
+
+def test_values():
+    of = lambda text: [text[a:b] for a, b in secrets.candidates(text)]
+    assert of('token: password: "a b\\"c d"') == ["password", 'a b\\"c d']
+    assert of("?user=me&token=abcd&key=efgh") == ["abcd", "efgh"]
+    assert of("https://abcdef@host") == ["abcdef"] and of("pwd='abcd") == ["abcd"] and of("pwd=abc") == []
+    assert of("key = '" + "a1" * 20 + "='") == ["a1" * 20 + "="]
+    assert of("password=" + "a1" * 20 + " x") == ["a1" * 20] and of("see https://ghp_" + "a1" * 12 + "@host") == ["ghp_" + "a1" * 12]
+    assert of("key=a,b," + "a1" * 20) == ["a,b," + "a1" * 20, "a1" * 20]
+
+
+@pytest.mark.parametrize("text", ["key=" * 50_000, 'key="' * 50_000, "://a" * 50_000, "key " * 50_000, "'" * 200_000, "://" + "a@" * 50_000])
+def test_long_texts_stay_linear(text):
+    began = time.perf_counter()
+    secrets.candidates(text)
+    assert time.perf_counter() - began < 10
