@@ -4,7 +4,7 @@ A tree gives each vector a string of BITS bits, the sides of BITS random orthogo
 hyperplanes on which it lies, and is kept as a sorted array of these strings. A query
 descends in each tree to its longest matching prefix, by binary search; then all trees
 ascend together, one bit at a time, until the rows that share a prefix, counted once a
-tree, are as many as the rows of the forest. Of these the share SCORED that most trees
+tree, are as many as the rows of the forest (or 8 * FEWEST). Of these the share SCORED that most trees
 met, at least FEWEST, are scored in double precision; the others are never looked at.
 
 Rows are dealt by hash into shards with a forest each, and every query of the stated set
@@ -86,7 +86,7 @@ class Forest:
         while (low < high).any():
             middle = (low + high + 1) // 2
             lo, hi = self.ranges(keys, middle)
-            enough = (hi - lo).sum(axis=1) >= len(self.ids)
+            enough = (hi - lo).sum(axis=1) >= max(len(self.ids), 8 * FEWEST)
             low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
         lo, hi = self.ranges(keys, low)
         for q in range(len(keys)):
