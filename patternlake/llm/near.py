@@ -28,9 +28,13 @@ the connected components of the links.
    is linked there, not all pairs.
 
 Defined results: null text, and texts without words, are linked only to equal texts
-(null counts as empty); repeated rows are equal texts; ties of a class's smallest
-doc_id are harmless as the id is what is returned; an empty table gives no rows.
-Different texts share a 64-bit id with probability n*n/2**65.
+(null counts as empty); very long texts are read whole, in stretches; repeated rows are
+equal texts; one row of each class is kept: that with the smallest id, null ids last, then by
+the hashes of text and row, and then any one of rows that are alike; an empty table gives no
+rows; columns of any other name pass through.
+Texts are told apart by 128 bits. Inside, texts go by a 64-bit id; where two texts have
+the same (n*n/2**65 pairs of n texts: 270 of 1e11), only one of them is looked at for
+links, and no other text is put into its class.
 """
 
 from __future__ import annotations
@@ -346,7 +350,7 @@ def _database(spark: SparkSession):
 
 
 def text_labels(texts: DataFrame) -> DataFrame:
-    """h and label of every text (h, t) that is linked to another; labels are ids of texts."""
+    """h, g and label of every text (h, g, t) that is linked to another; labels are ids of texts."""
     spark = texts.sparkSession
     with _database(spark) as base:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -369,43 +373,67 @@ def text_labels(texts: DataFrame) -> DataFrame:
         )
         links = cut(verified(cut(pairs), texts))
         labels = components(links)
-        return components(links.unionByName(_rest(members, labels, texts)))
+        labels = components(links.unionByName(_rest(members, labels, texts)))
+        return cut(labels.join(texts.select("h", "g"), "h"))
+
+
+def _ids(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g")]
 
 
 def distinct_texts(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.select(F.xxhash64(text).alias("h"), text.alias("t")).groupBy("h").agg(F.first("t").alias("t"))
+    """One text for each h, that with the smallest g."""
+    return docs.select(*_ids(text), text.alias("t")).groupBy("h").agg(F.min("g").alias("g"), F.min_by("t", "g").alias("t"))
+
+
+def _class(label: Column, h: Column, g: Column) -> Column:
+    """What the rows of a class have in common: a label, or the text where it has no link."""
+    return F.when(label.isNull(), F.struct(h.alias("h"), g.alias("g"))).otherwise(F.struct(label.alias("h"), F.lit(None).cast("long").alias("g")))
+
+
+def _order(docs: DataFrame, id_col: str) -> Column:
+    """By id, null ids last, then by the hash of the row."""
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("tie"))
 
 
 def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without its text, with label (of the text's class) and h (of the text)."""
+    """`docs` without its text, with h and g (of the text) and label, a struct that the rows of a class share."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    labels = text_labels(distinct_texts(docs, text)).withColumnsRenamed({"h": "h__", "label": "label__"})
-    h, label = free_name(docs, "h"), free_name(docs, "label")
-    keyed = docs.select(*[docs[c] for c in docs.columns if c != text_col], F.xxhash64(text).alias(h))
-    joined = keyed.join(labels, keyed[h] == labels["h__"], "left")
-    return joined.select(*[keyed[c] for c in keyed.columns], F.coalesce(labels["label__"], keyed[h]).alias(label))
+    labels = text_labels(distinct_texts(docs, text)).withColumnsRenamed({"h": "h__", "g": "g__", "label": "label__"})
+    h, g, label = (free_name(docs, x) for x in ("h", "g", "label"))
+    keyed = docs.select(*[docs[c] for c in docs.columns if c != text_col], *[x.alias(n) for x, n in zip(_ids(text), (h, g), strict=True)])
+    joined = keyed.join(labels, (keyed[h] == labels["h__"]) & (keyed[g] == labels["g__"]), "left")
+    return joined.select(*[keyed[c] for c in keyed.columns], _class(labels["label__"], keyed[h], keyed[g]).alias(label))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate class, with the columns as given: the one with the smallest id.
-
-    Null ids come last; ties go by the hashes of the text and of the row. Texts travel once.
-    """
+    """One row of each near-duplicate class, with the columns as given. Texts travel once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     labels = text_labels(distinct_texts(docs, text))
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("tie"))
-    firsts = docs.select(F.xxhash64(text).alias("h"), order.alias("o")).groupBy("h").agg(F.min("o").alias("o"))
-    classes = firsts.join(labels, "h", "left").groupBy(F.coalesce("label", "h").alias("label")).agg(F.min(F.struct("o.last", "o.id", "h")).alias("best"))
+    order = _order(docs, id_col).alias("o")
+    firsts = docs.select(*_ids(text), order).groupBy("h", "g").agg(F.min("o").alias("o"))
+    classes = firsts.join(labels, ["h", "g"], "left").groupBy(_class(F.col("label"), F.col("h"), F.col("g")).alias("c"))
+    best = classes.agg(F.min(F.struct("o.last", "o.id", "h", "g")).alias("best")).select("best.h", "best.g")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.xxhash64(text).alias("h"), order.alias("o"), row.alias("row")).groupBy("h").agg(F.min_by("row", "o").alias("row"))
-    return rows.join(classes.select("best.h"), "h", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(*_ids(text), order, row.alias("row")).groupBy("h", "g").agg(F.min_by("row", "o").alias("row"))
+    return rows.join(best, ["h", "g"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), kept (doc_id is class_id)."""
-    found = near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id (smallest id of the class; null where all are), class_rows and kept (one row of each class) of every row."""
+    found = near_classes(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "t")
+    numbered = found.select("i", "h", "g", "label", F.struct(F.col("i").isNull().alias("last"), F.col("i").alias("id"), "h", "g").alias("o"))
+    # rows alike in id and text are first counted, and one of them is told from the others by its number
+    alike = numbered.groupBy("label", "o").agg(F.count("*").alias("n"))
     # grouped by a struct, heads are dealt anew for the join, which may then split large classes
-    heads = found.groupBy(F.struct("label").alias("x")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
-    heads = heads.select("x.label", "class_id", "class_rows")
-    return found.join(heads, "label").select("doc_id", "class_id", "class_rows", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    heads = alike.groupBy(F.struct("label").alias("x")).agg(F.min("o").alias("first"), F.sum("n").alias("class_rows"))
+    heads = heads.select("x.label", "first", "class_rows")
+    joined = alike.join(heads, "label").select("o", "n", "first", "class_rows")
+    rows = joined.select("o", "first", "class_rows", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+    return rows.select(F.col("o.id").alias(id_col), F.col("first.id").alias("class_id"), "class_rows", ((F.col("o") == F.col("first")) & (F.col("k") == 1)).alias("kept"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_rows, kept (one row of each class)."""
+    return near_groups(table(spark, sf_dir, "documents"))

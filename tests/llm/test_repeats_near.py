@@ -128,7 +128,7 @@ def test_near(spark, near_texts, block, monkeypatch):
     assert found.columns[:2] == ["doc_id", "label"]
     got = defaultdict(set)
     for r in found.collect():
-        got[r["label_"]].add(r["doc_id"])
+        got[tuple(r["label_"])].add(r["doc_id"])
     want = defaultdict(set)
     for k, c in enumerate(classes(near_texts)):
         want[c].add(k)
@@ -138,6 +138,27 @@ def test_near(spark, near_texts, block, monkeypatch):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(c) for c in want.values())
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    text = "the same text in every one of these rows of the table"
+    rows = [(1, text), (1, text), (None, "only a null id has this one"), (None, "only a null id has this one"), (None, text), (3, "c"), (2, "c"), (2, "d"), (5, None), (4, "")]
+    found = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    told = Counter((r["doc_id"], r["class_id"], r["class_rows"], r["kept"]) for r in found)
+    assert told == Counter(
+        [(1, 1, 3, True), (1, 1, 3, False), (None, 1, 3, False), (None, None, 2, True), (None, None, 2, False), (2, 2, 2, True), (3, 2, 2, False), (2, 2, 1, True), (4, 4, 2, True), (5, 4, 2, False)]
+    )
+    kept = near.keep_one(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, h int")).collect()
+    assert len(kept) == 5 and {r["doc_id"] for r in kept} == {1, None, 2, 4}
+
+
+def test_equal_ids_of_texts_merge_nothing(spark, monkeypatch):
+    real = near._ids
+    monkeypatch.setattr(near, "_ids", lambda text: [near.F.lit(1).cast("long").alias("h"), real(text)[1]])
+    rows = [(1, "a b c d e f g"), (2, "something else altogether is said here"), (3, "a b c d e f g")]
+    found = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found) == [(1, 1), (2, 2), (3, 1)]
+
+
 def test_signatures(near_texts):
     texts = pa.array([t or "" for t in near_texts])
     sig = np.concatenate([s for *_, s in near._signed(texts)])
