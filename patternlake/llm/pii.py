@@ -6,11 +6,11 @@ LONGEST words by features of the whole span, plus the transition between neighbo
 labels, and a dynamic programme over (position, label) picks boundaries and types
 together. It is trained by likelihood on TRAINING generated sentences (a fixed
 seed, so every run has the same weights), on the driver, and is some 200 numbers.
-An entity holds a trigger and has 80 characters at most, so windows of 160 on either
-side of the triggers lose nothing.
+An entity holds a trigger and has MOST characters at most, so windows of twice as many on either
+side of the triggers, widened to whole words, lose nothing. A window is labelled as a whole.
 
-Defined results: null text is the empty text (no spans); texts are read whole; spans
-are in code points, end exclusive; spans of one kind don't overlap and spans that the
+Defined results: null text is the empty text (no spans); texts are read whole, in time
+that grows in proportion to them, also where they have no blanks; spans are in code points, end exclusive; spans of one kind don't overlap and spans that the
 field adds overlap no others; repeated rows are read each on its own; an empty table
 gives no rows; no shuffle.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, TRAINING, EPOCHS = 8, 240, 12
+#: Words and characters of a segment at most; sentences and rounds of training.
+LONGEST, MOST, TRAINING, EPOCHS = 8, 80, 240, 12
 
 # Patterns ----------------------------------------------------------------------
 
@@ -111,7 +113,7 @@ def triggers(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-_WORD = re.compile(r"\S+")
+_WORD, _SPACE = re.compile(r"\S+"), re.compile(r"\s")
 _EDGE = ".,;:!?\"'*$%&#"
 _CUES = {
     0: re.compile(r"(?i)(?:e?-?mail|contact|write|reach|an|adresse?)\W*$"),
@@ -164,7 +166,7 @@ def _segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
             while start < end and text[start] in _EDGE and text[start : start + 2] != "::":
                 start += 1
             span = text[start:end]
-            if len(span) <= 80 and triggers(span):
+            if len(span) <= MOST and triggers(span):
                 found.append((i, n, start, end, Segment.features(span, before, n)))
     return found
 
@@ -190,6 +192,9 @@ class Field:
             by_start.setdefault(s[0], []).append(k)
         scores = self._scores(segments)
         for i in range(n):
+            if i not in by_start and np.isinf(top[i, 1:]).all():  # only outside words meet here
+                top[i + 1, 0], back[i + 1, 0] = top[i, 0] + self.moves[0, 0], (i, 0, -1)
+                continue
             into = top[i][:, None] + self.moves
             arrive, source = into.max(axis=0), into.argmax(axis=0)
             if arrive[0] > top[i + 1, 0]:
@@ -344,49 +349,48 @@ def trained(n: int = TRAINING, epochs: int = EPOCHS, seed: int = 1) -> Field:
 
 
 def _windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that hold a trigger with LONGEST words on either side, merged."""
-    last = None
+    """Stretches of whole words that hold a trigger with what may matter on either side, merged."""
+    begin = stop = -1
     for start, end in triggers(text):
-        a, b = max(0, start - 160), min(len(text), end + 160)
-        if last and a <= last[1]:
-            last = (last[0], max(last[1], b))
-        else:
-            if last:
-                yield last
-            last = (a, b)
-    if last:
-        yield last
+        if end + 2 * MOST <= stop:
+            continue
+        a = max(0, start - 2 * MOST)
+        while a > stop and a and not text[a - 1].isspace():
+            a -= 1  # never back into the window before, so each character is passed once
+        if a > stop:
+            if stop >= 0:
+                yield begin, stop
+            begin = a
+        after = _SPACE.search(text, min(len(text), max(stop, end + 2 * MOST)))
+        stop = after.start() if after else len(text)
+    if stop >= 0:
+        yield begin, stop
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     found = []
     for a, b in _windows(text):
-        while a and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
         part = text[a:b]
         tokens = [m.span() for m in _WORD.finditer(part)]
-        # words that no candidate segment spans split the window without loss
         segments = _segments(part, tokens)
-        k = 0
-        while k < len(segments):
-            group, end = [segments[k]], segments[k][0] + segments[k][1]
-            while k + 1 < len(segments) and segments[k + 1][0] < end:
-                k += 1
-                group.append(segments[k])
-                end = max(end, segments[k][0] + segments[k][1])
-            k += 1
-            first = group[0][0]
-            local = [(s[0] - first, *s[1:]) for s in group]
-            found += [(a + local[x][2], kind, a + local[x][3]) for x, kind in field.best(end - first, local)]
+        found += [(a + segments[k][2], kind, a + segments[k][3]) for k, kind in field.best(len(tokens), segments)]
     return found
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The patterns' spans, and these with what the field adds."""
     base = base_spans(text)
-    added = [x for x in field_spans(text, field) if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+    taken = [[-1, -1]]  # what the patterns cover, merged
+    for a, _, b in base:
+        if a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    added = []
+    for a, kind, b in field_spans(text, field):
+        k = bisect_left(taken, [b, -1]) - 1  # the last stretch that starts before the span ends
+        if taken[k][1] <= a:
+            added.append((a, kind, b))
     return base, sorted(base + added)
 
 
