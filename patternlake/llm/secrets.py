@@ -5,19 +5,21 @@ tokens are written, or what its context makes one whatever its characters: the v
 cue such as password or key (quoted, or up to the next blank), the password or token before
 the @ of an address, each of at least FLOOR characters, and a quoted value without blanks of
 at least QUOTED. A run ends where such a value starts that
-reaches its end; other candidates may lie in each other. Its features are its length, the likelihood of its character
-transitions under prose, dictionary coverage, shares of character classes, entropy,
-whether it lies in a path or address, and the words around it. The forest is Spark's, trained
+reaches its end; other candidates may lie in each other. Its features, over the whole of it, are its length, the
+likelihood of its letter transitions under the words of a dictionary, the share that such words cover, shares of
+character classes, entropy, whether it lies in a path or address, and the words around it. The dictionary is
+what the vocabulary file of a public tokenizer has of whole words of four letters or more. The forest is Spark's, trained
 on LABELLED findings that are generated with labels from a fixed seed; their number bounds what
 the driver holds.
 
-Defined results: null text has no findings; texts are scanned whole; positions are code
+Defined results: null text has no findings; texts and candidates are read whole, however long; positions are code
 points, end exclusive; repeated rows are scanned each; an empty table gives no rows; no
 shuffle of documents; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -55,54 +58,65 @@ _CUE = re.compile(r"(?i)token|secret|passw|pwd|api|key|auth|bearer|credential|pr
 #: Right before a value.
 _SECRET_CUE = re.compile(r"(?i)(?:passw\w*|passphrase|passcode|pwd|secret\w*|token|(?:api|access|auth|private|secret)[_ -]?key)[\"'`]?\]?\s*(?:=>|:=|==|[=:]|is)?\s*[\"'`]?$")
 _INNOCENT = re.compile(r"(?i)commit|sha|md5|checksum|digest|uuid|guid|etag|hash|revision|build|image|data:|file|path|href|src|id\b")
-#: Everyday words of the languages at hand, for dictionary coverage and transitions.
-_WORDS = (
-    "the and that have for not with you this but his from they say her she will one all would there their what about which when make can like time just him know take "
-    "people into year your good some could them see other than then now look only come over think also back after use two how our work first well way even new want because "
-    "any these give day most der die und das ist nicht ein eine mit sich auf für von dem den les des est une que pour dans qui sur pas plus avec los las del una por con para "
-    "como más pero sus service config module handler request response version user account manager controller application information description international development"
+#: The tokenizer file that gives the dictionary, and the letters of its words.
+VOCABULARY, WORD_LETTERS = "byte_bpe_multi_50k.tiktoken", (4, 16)
+#: Names for generated findings.
+_NAMES = (
+    "time people year good work first well even give most day world service config module handler request response version user account manager controller "
+    "application information description international development nicht haben werden aussi entre donde cuando"
 ).split()
 _CLASS = {c: 0 for c in string.ascii_lowercase} | {c: 1 for c in string.ascii_uppercase} | {c: 2 for c in string.digits}
 
 
+@cache
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """The lower-case words that follow a blank in a vocabulary of ranks."""
+    shortest, longest = WORD_LETTERS
+    with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
+        words = (base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in lines if line.strip())
+        return frozenset(w[1:] for w in words if w[:1] == " " and shortest < len(w) <= longest + 1 and w[1:].isalpha() and w.islower())
+
+
 @cache
 def _transitions() -> np.ndarray:
-    """Log-likelihood of letter pairs, from the everyday words, smoothed."""
+    """Log-likelihood of letter pairs, from the dictionary, smoothed; 26 is any other character."""
     seen = np.full((27, 27), 0.3)
-    for word in _WORDS:
-        codes = [_letter(c) for c in word]
-        for a, b in zip(codes, codes[1:], strict=False):
-            seen[a, b] += 1
+    for word in dictionary():
+        codes = _letters(word)
+        np.add.at(seen, (codes[:-1], codes[1:]), 1)
     return np.log(seen / seen.sum(axis=1, keepdims=True))
 
 
-def _letter(c: str) -> int:
-    k = ord(c) - 97
-    return k if 0 <= k < 26 else 26
+def _letters(low: str) -> np.ndarray:
+    codes = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32).astype(np.int64) - 97
+    return np.where((codes >= 0) & (codes < 26), codes, 26)
 
 
-@cache
-def _dictionary() -> re.Pattern:
-    return re.compile("|".join(sorted((re.escape(w) for w in _WORDS if len(w) > 2), key=len, reverse=True)))
+def covered(low: str) -> int:
+    """Characters that words of the dictionary cover, taking the longest at each place from the left."""
+    words, (shortest, longest) = dictionary(), WORD_LETTERS
+    at = total = 0
+    while at <= len(low) - shortest:
+        step = next((k for k in range(min(longest, len(low) - at), shortest - 1, -1) if low[at : at + k] in words), 0)
+        total += step
+        at += step or 1
+    return total
 
 
 def features(text: str, start: int, end: int) -> list[float]:
     span, low = text[start:end], text[start:end].lower()
     before, after = text[max(0, start - 40) : start], text[end : end + 12]
     n = len(span)
-    classes = [_CLASS.get(c, 3) for c in span[:200]]
+    classes = np.fromiter((_CLASS.get(c, 3) for c in span), np.int64, n)
     counts = Counter(span)
-    codes = [_letter(c) for c in low[:200]]
-    table = _transitions()
+    codes = _letters(low)
     near = before[-24:]
     return [
-        float(min(n, 200)),
-        sum(c == 0 for c in classes) / len(classes),
-        sum(c == 1 for c in classes) / len(classes),
-        sum(c == 2 for c in classes) / len(classes),
-        sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, len(classes) - 1),
-        float(np.mean([table[a, b] for a, b in zip(codes, codes[1:], strict=False)])),
-        sum(m.end() - m.start() for m in _dictionary().finditer(low)) / n,
+        math.log2(n),
+        *(float((classes == k).mean()) for k in range(3)),
+        float((classes[1:] != classes[:-1]).mean()),
+        float(_transitions()[codes[:-1], codes[1:]].mean()),
+        covered(low) / n,
         max((len(x) for x in _LETTERS.findall(low)), default=0) / n,
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         len(counts) / n,
@@ -174,7 +188,7 @@ def labelled(n: int, seed: int) -> Iterator[tuple[str, int, int, int]]:
     hexa, base, alnum = string.hexdigits[:16], string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve tion ment ing eau oi ung sch heit ción mente que ado ez".split()
     long_word = lambda k: "".join(rng.choice(syllables) for _ in range(40))[:k]
-    name = lambda: rng.choice(_WORDS)
+    name = lambda: rng.choice(_NAMES)
     cues = ("password", "passwd", "pwd", "secret", "SECRET", "db_password", "PASSWORD", "api_key", "passphrase", "token")
 
     def password() -> str:
