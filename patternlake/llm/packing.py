@@ -8,13 +8,18 @@ goes on through larger ones until a bin's bitmaps admit the piece, else a bin op
 Documents are dealt by hash into shards of some SHARD rows, which are packed each on
 its own, so that the loss against one big packing is a few open bins a shard. Shards
 get lengths and hashes, not texts. Neither a hot source nor a hot cluster makes a
-shard larger; it opens more bins.
+shard larger; it opens more bins. Rows alike in id, source and text are dealt by the
+partition they come from as well, so that they don't meet in one shard.
+
+The cluster is that of the column `cluster_col` (such as the classes of near.near_groups)
+where one is given. Otherwise, as in the query and the pipeline, whose texts have no near
+copies left, it is that of texts equal but for case and blanks.
 
 Defined results: a document longer than the capacity is cut into full pieces, each a
 bin of its own, and a rest that is packed; null and empty texts are pieces of length 0
-that conflict with nothing; null sources don't conflict; the cluster of a text is that
-of texts equal but for case and blanks; rows that tie are alike, and take their order
-from (length, hash, id); repeated rows are packed each; an empty table gives no rows.
+that conflict with nothing; null sources and null clusters don't conflict; rows that tie are alike,
+and take their order from (length, hash, id); repeated rows are packed each; an empty table
+gives no rows; columns of any other name are ignored.
 """
 
 from __future__ import annotations
@@ -103,23 +108,31 @@ def cluster_of(text: Column) -> Column:
 
 
 def pack_documents(
-    docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: Column | None = None
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    shard: int = SHARD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    length: Column | None = None,
+    cluster_col: str | None = None,
 ) -> DataFrame:
     """id, piece, start, length (in words, or the unit of `length`), bin_id and bin_offset of every piece."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = n_words(text) if length is None else length.cast("long")
-    rows = docs.select(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), cluster_of(text).alias("c"), size.alias("n"))
+    cluster = cluster_of(text) if cluster_col is None else F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), cluster.alias("c"), size.alias("n"))
     shards = max(1, -(-docs.count() // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("c", "i", "s"), F.lit(shards)).cast("long"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("c", "i", "s", F.spark_partition_id()), F.lit(shards)).cast("long"))
     kind = rows.schema["i"].dataType.simpleString()
 
     def run(given: pa.Table) -> pa.Table:
         n = given["n"].to_numpy()
         rest, full = n % capacity, n // capacity
         rank = pc.rank(given["i"], null_placement="at_end").to_numpy()
-        order = np.lexsort((rank, given["c"].to_numpy(), -rest))
-        lasting = order[(rest[order] > 0) | (n[order] == 0)]
         sources, clusters = given["s"].to_pylist(), given["c"].to_pylist()
+        order = np.lexsort((rank, pc.fill_null(given["c"], 0).to_numpy(), -rest))
+        lasting = order[(rest[order] > 0) | (n[order] == 0)]
         where = pack([(int(rest[k]), sources[k] if n[k] else None, clusters[k] if n[k] else None) for k in lasting], capacity)
         whole = np.repeat(order, full[order])
         piece = np.arange(len(whole)) - np.repeat(np.cumsum(full[order]) - full[order], full[order])

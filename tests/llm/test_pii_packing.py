@@ -92,6 +92,58 @@ def test_best_fit():
         assert max(b for b, _ in where) + 1 <= 1.1 * tightest(pieces, 100)[0] + 1
 
 
+def test_each_piece_goes_to_the_tightest_bin():
+    """Replays the placements: no bin that admits a piece is tighter than the one it got, and one opens only where none does."""
+    rng = random.Random(9)
+    for _ in range(30):
+        pieces = [(rng.randrange(0, 60), rng.choice([None, *"aabcd"]), rng.choice([None, *range(20)])) for _ in range(150)]
+        pieces.sort(key=lambda p: -p[0])
+        bins = {}
+        for (length, source, cluster), (b, _) in zip(pieces, packing.pack(pieces, 100), strict=True):
+            admit = [x["rest"] for x in bins.values() if x["rest"] >= length and (source is None or source not in x["s"]) and (cluster is None or cluster not in x["c"])]
+            if b in bins:
+                assert bins[b]["rest"] == min(admit)
+            else:
+                assert not admit
+            bin_ = bins.setdefault(b, {"rest": 100, "s": set(), "c": set()})
+            bin_["rest"] -= length
+            bin_["s"].add(source)
+            bin_["c"].add(cluster)
+
+
+def test_given_clusters(spark):
+    rows = [(k, f"w{k} x", None, 7 if k < 3 else None) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, c int")
+    found = {r["doc_id"]: r["bin_id"] for r in packing.pack_documents(docs, capacity=20, cluster_col="c").collect()}
+    assert len({found[k] for k in range(3)}) == 3 and len({found[k] for k in range(3, 6)}) == 1
+
+
+def test_alike_rows_are_split(spark):
+    docs = spark.range(4000, numPartitions=8).selectExpr("1L AS doc_id", "'a b' AS text", "CAST(NULL AS string) AS source")
+    found = packing.pack_documents(docs, shard=500)
+    assert found.count() == 4000 and found.selectExpr("shiftright(bin_id, 32) AS s").distinct().count() > 3
+
+
+def test_whole_table(spark):
+    """Every word of every document lies in one place of one bin, and no bin has a source or a cluster twice."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    fill, marks, words = {}, set(), {}
+    for r in sorted(packing.op4_best_fit_packing(spark, "/root/testdata/sf0.01").collect(), key=lambda r: (r["bin_id"], r["bin_offset"])):
+        assert r["bin_offset"] == fill.get(r["bin_id"], 0) and r["start"] == r["piece"] * packing.CAPACITY
+        fill[r["bin_id"]] = r["bin_offset"] + r["length"]
+        words.setdefault(r["doc_id"], []).append((r["piece"], r["length"]))
+        text = texts[r["doc_id"]]
+        if r["length"]:
+            for mark in (("s", text["source"]), ("c", " ".join(re.findall(r"[^\x20\x09-\x0D]+", text["text"])).lower())):
+                assert (r["bin_id"], mark) not in marks
+                marks.add((r["bin_id"], mark))
+    assert max(fill.values()) <= packing.CAPACITY and set(words) == set(texts)
+    for i, pieces in words.items():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", texts[i]["text"]))
+        assert [k for k, _ in sorted(pieces)] == list(range(len(pieces))) and sum(x for _, x in pieces) == n
+
+
 def test_unique_marks_equal_plain_best_fit():
     rng = random.Random(3)
     pieces = sorted(((rng.randrange(1, 60), None, None) for _ in range(300)), reverse=True, key=lambda p: p[0])
