@@ -41,6 +41,26 @@ def test_cascade(spark):
     assert told[1] is None and told[2] == "few_words" and told[3] in ("repeats", "no_letters", "short_words")
 
 
+def test_long_text(spark, tmp_path):
+    text = " ".join(f"w{k % 70_000}" for k in range(150_000)) + "\n" + "x" * 1_000_000
+    spark.createDataFrame([(1, text), (2, "a b c " * 60_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in quality.op1_quality_rules(spark, str(tmp_path)).collect()}
+    assert rows[1]["n_words"] == 150_001 and rows[1]["n_repeat_words"] == measured(text)[4]
+    assert rows[2]["n_repeat_words"] == 180_000 and rows[2]["base_failed"]
+
+
+def test_estimates(spark):
+    """Shares of the sample, and costs without that of a job: what the rules have at hand costs least."""
+    good = " ".join(f"word{k}" for k in range(400))
+    docs = spark.createDataFrame([(good,)] * 150 + [("few",)] * 50 + [("y" * 60_000,)], "text string")
+    rules = quality.default_rules()
+    plain = {e.name: e for e in quality.estimate(docs, rules)}
+    assert 0.1 < plain["few_words"].rejected < 0.4 and plain["symbols"].rejected == 0 and set(plain) == {r.name for r in rules}
+    assert plain["repeats"].seconds > plain["symbols"].seconds
+    known = {e.name: e for e in quality.estimate(docs, rules, known=quality.RETURNED)}
+    assert known["repeats"].rejected == plain["repeats"].rejected and known["repeats"].seconds < plain["repeats"].seconds
+
+
 def test_order():
     rules = quality.default_rules()[:3]
     found = [quality.Estimate(r.name, x, s) for r, x, s in zip(rules, (0.1, 0.4, 0.4), (1.0, 1.0, 4.0), strict=True)]
