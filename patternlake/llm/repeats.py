@@ -2,7 +2,7 @@
 
 Every window of `length` bytes that also starts elsewhere in the corpus marks its
 bytes; marked bytes are removed. Matches never cross documents, and windows are
-judged on the input. The result is exact; the steps are:
+judged on the input. The steps are:
 
 1. Equal texts are merged (with their number) in the one shuffle of texts; later steps
    refer to a text by two 64-bit hashes and reuse that exchange.
@@ -17,13 +17,22 @@ judged on the input. The result is exact; the steps are:
    bucket pointers eight bytes later, and the new pointers are used again for the next,
    twice as deep step, until `length` bytes are told apart. A window whose last
    bucket has company is repeated.
-   Buckets of more than HOT classes are told apart by counting pairs of 64-bit hashes
-   of their windows instead, which needs no group in one task.
+   In a bucket of more than HOT classes, which no one task should hold, the pointer of
+   the full depth is computed at once, as a 128-bit hash of the window, and the windows
+   are dealt and counted by it.
 5. Spans are joined to the texts.
 
-Defined results: null text is the empty text; an empty table gives no rows; repeated
-rows are copies of each other, so texts of `length` bytes or more that occur twice
-vanish wholly; texts shorter than `length` bytes stay; other columns pass through.
+Keys of joins that a common q-gram, run or window can make hot come from groups by a
+struct, so that both sides are dealt for the join alone and Spark may split such a key.
+
+The result is exact but for equal hashes of different things: texts and the windows of
+large buckets are told apart by 128 bits, the runs of one bucket by 64 (some 5e-7 expected
+errors for 1e12 runs in buckets of ten).
+
+Defined results: null text is the empty text; texts of any length are read whole, in
+stretches; an empty table gives no rows; repeated rows are copies of each other, so texts
+of `length` bytes or more that occur twice vanish wholly; texts shorter than `length` bytes
+stay; columns of any other name pass through. `length` is LONGEST at most.
 """
 
 from __future__ import annotations
@@ -41,6 +50,8 @@ from .hashing import U as _U
 from .hashing import Rolling, bytes_of, mix
 
 LENGTH, Q = 200, 32
+#: Where a run ends and where its q-gram lies are kept in 12 bits each.
+LONGEST = 4095
 #: Classes of a bucket that one task refines together; hashes tell the windows of larger ones apart.
 HOT = 2000
 #: Window starts that are hashed at a time; bytes that are refined at a time.
@@ -262,21 +273,26 @@ def _window_hashes(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
-    """h, g, spans: the stretches of each distinct text (h, g, t, c) that repeated windows cover.
+def repeated_spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
+    """h, g, spans: the stretches of each distinct text (h, g, t, c) of `docs` (t) that repeated windows cover.
 
     Spans may overlap; texts without any are left out.
     """
-    found = texts.where(F.octet_length("t") >= length).mapInArrow(_runs_of_texts(length, q), _RUN)
-    often = found.groupBy("k").agg(F.sum("c").alias("n")).where("n > 1").select("k")
+
+    def runs_of(some: DataFrame) -> DataFrame:
+        return some.where(F.octet_length("t") >= length).mapInArrow(_runs_of_texts(length, q), _RUN)
+
+    one = F.lit(1).cast("long")
+    every_run = runs_of(docs.select("t", one.alias("h"), one.alias("g"), one.alias("c")))
+    often = every_run.groupBy(F.struct("k").alias("x")).agg(F.sum("c").alias("n")).where("n > 1").select("x.k")
+    found = runs_of(texts)
     found = _whole_rows(found.join(often, "k", "left_semi"))
-    # grouped by a struct, classes are dealt anew after map-side sums, and the join above may split hot buckets
     classes = found.groupBy(F.struct("k", "r").alias("x")).agg(F.sum("c").alias("n"), F.min(F.struct("h", "g", "at")).alias("one"))
     classes = _whole_rows(classes.select("x.*", "n", "one.*"))
     whole = found.join(classes.where("n > 1").select("k", "r"), ["k", "r"], "left_semi").select(
         "h", "g", F.shiftright("at", 24).alias("a"), (F.shiftright("at", 24) + F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF)) + length).alias("b")
     )
-    several = classes.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    several = classes.groupBy(F.struct("k").alias("x")).agg(F.count("*").alias("m")).where("m > 1").select("x.k", "m")
     asked = classes.join(several, "k").select("h", "g", "k", "n", "m", "at")
 
     def contents(some: DataFrame) -> DataFrame:
@@ -286,7 +302,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q, hot: int
     few = contents(asked.where(F.col("m") <= hot))
     partly = few.repartition("k").sortWithinPartitions("k").mapInArrow(_refine(length), _SPAN)
     windows = contents(asked.where(F.col("m") > hot)).mapInArrow(_window_hashes(length), "e long, f long, n long, h long, g long, a long")
-    twice = windows.groupBy("e", "f").agg(F.count("*").alias("m")).where("m > 1").select("e", "f")
+    twice = windows.groupBy(F.struct("e", "f").alias("x")).agg(F.count("*").alias("m")).where("m > 1").select("x.*")
     hotly = windows.where("n = 1").join(twice, ["e", "f"], "left_semi").select("h", "g", "a", (F.col("a") + length).alias("b"))
     every = whole.unionByName(partly).unionByName(hotly)
     return every.groupBy("h", "g").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -329,6 +345,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     kept is what remains, without bytes of characters that a cut left incomplete; kept_sha256 is of all bytes.
     """
+    if not 1 <= length <= LONGEST:
+        raise ValueError(f"length from 1 to {LONGEST}")
     h, g = free_name(docs, "h"), free_name(docs, "g")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(*[docs[c] for c in docs.columns if c != text_col], F.xxhash64(text).alias(h), F.xxhash64(F.lit(7), text).alias(g))
@@ -338,7 +356,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         .agg(F.first("t").alias("t"), F.count("*").alias("c"))
     )
     kinds = "h long, g long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    done = texts.join(repeated_spans(texts, length, min(Q, length), hot), ["h", "g"], "left").select("h", "g", "t", "c", "spans").mapInArrow(
+    done = texts.join(repeated_spans(docs.select(text.alias("t")), texts, length, min(Q, length), hot), ["h", "g"], "left").select("h", "g", "t", "c", "spans").mapInArrow(
         _cleaned(length, with_text), kinds
     )
     done = done.withColumnsRenamed({"h": "h_", "g": "g_"})

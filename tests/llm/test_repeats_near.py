@@ -70,6 +70,37 @@ def test_bucket_pointers(length):
     assert got.tolist() == [seen[data[p : p + length]] > 1 for p in windows]
 
 
+def test_repeats_in_long_texts(spark):
+    """Texts of several stretches; the repeated passages are planted, so the spans are known."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    passage, edge = fresh(700), repeats.SEGMENT
+    long = b"0" + fresh(edge - 301) + b"1" + passage + b"2" + fresh(2_000_000) + b"3" + passage[:199] + b"4" + fresh(900_000) + b"5" + passage[100:400] + b"6"
+    short = b"7" + passage[50:650] + b"8" + fresh(300) + b"9"
+    docs = spark.createDataFrame([(1, long.decode()), (2, short.decode())], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in repeats.remove_repeats(docs).collect()}
+    cut = lambda b, a, n: b[:a] + b[a + n :]
+    at = long.index(b"1" + passage) + 51
+    kept = cut(cut(long, len(long) - 301, 300), at, 600)
+    assert (rows[1]["n_removed"], rows[1]["n_spans"]) == (900, 2) and rows[1]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+    assert (rows[2]["n_removed"], rows[2]["n_spans"]) == (600, 1) and rows[2]["kept_sha256"] == hashlib.sha256(cut(short, 1, 600)).hexdigest()
+
+
+@pytest.mark.parametrize("length", [3, 40, 1500])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    base = "".join(rng.choice("abcdefgh") for _ in range(6000))
+    texts = [base[: 4000 + rng.randrange(2000)], base[rng.randrange(2000) :], "x" * 5000, "yz" * 20, None]
+    rows = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length).collect()
+    want = brute(texts, length)
+    assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in rows) and len(rows) == 5
+
+
+def test_length_has_a_bound(spark):
+    with pytest.raises(ValueError, match="length"):
+        repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length=6000)
+
+
 def test_repeats_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
