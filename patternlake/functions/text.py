@@ -9,37 +9,47 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 
-# Scrubbing. The order in anonymize() matters: earlier marks hide text from later patterns.
-_ID = r"(?U)\b(?=(?:%s|a[0-3]))[A-Za-z0-9]{15}(?:[A-Za-z0-9]{3})?\b" % "|".join(vocab.RECORD_ID_PREFIXES)
-_EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+# Fixed values. What is scrubbed and the marks that take its place; the order matters, as earlier marks hide text from later patterns.
+_ID = r"\b(?=(?:%s|a[0-3]))[A-Za-z0-9]{15}(?:[A-Za-z0-9]{3})?\b" % "|".join(vocab.RECORD_ID_PREFIXES)
+_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 _URL = r"(?i)https?://[^\s<>\"']+"
-_IP = r"(?U)\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
-_MONEY = r"\$[0-9,]+\.?[0-9]*"
+_IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+_MONEY = r"\$[\d,]+\.?\d*"
+SCRUBS = ((_ID, "[SF_ID]"), (_EMAIL, "[EMAIL]"), (_URL, "[URL]"), (_IP, "[IP]"), (_MONEY, "[AMOUNT]"))
+#: Plain patterns that a text must have for the costly ones to be tried.
+_RUN_OF_15, _AT, _DOTTED = "[A-Za-z0-9]{15}", "@", r"\d\.\d"
+
+
+def _scrubbed(text: Column, pattern: str, mark: str, hint: str | None = None) -> Column:
+    out = F.regexp_replace(text, "(?U)" + pattern, mark.replace("$", r"\$"))
+    return out if hint is None else F.when(text.rlike("(?U)" + hint), out).otherwise(text)
 
 
 def scrub_ids(text: Column) -> Column:
-    return F.regexp_replace(text, _ID, "[SF_ID]")
+    return _scrubbed(text, *SCRUBS[0], _RUN_OF_15)
 
 
 def scrub_emails(text: Column) -> Column:
-    return F.regexp_replace(text, _EMAIL, "[EMAIL]")
+    return _scrubbed(text, *SCRUBS[1], _AT)
 
 
 def scrub_urls(text: Column) -> Column:
-    return F.regexp_replace(text, _URL, "[URL]")
+    return _scrubbed(text, *SCRUBS[2])
 
 
 def scrub_ips(text: Column) -> Column:
-    return F.regexp_replace(text, _IP, "[IP]")
+    return _scrubbed(text, *SCRUBS[3], _DOTTED)
 
 
 def scrub_money(text: Column) -> Column:
-    return F.regexp_replace(text, _MONEY, "[AMOUNT]")
+    return _scrubbed(text, *SCRUBS[4])
 
 
 def anonymize(text: Column) -> Column:
     """Ids, mail and web addresses, IP addresses and amounts; texts under three characters stay."""
-    out = scrub_money(scrub_ips(scrub_urls(scrub_emails(scrub_ids(text)))))
+    out = text
+    for scrub in (scrub_ids, scrub_emails, scrub_urls, scrub_ips, scrub_money):
+        out = scrub(out)
     return F.when(F.length(text) < 3, text).otherwise(out)
 
 
@@ -63,7 +73,8 @@ def _latin() -> tuple[str, str]:
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics, as index and query see it."""
-    return F.translate(F.lower(text), *_latin())
+    low = F.lower(text)
+    return F.when(low.rlike("[^\\x00-\\x7F]"), F.translate(low, *_latin())).otherwise(low)
 
 
 def tokens(text: Column) -> Column:

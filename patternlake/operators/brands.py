@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from .. import vocab
 from .stats import labelled
 
-#: Characters that stand for labels until all terms are replaced, so that no label is matched as a term.
-_OPEN, _CLOSE = "\ue000", "\ue001"
-
 
 def _all_common(parts: Column) -> Column:
     names = [*vocab.STANDARD_OBJECTS, *vocab.STANDARD_FIELDS]
@@ -93,11 +90,39 @@ def brand_terms(fields: DataFrame, companies: DataFrame | None = None, custom: l
     return labelled(first.withColumn("all", F.lit(1)), [F.col("kind"), F.col("place"), F.col("term")], ["all"]).select("term", "label")
 
 
+def _alternation(escaped: Column) -> Column:
+    """A pattern for the terms of an array, longest first, that no letter adjoins."""
+    longest = F.array_sort(escaped, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))
+    return F.concat(F.lit("(?i)(?<![a-zA-Z])(?:"), F.array_join(longest, "|"), F.lit(")(?![a-zA-Z])"))
+
+
+def _replaced(text: Column, pattern: Column, labels: Column) -> Column:
+    """`text` with each match's label from the map `labels` (by lower-case term), in one pass."""
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    parts = F.split(text, pattern, -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.element_at(labels, F.lower(F.get(hits, i))), F.lit("")))), "")
+
+
 def scrub(text: Column, labels: dict[str, str]) -> Column:
-    """Labels for terms that no letter adjoins, whatever their case, longest first. Labels come from one project's
-    small table on the driver."""
-    for term in sorted(labels, key=lambda t: (-len(t), t)):
-        mark = _OPEN + "".join(chr(0xE100 + ord(c)) for c in labels[term] if ord(c) < 256) + _CLOSE
-        text = F.regexp_replace(text, rf"(?i)(?<![a-zA-Z])(?:{re.escape(term)})(?![a-zA-Z])", mark)
-    used = sorted({c for label in labels.values() for c in label if ord(c) < 256})
-    return F.translate(text, "".join(chr(0xE100 + ord(c)) for c in used) + _OPEN + _CLOSE, "".join(used))
+    """Labels for terms that no letter adjoins, whatever their case, longest first; `labels` is one project's small table."""
+    if not labels:
+        return text
+    terms = sorted(labels, key=lambda t: (-len(t), t))
+    pattern = "(?i)(?<![a-zA-Z])(?:" + "|".join(re.escape(t) for t in terms) + ")(?![a-zA-Z])"
+    table = F.create_map(*[F.lit(x) for t in {t.lower(): labels[t] for t in reversed(terms)}.items() for x in t])
+    return F.when(text.rlike(pattern), _replaced(text, F.lit(pattern), table)).otherwise(text)
+
+
+def scrub_by_source(rows: DataFrame, columns: list[str], labels: DataFrame, source: str = "source_hash") -> DataFrame:
+    """`rows` with the terms of labels (source, term, label) scrubbed from `columns`, each row by its own source's.
+
+    A source's terms, some hundreds at most, meet in one row, which is joined to the source's rows.
+    """
+    escaped = F.regexp_replace("term", r"([^A-Za-z0-9_])", r"\\$1")
+    once = labels.groupBy(F.col(source).alias("source_"), F.lower("term").alias("t")).agg(F.min(F.struct("term", "label")).alias("x")).select("source_", "x.*")
+    own = once.groupBy("source_").agg(
+        _alternation(F.collect_set(escaped)).alias("pattern_"), F.map_from_entries(F.collect_set(F.struct(F.lower("term").alias("t"), F.col("label").alias("l")))).alias("labels_")
+    )
+    joined = rows.join(own, rows[source] == own["source_"], "left")
+    new = {c: F.when(F.col("pattern_").isNull(), F.col(c)).otherwise(_replaced(F.col(c), F.col("pattern_"), F.col("labels_"))) for c in columns}
+    return joined.select(*[new[c].alias(c) if c in new else rows[c] for c in rows.columns])

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as T
 from ..sources.metadata import object_of
+from ..sources.store import written
 
 ROW = (
     "pattern_type string, category string, name string, description string, source_object string, structure string, field_references array<string>, "
@@ -315,7 +317,7 @@ def components(files: DataFrame) -> DataFrame:
     """UI components: a script with the template and settings beside it."""
     folder = F.regexp_replace("path", "/[^/]*$", "")
     scripts = files.where("file_type = 'lwc'").where(~F.col("path").contains("__tests__") & (F.col("content") != "")).select("*", folder.alias("folder"), _stem(".js").alias("component"))
-    beside = files.select(folder.alias("folder"), F.col("name").alias("beside"), F.col("content").alias("text"))
+    beside = files.where("file_type IS NULL").select(folder.alias("folder"), F.col("name").alias("beside"), F.col("content").alias("text"))
     pages = beside.select("folder", F.regexp_replace("beside", r"\.html$", "").alias("component"), F.col("text").alias("html")).where(F.col("beside").endswith(".html"))
     metas = beside.select("folder", F.regexp_replace("beside", r"\.js-meta\.xml$", "").alias("component"), F.col("text").alias("meta")).where(F.col("beside").endswith(".js-meta.xml"))
     on = ["folder", "component"]
@@ -394,6 +396,7 @@ def components(files: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values. What is read of a class, and of its methods.
 _CLASS = (
     r"(public|private|global)\s+(?:(?:virtual|abstract|with sharing|without sharing|inherited sharing)\s+)*class\s+\w+\s*"
     r"(?:extends\s+(\w+))?\s*(?:implements\s+([\w\s,]+))?\s*\{"
@@ -673,13 +676,7 @@ def structure_fields(document) -> list[str]:
 
 # Fixed values. Keys under which texts are replaced by their lengths.
 CONTENT_KEYS = frozenset("errorMessage description label helpText inputText outputText choiceText interviewLabel".split())
-_PATTERNS = (
-    (re.compile(r"\b(?=(?:%s|a[0-3]))[A-Za-z0-9]{15}(?:[A-Za-z0-9]{3})?\b" % "|".join(vocab.RECORD_ID_PREFIXES)), "[SF_ID]"),
-    (re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"), "[EMAIL]"),
-    (re.compile(r"(?i)https?://[^\s<>\"']+"), "[URL]"),
-    (re.compile(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"), "[IP]"),
-    (re.compile(r"\$[\d,]+\.?\d*"), "[AMOUNT]"),
-)
+_PATTERNS = [(re.compile(pattern), mark) for pattern, mark in T.SCRUBS]
 
 
 class Scrubber:
@@ -710,16 +707,27 @@ def content_hash(kind: str, source_object: str, structure) -> str:
     return hashlib.sha256(canonical.encode()).hexdigest()[:16]
 
 
-def finished(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Scrubbed rows with content_hash; `labels` is one project's small brand table."""
-    shared = rows.sparkSession.sparkContext.broadcast(labels)
+def finished(rows: DataFrame, labels: dict[str, str] | DataFrame) -> DataFrame:
+    """Scrubbed rows with content_hash.
+
+    `labels` is one project's small table of brand terms, or a DataFrame (source_hash, term, label) of those of
+    several, of which each row meets its own source's.
+    """
     names = rows.columns
+    if isinstance(labels, DataFrame):
+        own = labels.groupBy("source_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "label"))).alias("labels_"))
+        rows = rows.join(own, "source_hash", "left").select(*names, "labels_")
+        shared = None
+    else:
+        shared = rows.sparkSession.sparkContext.broadcast(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean = Scrubber(shared.value)
+        clean, of = Scrubber(shared.value if shared else {}), None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
+                if shared is None and row["source_hash"] != of:
+                    clean, of = Scrubber(dict(row["labels_"] or ())), row["source_hash"]
                 structure = clean.document(json.loads(row["structure"]))
                 if row["pattern_type"] == "lwc_component":  # parts that a bundle lacks are empty, not missing
                     structure = {"html": {}, "meta": {}} | structure
@@ -735,10 +743,17 @@ def finished(rows: DataFrame, labels: dict[str, str]) -> DataFrame:
     return rows.mapInArrow(run, f"{ROW}, content_hash string")
 
 
+def hashed(kind: pd.Series, source_object: pd.Series, structure: pd.Series) -> pd.Series:
+    """content_hash of stored rows, whose structure is JSON text."""
+    return pd.Series([content_hash(k, o, json.loads(s or "{}")) for k, o, s in zip(kind, source_object, structure, strict=True)], dtype="object")
+
+
 #: By file type; a plug-in is another entry, from files to rows.
 EXTRACTORS = {"flow": flows, "validation": validations, "object": objects, "field": fields, "report": reports, "layout": layouts, "lwc": components, "apex": classes}
 
 
-def extract(files: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+def extract(files: DataFrame, labels: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """The finished rows of all files; these are read once and kept by type, so that each extractor reads its own."""
+    files = written(files, "files", ("file_type",))
     every = reduce(DataFrame.unionByName, (f(files) for f in EXTRACTORS.values()))
     return finished(every, labels or {})

@@ -28,3 +28,23 @@ def daily_costs(calls: DataFrame, at: str, spent: str, most: float) -> DataFrame
 
 def cache_key(query: Column, patterns: Column) -> Column:
     return F.md5(F.concat(query, F.lit(":"), patterns.cast("string")))
+
+
+def fresh(entries: DataFrame, at: str, hours: int, now: Column) -> DataFrame:
+    """Entries of a cache that are not older than `hours`."""
+    return entries.where(F.col(at) > now - F.expr(f"interval {int(hours)} hours"))
+
+
+def store_call(ledger: DataFrame, day: Column, spent: Column, calls: DataFrame) -> DataFrame:
+    """The ledger (day, calls, cost) with further calls added to their days."""
+    new = calls.groupBy(day.alias("day")).agg(F.count("*").alias("calls"), F.sum(spent).alias("cost"))
+    return ledger.select("day", "calls", "cost").unionByName(new).groupBy("day").agg(F.sum("calls").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+def blueprint(rows: DataFrame, requirement: str, target_object: str) -> DataFrame:
+    """line and text: a Markdown document of composed rows (category, place, id, name, source_object, complexity_score, description, tags_text)."""
+    item = F.concat(F.lit("- **["), "id", F.lit("] "), "name", F.lit("** ("), "source_object", F.lit(", complexity "), "complexity_score", F.lit("/5)\n  "), F.coalesce("description", F.lit("")), F.lit("\n  Tags: "), F.coalesce("tags_text", F.lit("")))
+    items = rows.select("category", F.col("place").cast("long").alias("place"), item.alias("text"))
+    heads = rows.select("category").distinct().select("category", F.lit(0).cast("long").alias("place"), F.concat(F.lit("### "), "category").alias("text"))
+    top = rows.agg(F.concat(F.lit(f"# Solution Blueprint\n## Requirement: {requirement}\n## Target Object: {target_object}\n\nFound "), F.count("*"), F.lit(" relevant patterns:")).alias("text"))
+    return top.select(F.lit("").alias("category"), F.lit(-1).cast("long").alias("place"), "text").unionByName(heads).unionByName(items)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
 
 TEXT_COLUMNS = ("name", "description", "source_object", "pattern_type", "tags_text")
 
@@ -40,19 +41,98 @@ def like(column: Column, part: str) -> Column:
 
 
 def matches(query: str, columns: tuple[str, ...] = TEXT_COLUMNS) -> Column:
-    """Every blank-separated term occurs, as a phrase, in some column. Terms without letters or digits count only alone."""
-    terms = [t for t in query.split() if T._plain_tokens(t)]
+    """For catalogs without a token table. Every blank-separated term occurs, as a phrase, in some column; terms
+    without letters or digits count only alone."""
+    terms = _terms(query)
     if not terms:
         return F.lit(False)
-    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (T.has_term(F.coalesce(c, F.lit("")), t) for c in columns)) for t in terms))
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (T.has_term(F.coalesce(c, F.lit("")), " ".join(t)) for c in columns)) for t in terms))
 
 
-def search(catalog: DataFrame, query: str, columns: tuple[str, ...] = TEXT_COLUMNS, substring_columns: tuple[str, ...] = ("name", "description", "source_object", "tags_text")) -> DataFrame:
-    """Rows that match; where no row of the whole catalog does, rows that have the query as a substring."""
-    marked = catalog.withColumn("hit_", matches(query, columns))
-    any_hit = marked.agg(F.coalesce(F.max("hit_"), F.lit(False)).alias("any_hit_"))
-    part = reduce(lambda a, b: a | b, (like(F.col(c), query) for c in substring_columns))
-    return marked.crossJoin(F.broadcast(any_hit)).where(F.col("hit_") | (~F.col("any_hit_") & part)).drop("hit_", "any_hit_")
+def _terms(query: str) -> list[list[str]]:
+    return [t for t in map(T._plain_tokens, query.split()) if t]
+
+
+# The token table --------------------------------------------------------------------
+
+
+def token_table(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
+    """(id, column, pos, token): the inverted index as a table."""
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), T.tokens(F.coalesce(c, F.lit(""))).alias("tokens")) for c in columns])
+    rows = catalog.select("id", F.explode(parts).alias("x")).select("id", "x.column", F.posexplode("x.tokens").alias("pos", "token"))
+    return rows.select("id", "column", "pos", "token")
+
+
+def write_index(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
+    """The token table, stored in order of tokens, so that a search reads the row groups of its tokens. A frequent
+    token's rows are split by id."""
+    return written(token_table(catalog, columns).repartitionByRange("token", "id").sortWithinPartitions("token", "id", "column", "pos"), "tokens")
+
+
+def occurrences(index: DataFrame, phrases: list[list[str]], columns: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, column, term, start) of each place where the tokens of phrase number `term` follow one another."""
+    spots = [F.struct(F.lit(t).alias("token"), F.lit(n).alias("term"), F.lit(k).alias("k"), F.lit(len(p)).alias("size")) for n, p in enumerate(phrases) for k, t in enumerate(p)]
+    rows = index.where(F.col("token").isin(sorted({t for p in phrases for t in p})))
+    rows = rows if columns is None else rows.where(F.col("column").isin(*columns))
+    rows = rows.select("id", "column", "pos", F.explode(F.filter(F.array(*spots), lambda s: s["token"] == F.col("token"))).alias("s"))
+    rows = rows.select("id", "column", "s.term", "s.size", (F.col("pos") - F.col("s.k")).alias("start"))
+    if all(len(p) == 1 for p in phrases):
+        return rows.drop("size")
+    whole = rows.groupBy("id", "column", "term", "start").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    return whole.where("n = size").select("id", "column", "term", "start")
+
+
+def ids_with_all(index: DataFrame, query: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """id of the rows that have every term of `query` as a phrase in some column."""
+    terms = [list(t) for t in dict.fromkeys(map(tuple, _terms(query)))]
+    if not terms:
+        return index.where("false").select("id")
+    found = occurrences(index, terms, columns).groupBy("id").agg(F.count_distinct("term").alias("n"))
+    return found.where(F.col("n") == len(terms)).select("id")
+
+
+def ids_with_prefix(index: DataFrame, start: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """id of the rows with a token that begins like `start` (one token)."""
+    (token,) = T._plain_tokens(start) or ("",)
+    rows = index.where(F.col("token").startswith(token) & F.lit(token != ""))
+    return (rows if columns is None else rows.where(F.col("column").isin(*columns))).select("id").distinct()
+
+
+def ids_near(index: DataFrame, first: str, second: str, most: int = 10, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """id of the rows where two phrases lie in one column with `most` tokens between them at most, in any order."""
+    phrases = [T._plain_tokens(first), T._plain_tokens(second)]
+    if not all(phrases):
+        return index.where("false").select("id")
+    # phrase number 1 joins number 0 inside a row's column; a place needs to see just the last of the others before it
+    spots = occurrences(index, phrases, columns).withColumn("end", F.col("start") + F.when(F.col("term") == 0, len(phrases[0])).otherwise(len(phrases[1])))
+    before = Window.partitionBy("id", "column").orderBy("start", "term").rowsBetween(Window.unboundedPreceding, -1)
+    other = F.when(F.col("term") == 0, F.max(F.when(F.col("term") == 1, F.col("end"))).over(before)).otherwise(F.max(F.when(F.col("term") == 0, F.col("end"))).over(before))
+    return spots.withColumn("gap", F.col("start") - other).where(F.col("gap") <= most).select("id").distinct()
+
+
+def both(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right, "id", "left_semi")
+
+
+def either(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.unionByName(right).distinct()
+
+
+def without(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right, "id", "left_anti")
+
+
+def search(catalog: DataFrame, query: str, index: DataFrame | None = None, substring_columns: tuple[str, ...] = ("name", "description", "source_object", "tags_text")) -> DataFrame:
+    """Rows that have all terms; where no row of the whole catalog does, or a term is malformed (has a quote), rows that
+    have the query as a substring.
+
+    Whether there is a hit is asked at once, of the token table (the catalog's own where none is given).
+    """
+    index = token_table(catalog) if index is None else index
+    hits = index.where("false").select("id") if '"' in query else ids_with_all(index, query)
+    if hits.limit(1).count():
+        return catalog.join(hits, "id", "left_semi")
+    return catalog.where(reduce(lambda a, b: a | b, (like(F.col(c), query) for c in substring_columns)))
 
 
 def ordered(catalog: DataFrame) -> DataFrame:
@@ -69,12 +149,6 @@ def page_counts(catalog: DataFrame, size: int = 50) -> DataFrame:
     return catalog.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("pages"))
 
 
-def token_table(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
-    """(id, column, pos, token): the inverted index as a table."""
-    parts = [catalog.select("id", F.lit(c).alias("column"), F.posexplode(T.tokens(F.coalesce(c, F.lit("")))).alias("pos", "token")) for c in columns]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def semi_search(catalog: DataFrame, index: DataFrame, token: str) -> DataFrame:
     return catalog.join(index.where(F.col("token") == token).select("id").distinct(), "id", "left_semi")
 
@@ -84,39 +158,42 @@ def in_order(ids: DataFrame, catalog: DataFrame) -> DataFrame:
     return ids.join(catalog, "id")
 
 
-def rank(catalog: DataFrame, query: str, column: str = "description", most: int = 10) -> DataFrame:
-    """id, score: rows by summed tf * ln(n / df) of the query's words."""
+def rank(index: DataFrame, rows: int | DataFrame, query: str, column: str = "description", most: int = 10) -> DataFrame:
+    """id, score: rows by summed tf * ln(n / df) of the query's words; `rows` is the catalog or its number of rows."""
     words = list(dict.fromkeys(T._plain_tokens(query)))
-    found = catalog.select("id", F.explode(T.tokens(F.coalesce(column, F.lit("")))).alias("token")).where(F.col("token").isin(words))
-    tf = found.groupBy("id", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    n = catalog.agg(F.count("*").alias("n"))
-    weights = df.crossJoin(F.broadcast(n)).select("token", F.log(F.col("n") / F.col("df")).alias("w"))
+    tf = index.where(F.col("token").isin(words) & (F.col("column") == column)).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    n = rows if isinstance(rows, int) else rows.count()
+    # a row for each word of the query
+    weights = tf.groupBy("token").agg(F.log(F.lit(n) / F.count("*")).alias("w"))
     score = tf.join(F.broadcast(weights), "token").groupBy("id").agg(F.round(F.sum(F.col("tf") * F.col("w")), 6).alias("score"))
     return score.orderBy(F.desc("score"), "id").limit(most)
 
 
 def compose(catalog: DataFrame, requirement: str, target_object: str = "", categories: tuple[str, ...] = (), per_keyword: int = 5, per_category: int = 5) -> DataFrame:
     """Per category, the most complex of the target object's rows and of each keyword's first rows."""
-    spark = catalog.sparkSession
-    words = spark.createDataFrame([(requirement,)], "t string").select(F.posexplode(T.keywords(F.col("t"))).alias("k", "word"))
+    words = catalog.sparkSession.createDataFrame([(requirement,)], "t string").select(T.keywords(F.col("t"))).first()[0]
     pool = catalog.where(F.col("category").isin(*categories)) if categories else catalog
-    hit = reduce(lambda a, b: a | b, (F.ilike(F.col(c), F.concat(F.lit("%"), "word", F.lit("%"))) for c in ("name", "description", "tags_text")))
-    first = Window.partitionBy("category", "k").orderBy("id")
-    # the words number ten at most
-    by_word = pool.join(F.broadcast(words), hit).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_keyword)
-    parts = by_word.select("category", "id", (F.col("k") + 1).alias("origin"))
-    if target_object:
-        parts = parts.unionByName(pool.where(like(F.col("source_object"), target_object)).select("category", "id", F.lit(0).alias("origin")))
-    seen = parts.groupBy("category", "id").agg(F.min("origin").alias("origin"))
+    texts = ("name", "description", "tags_text")
+    low = pool.select("category", "id", "complexity_score", "source_object", *[F.lower(c).alias(c) for c in texts])
+    hit = [reduce(lambda a, b: a | b, (F.coalesce(F.col(c).like(f"%{_escaped(w)}%"), F.lit(False)) for c in texts)) for w in words]
+    ks = [F.when(h, k) for k, h in enumerate(hit, 1)]
+    ks += [F.when(like(F.col("source_object"), target_object), 0)] if target_object else []
+    origins = low.select("category", "id", "complexity_score", F.explode(F.array_compact(F.array(*ks, F.lit(None).cast("int")))).alias("origin"))
+    first = Window.partitionBy("category", "origin").orderBy("id")
+    picked = origins.withColumn("n", F.row_number().over(first)).where((F.col("n") <= per_keyword) | (F.col("origin") == 0))
+    seen = picked.groupBy("category", "id").agg(F.min("origin").alias("origin"), F.first("complexity_score").alias("complexity_score"))
     top = Window.partitionBy("category").orderBy(F.desc("complexity_score"), "origin", "id")
-    full = seen.join(pool.drop("category"), "id").withColumn("place", F.row_number().over(top))
-    return full.where(F.col("place") <= per_category)
+    best = seen.withColumn("place", F.row_number().over(top)).where(F.col("place") <= per_category)
+    return best.select("id", "origin", "place").join(pool, "id")
+
+
+def _escaped(part: str) -> str:
+    return part.replace("\\", "\\\\")
 
 
-def compose_client(catalog: DataFrame, requirement: str, target_object: str, per_category: int = 5, by_object: int = 10) -> DataFrame:
+def compose_client(catalog: DataFrame, requirement: str, target_object: str, per_category: int = 5, by_object: int = 10, index: DataFrame | None = None) -> DataFrame:
     """The other composition: per category the first matches of the whole requirement, then the object's rows not yet there."""
     own = Window.partitionBy("category").orderBy(F.desc("complexity_score"), "name", "id")
-    first = search(catalog, requirement).withColumn("place", F.row_number().over(own)).where(F.col("place") <= per_category).select("id", F.lit(0).alias("origin"))
+    first = search(catalog, requirement, index).withColumn("place", F.row_number().over(own)).where(F.col("place") <= per_category).select("id", F.lit(0).alias("origin"))
     object_rows = ordered(catalog.where(like(F.col("source_object"), target_object))).limit(by_object).select("id", F.lit(1).alias("origin"))
     return first.unionByName(object_rows).groupBy("id").agg(F.min("origin").alias("origin")).join(catalog, "id")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.search import write_index
+from ..sources.store import stored, written
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +15,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and labels in the roles of patterns; created_at is the id's order."""
+    """The stored catalog: scores and hashes are computed when it is made, at its first use, as at an ingest."""
+    return stored(spark, (sf_dir, "catalog"), lambda: written(made(spark, sf_dir), "catalog"))
+
+
+def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored token table of the catalog."""
+    return stored(spark, (sf_dir, "tokens"), lambda: write_index(catalog(spark, sf_dir)))
+
+
+def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents and labels in the roles of patterns."""
     docs = load(spark, sf_dir, "documents")
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     text = F.col("text")

@@ -11,7 +11,9 @@ from .. import vocab
 from ..functions import text as T
 from ..operators import brands, rendering, search, stats
 from ..operators import catalog as C
+from ..operators import graph
 from .catalog_view import CATALOG_SQL, catalog, load
+from .catalog_view import token_index as token_index_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,26 +70,49 @@ def get_pattern(spark, d):
 _TOKENS = r"list_filter(string_split_regex(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-@query(f"SELECT id FROM cat WHERE list_contains({_TOKENS.format('description')}, 'the') AND (list_contains({_TOKENS.format('description')}, 'of') OR list_contains({_TOKENS.format('name')}, 'of'))", True)
+@query(" AND ".join(f"(list_contains({_TOKENS.format('description')}, '{w}') OR list_contains({_TOKENS.format('name')}, '{w}'))" for w in ("the", "of")).join(("SELECT id FROM cat WHERE ", "")), True)
 def match_terms(spark, d):
-    return catalog(spark, d).where(search.matches("the OF !!!", ("name", "description"))).select("id")
+    return search.ids_with_all(token_index_of(spark, d), "the OF !!!", ("name", "description"))
+
+
+@query(f"SELECT id FROM cat WHERE list_contains({_TOKENS.format('description')}, 'thing') AND contains(' ' || array_to_string({_TOKENS.format('description')}, ' ') || ' ', ' of the ')", True)
+def match_by_scan(spark, d):
+    return catalog(spark, d).where(search.matches("thing of_the", ("description",))).select("id")
+
+
+@query(f"""t AS (SELECT id, unnest({_TOKENS.format('description')}) AS token, generate_subscripts({_TOKENS.format('description')}, 1) AS pos FROM cat),
+x AS (SELECT a.id FROM t a JOIN t b ON b.id = a.id AND b.pos > a.pos AND b.pos - a.pos - 1 <= 3 WHERE (a.token = 'thing' AND b.token = 'the') OR (a.token = 'the' AND b.token = 'thing'))
+SELECT DISTINCT id FROM x""", True)
+def match_near(spark, d):
+    return search.ids_near(token_index_of(spark, d), "thing", "the", 3, ("description",))
+
+
+@query("SELECT id FROM cat WHERE tags_text ILIKE '%\"src1\"%' OR name ILIKE '%\"src1\"%' OR description ILIKE '%\"src1\"%'", True)
+def search_quoted(spark, d):
+    return search.search(catalog(spark, d), '"src1"', token_index_of(spark, d)).select("id")
+
+
+@query(f"SELECT id FROM cat WHERE list_contains({_TOKENS.format('description')}, 'thing') AND list_contains({_TOKENS.format('source_object')}, 'src1')", True)
+def search_hits(spark, d):
+    return search.search(catalog(spark, d), "thing src1", token_index_of(spark, d)).select("id")
 
 
 @query(f"SELECT id FROM cat WHERE contains(' ' || array_to_string({_TOKENS.format('description')}, ' ') || ' ', ' of the ')", True)
 def match_phrase(spark, d):
-    return catalog(spark, d).where(search.matches("of_the", ("description",))).select("id")
+    return search.ids_with_all(token_index_of(spark, d), "of_the", ("description",))
 
 
 @query(f"SELECT id FROM cat WHERE list_contains({_TOKENS.format('description')}, 'element')", True)
 def match_folded(spark, d):
-    return catalog(spark, d).where(search.matches("Élément", ("description",))).select("id")
+    return search.ids_with_all(token_index_of(spark, d), "Élément", ("description",))
 
 
 @query(f"""SELECT id FROM cat WHERE len(list_filter({_TOKENS.format('description')}, lambda t: starts_with(t, 'thin'))) > 0 AND NOT list_contains({_TOKENS.format('description')}, 'of')
 OR list_contains({_TOKENS.format('source_object')}, 'src4')""", True)
 def match_boolean(spark, d):
-    description = F.col("description")
-    return catalog(spark, d).where(T.has_prefix(description, "thin") & ~T.has_term(description, "of") | T.has_term(F.col("source_object"), "src4")).select("id")
+    index, text = token_index_of(spark, d), ("description",)
+    thin = search.without(search.ids_with_prefix(index, "thin", text), search.ids_with_all(index, "of", text))
+    return search.either(thin, search.ids_with_all(index, "src4", ("source_object",)))
 
 
 @query("SELECT id, complexity_score FROM cat WHERE description ILIKE '%thin the%' OR name ILIKE '%thin the%' OR source_object ILIKE '%thin the%' OR tags_text ILIKE '%thin the%'", True)
@@ -102,19 +127,18 @@ def like_fallback(spark, d):
 
 @query("SELECT id FROM cat WHERE name ILIKE '%ngths%' OR description ILIKE '%ngths%' OR source_object ILIKE '%ngths%' OR tags_text ILIKE '%ngths%'", True)
 def search_with_fallback(spark, d):
-    return search.search(catalog(spark, d), "ngths").select("id")
+    return search.search(catalog(spark, d), "ngths", token_index_of(spark, d)).select("id")
 
 
 @query(f"""t AS (SELECT id, unnest({_TOKENS.format('description')}) AS token FROM cat)
 SELECT token, count(*) AS n, count(DISTINCT id) AS n_rows FROM t GROUP BY token""", True)
 def token_index(spark, d):
-    return search.token_table(catalog(spark, d), ("description",)).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_rows"))
+    return token_index_of(spark, d).where("column = 'description'").groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_rows"))
 
 
 @query(f"SELECT id, category FROM cat WHERE list_contains({_TOKENS.format('description')}, 'und')", True)
 def index_semi_join(spark, d):
-    cat = catalog(spark, d)
-    return search.semi_search(cat, search.token_table(cat, ("description",)), "und").select("id", "category")
+    return search.semi_search(catalog(spark, d), token_index_of(spark, d).where("column = 'description'"), "und").select("id", "category")
 
 
 @query(f"""t AS (SELECT id, unnest({_TOKENS.format('description')}) AS token FROM cat),
@@ -122,7 +146,7 @@ x AS (SELECT id, token, count(*) AS tf FROM t WHERE token IN ('the', 'thing', 'e
 y AS (SELECT token, ln((SELECT count(*) FROM cat) / count(*)) AS w FROM x GROUP BY token)
 SELECT id, round(sum(tf * w), 6) AS score FROM x JOIN y USING (token) GROUP BY id ORDER BY score DESC, id LIMIT 10""", True)
 def rank_lexical(spark, d):
-    return search.rank(catalog(spark, d), "the thing Élément")
+    return search.rank(token_index_of(spark, d), catalog(spark, d), "the thing Élément")
 
 
 @query("SELECT pos, p_partkey, p_name FROM (VALUES (0, 17), (1, 3), (2, 99999999), (3, 8)) AS v(pos, k) JOIN part ON p_partkey = k")
@@ -193,7 +217,7 @@ def percent_done(spark, d):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR")
 def fresh_entries(spark, d):
-    fresh = load(spark, d, "events").where("ts > timestamp'2024-01-30 00:00:00' - interval 24 hours")
+    fresh = rendering.fresh(load(spark, d, "events"), "ts", 24, F.lit("2024-01-30 00:00:00").cast("timestamp"))
     return fresh.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
@@ -239,8 +263,8 @@ def count_uses(spark, d):
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'")
 def source_of_row(spark, d):
     orders = load(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    customers = load(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "c_mktsegment")
+    customers = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return C.with_source(orders, customers, "o_custkey").select("o_orderkey", "c_name", "c_mktsegment")
 
 
 @query("SELECT u.conv_id, u.turn, length(a.text) AS answer_chars FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
@@ -268,7 +292,7 @@ x AS (SELECT id, 0 AS origin FROM (SELECT id, row_number() OVER (PARTITION BY ca
 UNION ALL (SELECT id, 1 FROM t WHERE source_object ILIKE '%src2%' ORDER BY complexity_score DESC, name, id LIMIT 10))
 SELECT id, min(origin) AS origin FROM x GROUP BY id""".replace("\\\\", "\\"), True)
 def compose_for_editor(spark, d):
-    return search.compose_client(catalog(spark, d), "thing", "src2").select("id", "origin")
+    return search.compose_client(catalog(spark, d), "thing", "src2", index=token_index_of(spark, d)).select("id", "origin")
 
 
 _STOP = ", ".join(f"'{w}'" for w in vocab.STOP_WORDS)
@@ -482,14 +506,9 @@ def text_report(spark, d):
 r AS (SELECT conv_id, a, b, 1 AS steps FROM e WHERE a = 0 AND b IS NOT NULL UNION ALL SELECT r.conv_id, r.a, e.b, steps + 1 FROM r JOIN e ON e.conv_id = r.conv_id AND e.a = r.b WHERE e.b IS NOT NULL)
 SELECT conv_id, b AS reached, CAST(steps AS BIGINT) AS steps FROM r""")
 def topology_reach(spark, d):
-    talk = load(spark, d, "conversations")
-    talk.select("conv_id", F.col("turn").alias("a"), F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b")).where("b IS NOT NULL").createOrReplaceTempView("topology_edges")
-    return spark.sql(
-        """WITH RECURSIVE r(conv_id, b, steps) AS (
-             SELECT conv_id, b, CAST(1 AS BIGINT) FROM topology_edges WHERE a = 0
-             UNION ALL SELECT r.conv_id, e.b, r.steps + 1 FROM r JOIN topology_edges e ON e.conv_id = r.conv_id AND e.a = r.b)
-           SELECT conv_id, b AS reached, steps FROM r"""
-    )
+    talk = load(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("a"), F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    reached = graph.reach(talk, talk.where("a = 0").select("g", F.col("a").alias("node")))
+    return reached.where("steps > 0").select(F.col("g").alias("conv_id"), F.col("node").alias("reached"), "steps")
 
 
 # Rendering, rankings' bookkeeping ------------------------------------------------------------------

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,31 +19,47 @@ SUFFIXES = {
 CONFIG, PACKAGE = "sfdx-project.json", "force-app"
 
 
-def project_root(project: str) -> str | None:
-    """Where a project's sources are: its package folder, itself, or the first configured folder that exists."""
-    here = Path(project)
-    if (here / PACKAGE).is_dir():
-        return str(here / PACKAGE)
-    if here.name == PACKAGE:
-        return str(here)
-    try:
-        folders = json.loads((here / CONFIG).read_text())["packageDirectories"]
-        paths = [here / str(x.get("path", "")) for x in folders]
-    except (OSError, ValueError, KeyError, TypeError, AttributeError):
-        return None
-    return next((str(p) for p in paths if p.is_dir()), None)
-
-
-def list_projects(base: str) -> list[dict]:
-    top = Path(base)
-    if not top.is_dir():
-        return []
-    found = []
-    for child in sorted(top.iterdir()):
-        config, package = (child / CONFIG).exists(), (child / PACKAGE).is_dir()
-        if child.is_dir() and (config or package):
-            found.append({"name": child.name, "path": str(child), "has_sfdx_config": config, "has_force_app": package})
-    return found
+def projects(files: DataFrame, base: str) -> DataFrame:
+    """name, path, has_config, has_package and root of the projects right under `base`, from (path, content) of the files there.
+
+    A project is a folder with a configuration or a package folder that has files. Its root, where its sources
+    are, is the package folder, else the first configured folder that has files, else null.
+    """
+    top = base.rstrip("/")
+    below = files.where(F.col("path").startswith(f"{top}/")).select(F.split(F.substring("path", len(top) + 2, 1 << 30), "/").alias("p"), "content")
+    below = below.where("size(p) > 1").select(F.get("p", F.lit(0)).alias("name"), F.array_join(F.slice("p", 2, 1 << 20), "/").alias("inner"), "content")
+    listed = F.from_json("content", "packageDirectories array<struct<path:string>>")["packageDirectories"]["path"]
+    config = F.when(F.col("inner") == CONFIG, listed)
+    package = F.col("inner").startswith(f"{PACKAGE}/")
+    found = below.groupBy("name").agg(F.bool_or(F.col("inner") == CONFIG).alias("has_config"), F.bool_or(package).alias("has_package"), F.first(config, True).alias("dirs"))
+    found = found.where("has_config OR has_package")
+    wanted = found.where("NOT has_package").select("name", F.posexplode("dirs").alias("k", "dir")).select("name", "k", F.trim(F.regexp_replace("dir", r"^(\./)+|/+$", "")).alias("dir"))
+    there = below.join(wanted, "name").where(F.col("inner").startswith(F.concat("dir", F.lit("/")))).groupBy("name").agg(F.min(F.struct("k", "dir")).alias("first"))
+    path = F.concat(F.lit(f"{top}/"), "name")
+    root = F.when(F.col("has_package"), F.concat(path, F.lit(f"/{PACKAGE}"))).otherwise(F.concat(path, F.lit("/"), "first.dir"))
+    return found.join(there, "name", "left").select("name", path.alias("path"), "has_config", "has_package", root.alias("root"))
+
+
+def project_root(spark: SparkSession, project: str) -> str | None:
+    """Where one project's sources are; a package folder is its own root."""
+    project = project.rstrip("/")
+    base, _, name = project.rpartition("/")
+    if name == PACKAGE:
+        return project
+    row = projects(listing(spark, project), base or "/").where(F.col("name") == name).first()
+    return row["root"] if row else None
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path and content (of project configurations, else null) of the files under `root`, by whatever file system Spark reads."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    configs = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", CONFIG).load(root)
+    paths = files.select(_plain(F.col("path")).alias("path"))
+    return paths.join(configs.select(_plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("content")), "path", "left")
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def file_type(path: Column) -> Column:
@@ -61,22 +74,24 @@ def file_type(path: Column) -> Column:
     return out.when(name.endswith(".cls") & F.array_contains(parts, "classes"), "apex")
 
 
-def scan(spark: SparkSession, root: str, source_name: str) -> DataFrame:
-    """path, name, file_type, content and source_hash of every file under `root`, also of those without a type.
-
-    Folders and files whose names begin with . or _ are hidden to Spark and left out.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
+def described(files: DataFrame, source_name: str) -> DataFrame:
+    """path, name, file_type, content and source_hash of files (path, content as text), also of those without a type."""
+    path = _plain(F.col("path"))
     return files.select(
         path.alias("path"),
         F.element_at(F.split(path, "/"), -1).alias("name"),
         file_type(path).alias("file_type"),
-        F.decode("content", "UTF-8").alias("content"),
+        "content",
         T.short_hash(F.lit(source_name), 12).alias("source_hash"),
     )
 
 
+def scan(spark: SparkSession, root: str, source_name: str) -> DataFrame:
+    """Every file under `root`, described. Folders and files whose names begin with . or _ are hidden to Spark and left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return described(files.select("path", F.decode("content", "UTF-8").alias("content")), source_name)
+
+
 def file_counts(files: DataFrame) -> DataFrame:
     return files.where("file_type IS NOT NULL").groupBy("file_type").agg(F.count("*").alias("n"))
 

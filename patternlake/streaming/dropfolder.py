@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text as T
 from ..operators.extract import extract
-from ..sources.metadata import file_type
+from ..sources.metadata import described
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -16,14 +15,7 @@ FILE = "path string, modificationTime timestamp, length long, content binary"
 def arrivals(spark: SparkSession, folder: str, source_name: str) -> DataFrame:
     """A stream with the columns of metadata.scan."""
     files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).load(folder)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(
-        path.alias("path"),
-        F.element_at(F.split(path, "/"), -1).alias("name"),
-        file_type(path).alias("file_type"),
-        F.decode("content", "UTF-8").alias("content"),
-        T.short_hash(F.lit(source_name), 12).alias("source_hash"),
-    )
+    return described(files.select("path", F.decode("content", "UTF-8").alias("content")), source_name)
 
 
 def watch(spark: SparkSession, folder: str, source_name: str, out: str, state: str, labels: dict[str, str] | None = None) -> StreamingQuery:

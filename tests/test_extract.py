@@ -1,8 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from patternlake.operators import brands, extract
+from patternlake.operators import brands, catalog, extract
 from patternlake.sources import metadata
 from tests import project
 
@@ -10,8 +11,8 @@ from tests import project
 @pytest.fixture(scope="module")
 def files(spark, tmp_path_factory):
     root = project.write(tmp_path_factory.mktemp("projects"))
-    assert metadata.project_root(str(root)) == str(root / "force-app")
-    return metadata.scan(spark, metadata.project_root(str(root)), root.name).persist()
+    assert metadata.project_root(spark, str(root)) == str(root / "force-app")
+    return metadata.scan(spark, metadata.project_root(spark, str(root)), root.name).persist()
 
 
 @pytest.fixture(scope="module")
@@ -105,14 +106,32 @@ def test_hash_ignores_key_order():
     assert extract.content_hash("a", "b", {"x": 1, "y": [2]}) == extract.content_hash("a", "b", {"y": [2], "x": 1})
 
 
-def test_projects(tmp_path):
+def test_projects(spark, tmp_path):
     project.write(tmp_path)
     (tmp_path / "plain").mkdir()
-    assert [p["name"] for p in metadata.list_projects(str(tmp_path))] == ["acme"]
-    assert metadata.list_projects(str(tmp_path / "none")) == []
-    other = tmp_path / "other"
-    (other / "src").mkdir(parents=True)
-    (other / "sfdx-project.json").write_text('{"packageDirectories": [{"path": "none"}, {"path": "src"}]}')
-    assert metadata.project_root(str(other)) == str(other / "src")
-    (other / "sfdx-project.json").write_text("{")
-    assert metadata.project_root(str(other)) is None
+    (tmp_path / "plain" / "note.txt").write_text("x")
+    config = '{"packageDirectories": [{"path": "none"}, {"path": "./src/"}, {"default": true}]}'
+    for name, text in (("other", config), ("broken", "{")):
+        (tmp_path / name / "src").mkdir(parents=True)
+        (tmp_path / name / "sfdx-project.json").write_text(text)
+        (tmp_path / name / "src" / "A.cls").write_text("class A {}")
+    rows = metadata.projects(metadata.listing(spark, str(tmp_path)), str(tmp_path)).orderBy("name").collect()
+    assert [(r["name"], r["has_config"], r["has_package"]) for r in rows] == [("acme", False, True), ("broken", True, False), ("other", True, False)]
+    assert [r["root"] for r in rows] == [str(tmp_path / "acme" / "force-app"), None, str(tmp_path / "other" / "src")]
+    assert metadata.project_root(spark, str(tmp_path / "other")) == str(tmp_path / "other" / "src")
+    assert metadata.project_root(spark, str(tmp_path / "broken")) is None and metadata.project_root(spark, str(tmp_path / "plain")) is None
+    assert metadata.project_root(spark, str(tmp_path / "acme" / "force-app")) == str(tmp_path / "acme" / "force-app")
+
+
+def test_brands_of_each_source(spark, files):
+    """Rows of two sources meet their own terms only, and stored rows get the hash that extraction gives."""
+    other = files.withColumn("source_hash", F.lit("other"))
+    labels = spark.createDataFrame([(files.first()["source_hash"], "AcmeCloud", "Brand_A"), ("other", "Solo", "Brand_B")], "source_hash string, term string, label string")
+    found = extract.extract(files.unionByName(other), labels).where("pattern_type = 'field_definition'")
+    names = {(r["source_hash"] == "other", r["name"]) for r in found.collect()}
+    assert (False, "Field: Lead.Brand_A_Tier__c") in names and (True, "Field: Lead.AcmeCloud_Tier__c") in names
+    stored = found.withColumn("was", F.col("content_hash")).withColumn("content_hash", F.lit(None).cast("string"))
+    assert catalog.with_hash(stored).where("content_hash <> was OR content_hash IS NULL").count() == 0
+    texts = spark.createDataFrame([("s1", "an AcmeCloud x"), ("s2", "an acmecloud x"), ("s3", "AcmeCloud")], "source_hash string, t string")
+    terms = spark.createDataFrame([("s1", "Acme", "Brand_B"), ("s1", "acmecloud", "Brand_A"), ("s2", "a.c", "Brand_A")], "source_hash string, term string, label string")
+    assert {r["t"] for r in brands.scrub_by_source(texts, ["t"], terms).collect()} == {"an Brand_A x", "an acmecloud x", "AcmeCloud"}
