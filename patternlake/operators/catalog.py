@@ -145,6 +145,11 @@ def favorite_state(catalog: DataFrame, pattern_id: int) -> DataFrame:
     return state.select(F.lit(pattern_id).cast("long").alias("id"), F.col("favorited").isNotNull().alias("found"), "favorited")
 
 
+def tags_of(text: Column) -> Column:
+    """Tags that are stored as JSON text; an empty list where it isn't a list."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
 def document(catalog: DataFrame) -> DataFrame:
     """id and document: a row's 18 keys as JSON, with structure and lists as values and the time in ISO form."""
     d = {c: F.col(c) for c in [f.split()[0] for f in SCHEMA.split(", ")]}

@@ -17,7 +17,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -650,6 +650,12 @@ def flows(files: DataFrame) -> DataFrame:
     return files.where("file_type = 'flow'").select("name", "content", "source_hash").mapInArrow(run, ROW)
 
 
+def edges(flows: DataFrame) -> DataFrame:
+    """source_hash, source_file, from, to and type of the edges between the elements of whole flows."""
+    found = F.from_json("structure", "topology array<struct<from:string,to:string,type:string>>")["topology"]
+    return flows.where("pattern_type = 'flow_full'").select("source_hash", "source_file", F.explode(found).alias("e")).select("source_hash", "source_file", "e.*")
+
+
 def structure_fields(document) -> list[str]:
     """Field references among the strings of a document, sorted."""
     found: set[str] = set()
@@ -756,4 +762,9 @@ def extract(files: DataFrame, labels: dict[str, str] | DataFrame | None = None)
     """The finished rows of all files; these are read once and kept by type, so that each extractor reads its own."""
     files = written(files, "files", ("file_type",))
     every = reduce(DataFrame.unionByName, (f(files) for f in EXTRACTORS.values()))
-    return finished(every, labels or {})
+    return finished(every, {} if labels is None else labels)
+
+
+def watched(rows: DataFrame, progress: Observation) -> DataFrame:
+    """`rows`, whose number, also by category, `progress` tells once they have been computed."""
+    return rows.observe(progress, F.count("*").alias("rows"), *[F.count(F.when(F.col("category") == c, 1)).alias(c) for c in vocab.CATEGORIES])

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import brands, rendering, search, stats
+from ..operators import brands, graph, rendering, search, stats
 from ..operators import catalog as C
-from ..operators import graph
-from .catalog_view import CATALOG_SQL, catalog, load
+from .catalog_view import catalog, load
 from .catalog_view import token_index as token_index_of
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-_WITH = "WITH" + CATALOG_SQL
-
-
-def query(sql: str, with_catalog: bool = False):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = (_WITH + ("," if sql.lstrip().startswith(("t AS", "w AS", "x AS")) else "") if with_catalog else "") + sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _doc_text(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", "text")

@@ -87,15 +87,66 @@ TOO_COMMON_ALONE = tuple(
 
 # Fixed values. Endings that are dropped from company names, the longest that fits once.
 COMPANY_SUFFIXES = tuple(
-    " " + x.strip()
+    " " + x
     for x in (
-        "incorporated | inc. | inc | corporation | corp. | corp | company | co. | co | llc | ltd. | ltd | "
-        "l.p. | lp | plc | group | holdings | holding | international | intl | n.a. | s.a. | ag | se | nv | & "
-        "co. | & co | enterprises | industries | solutions | services | technologies | technology | partners "
-        "| associates | financial | bancorp | bancshares | bankcorp | brands | systems | networks | "
-        "communications | health | healthcare | pharma | therapeutics | biosciences | sciences | labs | "
-        "laboratories | de | sa | spa | gmbh | pty | bv "
-    ).split("|")
+        "incorporated",
+        "inc.",
+        "inc",
+        "corporation",
+        "corp.",
+        "corp",
+        "company",
+        "co.",
+        "co",
+        "llc",
+        "ltd.",
+        "ltd",
+        "l.p.",
+        "lp",
+        "plc",
+        "group",
+        "holdings",
+        "holding",
+        "international",
+        "intl",
+        "n.a.",
+        "s.a.",
+        "ag",
+        "se",
+        "nv",
+        "& co.",
+        "& co",
+        "enterprises",
+        "industries",
+        "solutions",
+        "services",
+        "technologies",
+        "technology",
+        "partners",
+        "associates",
+        "financial",
+        "bancorp",
+        "bancshares",
+        "bankcorp",
+        "brands",
+        "systems",
+        "networks",
+        "communications",
+        "health",
+        "healthcare",
+        "pharma",
+        "therapeutics",
+        "biosciences",
+        "sciences",
+        "labs",
+        "laboratories",
+        "de",
+        "sa",
+        "spa",
+        "gmbh",
+        "pty",
+        "bv",
+    )
 )
 
 # Fixed values. Words that are no keywords.

@@ -135,3 +135,11 @@ def test_brands_of_each_source(spark, files):
     texts = spark.createDataFrame([("s1", "an AcmeCloud x"), ("s2", "an acmecloud x"), ("s3", "AcmeCloud")], "source_hash string, t string")
     terms = spark.createDataFrame([("s1", "Acme", "Brand_B"), ("s1", "acmecloud", "Brand_A"), ("s2", "a.c", "Brand_A")], "source_hash string, term string, label string")
     assert {r["t"] for r in brands.scrub_by_source(texts, ["t"], terms).collect()} == {"an Brand_A x", "an acmecloud x", "AcmeCloud"}
+
+
+def test_progress(files):
+    from pyspark.sql import Observation
+
+    progress = Observation("extraction")
+    extract.watched(extract.extract(files), progress).count()
+    assert progress.get["rows"] == progress.get["Data Model"] + sum(progress.get[c] for c in ("Flow Logic", "Data Validation", "UI Component", "Reporting", "Page Layout", "Apex Logic")) and progress.get["Data Model"] == 5

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from patternlake.functions import text as T
-from patternlake.operators import brands, catalog, search
-from patternlake.sources import dictionary
+from patternlake.operators import brands, catalog, graph, rendering, search
+from patternlake.sources import dictionary, store
 from patternlake.streaming import dropfolder
 from tests import project
 
@@ -126,3 +126,54 @@ def test_drop_folder(spark, tmp_path):
     query = dropfolder.watch(spark, str(tmp_path / "acme"), "acme", str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where("pattern_type = 'field_definition'").count() == 4
+
+
+def test_numbered(spark):
+    rows = spark.range(1000, numPartitions=7).selectExpr("id", "(id * 7919) % 1000 AS k")
+    found = catalog.numbered(rows, ["k"]).collect()
+    assert all(r["place"] == r["k"] + 1 for r in found) and len(found) == 1000
+
+
+def test_evolved(spark):
+    old = spark.createDataFrame([(1, "a", "own")], "id int, Name string, extra string")
+    new = catalog.evolved(old)
+    assert new.columns[:2] == ["id", "pattern_type"] and new.columns[-1] == "extra" and new.schema["id"].dataType.simpleString() == "bigint"
+    assert catalog.evolved(new).columns == new.columns and new.first()["name"] == "a"
+
+
+def test_phrases_and_neighbours(spark):
+    texts = spark.createDataFrame([(1, "a b a b c"), (2, "c x x b a"), (3, "b"), (4, None)], "id long, t string")
+    index = search.token_table(texts, ("t",)).persist()
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(search.ids_with_all(index, "a_b_c")) == [1] and ids(search.ids_with_all(index, "b a")) == [1, 2] and ids(search.ids_with_all(index, "!!!")) == []
+    assert ids(search.ids_near(index, "c", "b", 2)) == [1, 2] and ids(search.ids_near(index, "c", "b", 1)) == [1] and ids(search.ids_near(index, "a b", "c", 0)) == [1]
+    assert ids(search.ids_near(index, "!", "c")) == [] and ids(search.ids_with_prefix(index, "X")) == [2] and ids(search.ids_with_prefix(index, "")) == []
+    assert ids(search.either(search.ids_with_all(index, "x"), search.without(search.ids_with_all(index, "b"), search.ids_with_all(index, "c")))) == [2, 3]
+    assert ids(search.both(search.ids_with_all(index, "b"), search.ids_with_all(index, "x"))) == [2]
+
+
+def test_reach(spark):
+    long = [("long", k, k + 1) for k in range(1000)]
+    edges = spark.createDataFrame([*long, ("loop", 1, 2), ("loop", 2, 3), ("loop", 3, 1), ("loop", 1, 3), ("none", 5, None)], "g string, a int, b int")
+    starts = spark.createDataFrame([("long", 0), ("loop", 1), ("lost", 9)], "g string, node int")
+    found = {(r["g"], r["node"]): r["steps"] for r in graph.reach(edges, starts).collect()}
+    assert found == {("long", k): k for k in range(1001)} | {("loop", 1): 0, ("loop", 2): 1, ("loop", 3): 1, ("lost", 9): 0}
+
+
+def test_ledger_and_blueprint(spark):
+    calls = spark.createDataFrame([("d1", 0.5), ("d1", 0.25), ("d2", 1.0)], "day string, cost double")
+    ledger = rendering.store_call(spark.createDataFrame([("d1", 2, 1.0)], "day string, calls long, cost double"), F.col("day"), F.col("cost"), calls)
+    assert sorted(map(tuple, ledger.collect())) == [("d1", 4, 1.75), ("d2", 1, 1.0)]
+    rows = spark.createDataFrame([("c", 1, 7, "n", "o", 3, None, "t")], "category string, place int, id long, name string, source_object string, complexity_score int, description string, tags_text string")
+    text = [r["text"] for r in rendering.blueprint(rows, "req", "obj").orderBy("category", "place").collect()]
+    assert text[0].startswith("# Solution Blueprint") and text[0].endswith("Found 1 relevant patterns:") and text[1] == "### c" and text[2] == "- **[7] n** (o, complexity 3/5)\n  \n  Tags: t"
+
+
+def test_tables_are_made_once(spark):
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    store.forget("x")
+    assert store.stored(spark, ("x", "y"), make).count() == store.stored(spark, ("x", "y"), make).count() == 3 and len(made) == 1
+    store.forget("x")
+    store.stored(spark, ("x", "y"), make)
+    assert len(made) == 2
