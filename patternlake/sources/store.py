@@ -45,3 +45,10 @@ def forget(*key: str) -> None:
     """Let tables whose key starts so be made anew, for when what they were made from has changed."""
     for held in [k for k in _held if k[1 : 1 + len(key)] == key]:
         del _held[held]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever file system it is, that no table still to be read needs."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
