@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next one's docs. All but the last return the columns of
 documents. ORACLE_SQL is None as SQL can't express the stages; tests hold them
 against brute force.
+
+Defined results, for every stage: null texts are empty ones (which the first stage
+rejects); texts are read whole; rows that are repeated are judged one by one, and near_dedup
+keeps one of them; an empty table goes through as one; columns of any other name pass
+through all stages but the last. Ties, null ids and null sources: see the operators.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternlake.llm import near, packing, pii, quality, repeats
-from patternlake.llm.common import shared_folder
+from patternlake.sources.store import remove, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what lies between them goes to the shared checkpoint folder."""
+    """The stages over documents; what lies between them goes to the shared checkpoint folder.
+
+    A stage's rows are deleted when the next stage's have been written; the last ones stay, as the result reads them.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
@@ -66,4 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
