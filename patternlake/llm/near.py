@@ -212,11 +212,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of text ids whose texts (h, t) are linked; few texts are b.
 
-    Both sides of the second join are dealt anew, which lets Spark split a b of many pairs.
+    The ids of the second side are computed, so that it does not count as dealt by them already: both sides of the
+    second join are then dealt for it, which lets Spark split a b of many pairs.
     """
     first = texts.select(F.col("h").alias("a"), F.col("t").alias("ta"))
-    second = texts.join(pairs.select(F.col("b").alias("h")).distinct(), "h").select("h", "t").mapInArrow(lambda batches: batches, "h long, t string")
-    second = second.select(F.col("h").alias("b"), F.col("t").alias("tb"))
+    second = texts.join(pairs.select(F.col("b").alias("h")).distinct(), "h").select(F.col("h").bitwiseXOR(F.lit(0)).alias("b"), F.col("t").alias("tb"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
 

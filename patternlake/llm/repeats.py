@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, table
@@ -110,17 +110,9 @@ def _runs_of_texts(length: int, q: int):
             data, ends = bytes_of(batch["t"])
             h, g, c = (batch[x].to_numpy(zero_copy_only=False) for x in ("h", "g", "c"))
             for own, lo, hi, at, key, content in runs(data, ends, length, q):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.view(np.int64)),
-                        pa.array(content.view(np.int64)),
-                        pa.array(h[own]),
-                        pa.array(g[own]),
-                        pa.array(lo << 24 | (hi - lo) << 12 | (at - lo)),
-                        pa.array(c[own]),
-                    ],
-                    ["k", "r", "h", "g", "at", "c"],
-                )
+                rest = np.stack([content.view(np.int64), h[own], g[own], lo << 24 | (hi - lo) << 12 | (at - lo), c[own]], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rest.size + 1, len(_REST), dtype=np.int32)), pa.array(rest.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), lists], ["k", "v"])
 
     return run
 
@@ -203,12 +195,18 @@ def _spans(windows: np.ndarray, hit: np.ndarray, owner: np.ndarray, length: int)
 
 
 _SPAN = "h long, g long, a long, b long"
-_RUN = "k long, r long, h long, g long, at long, c long"
+#: A run: its q-gram, and an array of its content, text, place and number. What is in one array travels as one, and
+#: what can't be null needs no filter, so that each reader of the runs can reuse their exchange.
+_RUN, _REST = "k long NOT NULL, v array<long> NOT NULL", ("r", "h", "g", "at", "c")
+
+
+def _part(name: str) -> Column:
+    return F.coalesce(F.get("v", F.lit(_REST.index(name))), F.lit(0).cast("long")).alias(name)
 
 
-def _whole_rows(df: DataFrame) -> DataFrame:
-    """`df`, with all of its columns in use, so that each reader of it can reuse one exchange."""
-    return df.mapInArrow(lambda batches: batches, df.schema)
+def _in_use(df: DataFrame) -> DataFrame:
+    """`df`, whose columns are all looked at (for what is always so), so that each reader of it can reuse one exchange."""
+    return df.where((F.xxhash64(*df.columns) != 0) | F.col("n").isNotNull())
 
 
 def _refine(length: int):
@@ -284,11 +282,11 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH, q: i
 
     one = F.lit(1).cast("long")
     every_run = runs_of(docs.select("t", one.alias("h"), one.alias("g"), one.alias("c")))
-    often = every_run.groupBy(F.struct("k").alias("x")).agg(F.sum("c").alias("n")).where("n > 1").select("x.k")
+    often = every_run.select("k", _part("c")).groupBy(F.struct("k").alias("x")).agg(F.sum("c").alias("n")).where("n > 1").select("x.k")
     found = runs_of(texts)
-    found = _whole_rows(found.join(often, "k", "left_semi"))
+    found = found.join(often, "k", "left_semi").select("k", *map(_part, _REST))
     classes = found.groupBy(F.struct("k", "r").alias("x")).agg(F.sum("c").alias("n"), F.min(F.struct("h", "g", "at")).alias("one"))
-    classes = _whole_rows(classes.select("x.*", "n", "one.*"))
+    classes = _in_use(classes.select("x.*", "n", "one.*"))
     whole = found.join(classes.where("n > 1").select("k", "r"), ["k", "r"], "left_semi").select(
         "h", "g", F.shiftright("at", 24).alias("a"), (F.shiftright("at", 24) + F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF)) + length).alias("b")
     )
