@@ -354,7 +354,7 @@ def text_labels(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     with _database(spark) as base:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        texts.write.bucketBy(buckets, "h").option("compression", "zstd").saveAsTable(f"{base}.texts")
+        texts.write.bucketBy(buckets, "h").option("compression", "lz4_raw").saveAsTable(f"{base}.texts")
         texts = spark.table(f"{base}.texts")
         texts.mapInArrow(_banded, "h long, n long, bands array<long>").write.saveAsTable(f"{base}.bands")
         banded = spark.table(f"{base}.bands").select("h", "n", F.explode("bands").alias("k"))
