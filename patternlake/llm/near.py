@@ -57,7 +57,7 @@ LEAST = (4, 5)
 #: Share of registers below which signatures rule a link out, and members of a block.
 SURE, BLOCK = 0.6, 256
 #: Bytes that are hashed at a time; points that are drawn at a time.
-SEGMENT, POINTS = 1 << 19, 1 << 18
+SEGMENT, POINTS = 1 << 18, 1 << 17
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 

@@ -55,7 +55,7 @@ LONGEST = 4095
 #: Classes of a bucket that one task refines together; hashes tell the windows of larger ones apart.
 HOT = 2000
 #: Window starts that are hashed at a time; bytes that are refined at a time.
-SEGMENT, BLOCK = 1 << 19, 1 << 20
+SEGMENT, BLOCK = 1 << 18, 1 << 19
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     m = len(x) - width + 1
