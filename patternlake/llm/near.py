@@ -437,3 +437,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_rows, kept (one row of each class)."""
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT text, min(rid) AS tid FROM d GROUP BY text),
+w AS (SELECT tid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+s AS (SELECT tid, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
+b AS (SELECT tid, shingle, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT tid, sum(n) AS size FROM b GROUP BY tid),
+p AS (SELECT x.tid AS a, y.tid AS b, sum(least(x.n, y.n)) AS least FROM b x JOIN b y ON x.shingle = y.shingle AND x.tid < y.tid GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN z za ON za.tid = p.a JOIN z zb ON zb.tid = p.b WHERE 5 * least >= 4 * (za.size + zb.size - least)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT tid, tid AS other FROM t UNION SELECT r.tid, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT tid, min(other) AS label FROM r GROUP BY tid),
+m AS (SELECT d.doc_id, c.label, d.rid FROM d JOIN t USING (text) JOIN c USING (tid))
+SELECT doc_id, min(doc_id) OVER (PARTITION BY label) AS class_id, count(*) OVER (PARTITION BY label) AS class_rows,
+       row_number() OVER (PARTITION BY label ORDER BY doc_id NULLS LAST, rid) = 1 AS kept FROM m
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op2_suffix_dedup": repeats.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
+    "op10_near_dedup": near.OP10_SQL,
 }

@@ -364,3 +364,18 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, p, substring(x, CAST(2 * p + 1 AS BIGINT), 400) AS win FROM (SELECT rid, x, unnest(range(0, length(x) // 2 - 199)) AS p FROM d)),
+g AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
+h AS (SELECT rid, p FROM w SEMI JOIN g USING (win)),
+i AS (SELECT rid, p, CASE WHEN p - lag(p) OVER o <= 200 THEN 0 ELSE 1 END AS new FROM h WINDOW o AS (PARTITION BY rid ORDER BY p)),
+j AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS k FROM i),
+s AS (SELECT rid, k, min(p) AS a, max(p) + 200 AS b FROM j GROUP BY rid, k),
+u AS (SELECT rid, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS removed, list(struct_pack(a := a, b := b) ORDER BY a) AS spans FROM s GROUP BY rid),
+k AS (SELECT d.rid, doc_id, x, n, removed, [0] || list_transform(spans, lambda y: y.b) AS starts, list_transform(spans, lambda y: y.a) || [length(x) // 2] AS ends FROM d LEFT JOIN u USING (rid))
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(starts) + 1), lambda y: substring(x, CAST(2 * starts[y] + 1 AS BIGINT), CAST(2 * (ends[y] - starts[y]) AS BIGINT))), '') END)) AS kept_sha256 FROM k
+"""
