@@ -349,10 +349,22 @@ def _database(spark: SparkSession):
         spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000):
+    """Batches of so many rows to and from workers while the steps run: long texts, and pairs of them, are in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_labels(texts: DataFrame) -> DataFrame:
     """h, g and label of every text (h, g, t) that is linked to another; labels are ids of texts."""
     spark = texts.sparkSession
-    with _database(spark) as base:
+    with _database(spark) as base, _small_batches(spark):
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         texts.write.bucketBy(buckets, "h").option("compression", "lz4_raw").saveAsTable(f"{base}.texts")
         texts = spark.table(f"{base}.texts")
