@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, forest, near, packing, pii, quality, repeats, secrets, token_counts
+from . import bpe, chat, forest, interaction, near, packing, pii, quality, repeats, secrets, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_ann_forest": forest.op8_ann_forest,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_near_dedup": near.op10_near_dedup,
+    "op13_filter_audit": interaction.op13_filter_audit,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op2_suffix_dedup": repeats.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op10_near_dedup": near.OP10_SQL,
+    "op13_filter_audit": interaction.OP13_SQL,
 }
