@@ -43,7 +43,7 @@ def test_every_order_is_counted(spark):
     many = " ".join(f"w{k}" for k in range(210))
     docs = [
         (1, many, "en"), (2, many, "en"), (2, many, "en"), (3, many + " $", "en"), (4, "A B c", "en"), (5, None, "en"), (6, "", "fr"), (7, None, None),
-        (8, "x " * 300, "fr"), (9, "x " * 300, None), (None, many, "fr"), (None, None, "fr"), (10, "QQ | " * 300, ""), (11, "é" * 1000, "en"), (12, "x " * 2_000_000, "fr"),
+        (8, "x " * 300, "fr"), (9, "x " * 300, None), (None, many, "fr"), (None, None, "fr"), (10, "QQ | " * 300, ""), (11, "é" * 1000, "en"), (12, "x " * 1_000_000, "fr"),
     ]
     labels = [(1, 1, 0), (2, 1, 1), (2, 0, None), (4, None, 1), (5, 0, 1), (10, 1, 1), (99, 1, 1), (None, 1, 1)]
     df = spark.createDataFrame([(*d, 1, 2, "z") for d in docs], SCHEMA).repartition(3)
@@ -78,6 +78,6 @@ def test_one_text_is_dealt_by_id(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     lines = plan.splitlines()
-    dealt = [k for k, x in enumerate(lines) if "Exchange hashpartitioning(h" in x]
+    dealt = [k for k, x in enumerate(lines) if "Exchange hashpartitioning(" in x and "h#" in x]
     alone = [k for k in dealt if "i#" not in lines[k]]
     assert len(dealt) > len(alone) == 1 and "partial_min(i#" in lines[alone[0] + 1]
