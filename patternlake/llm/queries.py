@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, forest, interaction, language, near, packing, pii, quality, repeats, secrets, token_counts
+from . import bpe, chat, forest, interaction, language, near, packing, pii, quality, repair, repeats, secrets, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_near_dedup": near.op10_near_dedup,
     "op11_language_id": language.op11_language_id,
+    "op12_turn_repair": repair.op12_turn_repair,
     "op13_filter_audit": interaction.op13_filter_audit,
 }
 ORACLES = {
