@@ -136,7 +136,7 @@ def fit(texts: list[bytes], names: list[str], units: int = UNITS, seed: int = 11
     by_language = [[np.frombuffer(t, np.uint8) for t, n in pairs if n == x] for x in languages]
     first, second = ({n: np.zeros_like(w) for n, w in net.items()} for _ in range(2))
     for step in range(1, steps + 1 if k > 1 else 1):
-        y = np.arange(BATCH) % k  # every language as often as any other
+        y = (np.arange(BATCH) + (step - 1) * BATCH) % k  # every language as often as any other
         x = np.zeros((BATCH, LENGTH), np.uint8)
         for row, language in enumerate(y):
             text = by_language[language][rng.integers(len(by_language[language]))]
@@ -250,17 +250,20 @@ def has_letter(text: Column) -> Column:
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT) -> DataFrame:
     """lang and t: excerpts of `per_language` documents of each language at most, those of the smallest hashes.
 
-    A share by hash, twice what is needed, goes before the ranking, so that just a few rows of
-    each task are ranked.
+    A share by hash, twice what is needed, goes before the ranking, so that just a few rows
+    are dealt by language. The languages' sizes come to the driver, as the network does, which
+    has a row for each language too.
     """
     place = F.xxhash64(F.col(id_col).cast("string"))
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
-    share = sizes.select("lang", (F.lit(2.0 * per_language + 50) / F.col("n")).alias("share"))
-    rows = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), place.alias("h"), F.pmod(F.xxhash64(F.lit(1), F.col(id_col).cast("string")), F.lit(1 << 20)).alias("u"))
-    met = rows.join(share, "lang").where((F.col("u") < F.col("share") * (1 << 20)) & has_letter(F.col("t")))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int((2 * per_language + 50) / n * (1 << 20)) + 1)])
+    drawn = F.pmod(F.xxhash64(F.lit(1), F.col(id_col).cast("string")), F.lit(1 << 20)) < share[F.col(lang_col)]
+    rows = known.where(drawn).where(has_letter(F.col(text_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), place.alias("h"))
     spare = F.greatest(F.length("t") - excerpt, F.lit(0)) + 1
-    cut = met.select("lang", "h", F.substr("t", (F.pmod(F.col("h"), spare) + 1).cast("int"), F.lit(excerpt)).alias("t"))
+    cut = rows.select("lang", "h", F.substr("t", (F.pmod(F.col("h"), spare) + 1).cast("int"), F.lit(excerpt)).alias("t"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
     return cut.withColumn("k", rank).where(F.col("k") <= per_language).select("lang", "t")
 
