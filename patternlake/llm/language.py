@@ -289,7 +289,8 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 best = mean.argmax(axis=1)
                 row = np.arange(len(ends))
                 told = size > 0
-                score = np.where(told, np.exp(_log_softmax(mean, 1))[row, best], 0)
+                # sums differ in their last bits with a stretch's place among others
+                score = np.where(told, np.round(np.exp(_log_softmax(mean, 1))[row, best], 6), 0)
                 agreement = np.where(told, votes[row, best] / np.maximum(size, 1), 0)
                 names = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best, told)]
             columns = [batch["i"], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(np.minimum(agreement, 1), pa.float64())]

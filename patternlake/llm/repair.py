@@ -337,9 +337,9 @@ def _arrow_kind(df: DataFrame, column: str) -> tuple[str, pa.DataType]:
 
 
 def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: for each conversation `conv`, the counts and the audit; and its repaired turns, (conv, part, turns).
+    """Two tables: for each conversation `conv`, the counts and the audit; and its repaired turns, (conv, part, whole, turns).
 
-    Parts are in the order of part; a conversation has one, or one for each stretch of its rows.
+    Parts are in the order of part; a conversation has one, which is whole, or one for each stretch of its rows.
     `conv` is a whole number or a string.
     """
     text_of, role_of = F.coalesce(F.col(text), F.lit(" ")), F.coalesce(F.col(role), F.lit(" "))
@@ -370,15 +370,16 @@ def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     anew = both.mapInArrow(_rewritten(arrow), f"c {kind}, stretch long, turns {_TURNS}")
 
     summary = inside.select("c", "summary").unionByName(chosen.where("summary IS NOT NULL").select("c", "summary"))
-    turns = inside.select("c", F.lit(0).cast("long").alias("part"), "turns").unionByName(anew.select("c", F.col("stretch").alias("part"), "turns"))
+    turns = inside.select("c", F.lit(0).cast("long").alias("part"), F.lit(True).alias("whole"), "turns")
+    turns = turns.unionByName(anew.select("c", F.col("stretch").alias("part"), F.lit(False).alias("whole"), "turns"))
     return summary.select(F.col("c").alias(conv), "summary.*"), turns.withColumnRenamed("c", conv)
 
 
 def digests(turns: DataFrame, conv: str) -> DataFrame:
-    """`conv`, repaired_sha256: of `role:text` lines of all its parts. Lines go part by part through one digest."""
+    """`conv`, repaired_sha256: of `role:text` lines of all its parts. Where there are several, they go one by one through one digest."""
     kind, arrow = _arrow_kind(turns, conv)
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
-    told = turns.where(F.size("turns") > 0).select(F.col(conv).alias("c"), "part", lines.alias("lines"))
+    told = turns.where(F.size("turns") > 0).select(F.col(conv).alias("c"), "part", "whole", lines.alias("lines"))
     fields = [("c", arrow), ("repaired_sha256", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,8 +397,9 @@ def digests(turns: DataFrame, conv: str) -> DataFrame:
         if digest is not None:
             yield _batch([{"c": current, "repaired_sha256": digest.hexdigest()}], fields)
 
-    sorted_ = told.repartition("c").sortWithinPartitions("c", "part").select("c", "lines")
-    return sorted_.mapInArrow(run, f"c {kind}, repaired_sha256 string").withColumnRenamed("c", conv)
+    parts = told.where("NOT whole").repartition("c").sortWithinPartitions("c", "part").select("c", "lines")
+    at_once = told.where("whole").select("c", F.sha2("lines", 256).alias("repaired_sha256"))
+    return at_once.unionByName(parts.mapInArrow(run, f"c {kind}, repaired_sha256 string")).withColumnRenamed("c", conv)
 
 
 # The query ----------------------------------------------------------------------------
