@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.store import written
+from . import expression, substring
+from .substring import like
 
 TEXT_COLUMNS = ("name", "description", "source_object", "pattern_type", "tags_text")
 
@@ -35,11 +37,6 @@ def filters(
     return reduce(lambda a, b: a & b, conditions)
 
 
-def like(column: Column, part: str) -> Column:
-    """Substring without case; % and _ stay wildcards, a backslash is itself."""
-    return column.ilike("%" + part.replace("\\", "\\\\") + "%")
-
-
 def matches(query: str, columns: tuple[str, ...] = TEXT_COLUMNS) -> Column:
     """For catalogs without a token table. Every blank-separated term occurs, as a phrase, in some column; terms
     without letters or digits count only alone."""
@@ -122,17 +119,32 @@ def without(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "id", "left_anti")
 
 
-def search(catalog: DataFrame, query: str, index: DataFrame | None = None, substring_columns: tuple[str, ...] = ("name", "description", "source_object", "tags_text")) -> DataFrame:
+def search(
+    catalog: DataFrame, query: str, index: DataFrame | None = None, substring_columns: tuple[str, ...] = substring.TEXT_COLUMNS, grams: substring.Grams | None = None
+) -> DataFrame:
     """Rows that have all terms; where no row of the whole catalog does, or a term is malformed (has a quote), rows that
     have the query as a substring.
 
-    Whether there is a hit is asked at once, of the token table (the catalog's own where none is given).
+    Whether there is a hit is asked at once, of the token table (the catalog's own where none is given); substrings
+    are looked up in the trigrams, where these are given.
     """
     index = token_table(catalog) if index is None else index
     hits = index.where("false").select("id") if '"' in query else ids_with_all(index, query)
+    return _found(catalog, hits, query, substring_columns, grams)
+
+
+def search_expression(
+    catalog: DataFrame, query: str, index: DataFrame, substring_columns: tuple[str, ...] = substring.TEXT_COLUMNS, grams: substring.Grams | None = None
+) -> DataFrame:
+    """Rows that a raw expression matches, or where there are none those with its text as a substring; an
+    expression that doesn't parse raises."""
+    return _found(catalog, expression.ids_matching(index, query), query, substring_columns, grams)
+
+
+def _found(catalog: DataFrame, hits: DataFrame, query: str, columns: tuple[str, ...], grams: substring.Grams | None) -> DataFrame:
     if hits.limit(1).count():
         return catalog.join(hits, "id", "left_semi")
-    return catalog.where(reduce(lambda a, b: a | b, (like(F.col(c), query) for c in substring_columns)))
+    return substring.containing(catalog, query, grams, columns)
 
 
 def ordered(catalog: DataFrame) -> DataFrame:

@@ -7,30 +7,44 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.search import write_index
-from ..sources.store import stored, written
+from ..operators.substring import Grams, write_grams
+from ..sources.store import fingerprint, stored, written
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _kept(spark: SparkSession, sf_dir: str, what: str, make):
+    """Made anew when the tables that it is made of have changed."""
+    return stored(spark, (sf_dir, what, *[fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")]), make)
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored catalog: scores and hashes are computed when it is made, at its first use, as at an ingest."""
-    return stored(spark, (sf_dir, "catalog"), lambda: written(made(spark, sf_dir), "catalog"))
+    """The stored catalog, in the order of ids: scores and hashes are computed when it is made, at its first use, as at an ingest."""
+    return _kept(spark, sf_dir, "catalog", lambda: written(made(spark, sf_dir, True), "catalog"))
 
 
 def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored token table of the catalog."""
-    return stored(spark, (sf_dir, "tokens"), lambda: write_index(catalog(spark, sf_dir)))
+    return _kept(spark, sf_dir, "tokens", lambda: write_index(catalog(spark, sf_dir)))
+
+
+def grams(spark: SparkSession, sf_dir: str) -> Grams:
+    """The stored trigrams of the catalog."""
+    return _kept(spark, sf_dir, "grams", lambda: write_grams(catalog(spark, sf_dir)))
 
 
-def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """documents and labels in the roles of patterns."""
     docs = load(spark, sf_dir, "documents")
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     text = F.col("text")
     newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return docs.join(labels, "doc_id", "left").select(
+    rows = docs.join(labels, "doc_id", "left")
+    # ranges are sampled from what is below them, so all that costs comes above
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id") if in_order else rows
+    return rows.select(
         F.col("doc_id").alias("id"),
         F.concat_ws("_", "lang", "source").alias("pattern_type"),
         F.col("lang").alias("category"),

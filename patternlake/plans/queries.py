@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import brands, graph, rendering, search, stats
+from ..operators import brands, expression, graph, rendering, search, stats, substring
 from ..operators import catalog as C
-from .catalog_view import catalog, load
+from .catalog_view import catalog, grams, load
 from .catalog_view import token_index as token_index_of
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -33,7 +33,8 @@ def list_totals(spark, d):
 
 @query("SELECT id, source_object FROM cat WHERE source_object ILIKE '%SRC1%' AND NOT favorited", True)
 def filter_object_like(spark, d):
-    return catalog(spark, d).where(search.filters(source_object="SRC1", favorited=False)).select("id", "source_object")
+    found = substring.containing(catalog(spark, d), "SRC1", grams(spark, d), ("source_object",))
+    return found.where(search.filters(favorited=False)).select("id", "source_object")
 
 
 @query("SELECT id, pattern_type FROM cat WHERE source_object = 'src1' AND pattern_type = 'en_src1'", True)
@@ -73,7 +74,7 @@ def match_near(spark, d):
 
 @query("SELECT id FROM cat WHERE tags_text ILIKE '%\"src1\"%' OR name ILIKE '%\"src1\"%' OR description ILIKE '%\"src1\"%'", True)
 def search_quoted(spark, d):
-    return search.search(catalog(spark, d), '"src1"', token_index_of(spark, d)).select("id")
+    return search.search(catalog(spark, d), '"src1"', token_index_of(spark, d), grams=grams(spark, d)).select("id")
 
 
 @query(f"SELECT id FROM cat WHERE list_contains({_TOKENS.format('description')}, 'thing') AND list_contains({_TOKENS.format('source_object')}, 'src1')", True)
@@ -101,17 +102,91 @@ def match_boolean(spark, d):
 
 @query("SELECT id, complexity_score FROM cat WHERE description ILIKE '%thin the%' OR name ILIKE '%thin the%' OR source_object ILIKE '%thin the%' OR tags_text ILIKE '%thin the%'", True)
 def like_fallback(spark, d):
-    part = "thin the"
-    cols = ("name", "description", "source_object", "tags_text")
-    cond = search.like(F.col(cols[0]), part)
-    for c in cols[1:]:
-        cond = cond | search.like(F.col(c), part)
-    return catalog(spark, d).where(cond).select("id", "complexity_score")
+    return substring.containing(catalog(spark, d), "thin the", grams(spark, d)).select("id", "complexity_score")
+
+
+@query("SELECT id FROM cat WHERE name ILIKE '%nth%ofth_%' OR description ILIKE '%nth%ofth_%' OR source_object ILIKE '%nth%ofth_%' OR tags_text ILIKE '%nth%ofth_%'", True)
+def like_wildcards(spark, d):
+    """Wildcards in a pattern stay live; its other stretches are looked up."""
+    return substring.containing(catalog(spark, d), "nth%ofth_", grams(spark, d)).select("id")
+
+
+@query("""t AS (SELECT id, lower(unnest([name, description, source_object, tags_text])) AS text FROM cat),
+x AS (SELECT id, text, unnest(generate_series(1, length(text) - 2)) AS k FROM t WHERE length(text) > 2)
+SELECT gram, count(DISTINCT id) AS n FROM (SELECT id, substring(text, k, 3) AS gram FROM x) GROUP BY gram""", True)
+def trigram_counts(spark, d):
+    return grams(spark, d).postings.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("SELECT id FROM cat WHERE name ILIKE '%ngths%' OR description ILIKE '%ngths%' OR source_object ILIKE '%ngths%' OR tags_text ILIKE '%ngths%'", True)
 def search_with_fallback(spark, d):
-    return search.search(catalog(spark, d), "ngths", token_index_of(spark, d)).select("id")
+    return search.search(catalog(spark, d), "ngths", token_index_of(spark, d), grams=grams(spark, d)).select("id")
+
+
+# Raw expressions: a query for each form ------------------------------------------------
+
+
+def _has(column: str, token: str) -> str:
+    return f"list_contains({_TOKENS.format(column)}, '{token}')"
+
+
+def _near_sql(column: str, words: list[str]) -> str:
+    return f"contains(' ' || array_to_string({_TOKENS.format(column)}, ' ') || ' ', ' {' '.join(words)} ')"
+
+
+_ANY = ("name", "description", "tags_text", "source_object", "pattern_type")
+
+
+def _somewhere(condition, *what) -> str:
+    return "(" + " OR ".join(condition(c, *what) for c in _ANY) + ")"
+
+
+def _expression(spark, d, text):
+    return expression.ids_matching(token_index_of(spark, d), text)
+
+
+@query(f"SELECT id FROM cat WHERE ({_somewhere(_has, 'thing')} AND {_somewhere(_has, 'to')}) OR ({_somewhere(_has, 'elle')} AND NOT {_somewhere(_has, 'un')})", True)
+def expression_boolean(spark, d):
+    return _expression(spark, d, "thing AND to OR elle NOT un")
+
+
+@query(f"SELECT id FROM cat WHERE {_somewhere(_has, 'the')} AND ({_somewhere(_has, 'src1')} OR {_somewhere(_has, 'src2')}) AND NOT ({_somewhere(_has, 'of')} AND {_somewhere(_has, 'is')})", True)
+def expression_groups(spark, d):
+    return _expression(spark, d, "the AND (src1 OR src2) NOT (of is)")
+
+
+@query(f"SELECT id FROM cat WHERE {_somewhere(_near_sql, ['of', 'the'])} AND {_somewhere(_near_sql, ['that', 'is'])}", True)
+def expression_phrases(spark, d):
+    return _expression(spark, d, '"of the" that + is "!!!"')
+
+
+@query(f"SELECT id FROM cat WHERE len(list_filter({_TOKENS.format('description')}, lambda t: starts_with(t, 'nth'))) > 0 OR contains(' ' || array_to_string({_TOKENS.format('description')}, ' '), ' of th')", True)
+def expression_prefixes(spark, d):
+    return _expression(spark, d, 'description : (nth* OR "of th" *)')
+
+
+@query(f"SELECT id FROM cat WHERE ({_has('source_object', 'src1')} OR {_has('tags_text', 'src2')}) AND NOT ({' OR '.join(_has(c, 'de') for c in ('name', 'tags_text', 'pattern_type'))})", True)
+def expression_columns(spark, d):
+    return _expression(spark, d, "(source_object : src1 OR tags : src2) NOT -{description source_object} : de")
+
+
+@query(f"SELECT id FROM cat WHERE {_TOKENS.format('description')}[1] = 'the' OR {_TOKENS.format('name')}[1] = 'le'", True)
+def expression_first(spark, d):
+    return _expression(spark, d, "description : ^the OR name : ^le")
+
+
+@query(f"""t AS (SELECT id, unnest({_TOKENS.format('description')}) AS token, generate_subscripts({_TOKENS.format('description')}, 1) AS pos FROM cat),
+x AS (SELECT a.id FROM t a JOIN t b ON b.id = a.id JOIN t c ON c.id = a.id WHERE a.token = 'the' AND b.token = 'of' AND starts_with(c.token, 'th')
+AND greatest(a.pos, b.pos, c.pos) - a.pos - 1 <= 2 AND greatest(a.pos, b.pos, c.pos) - b.pos - 1 <= 2 AND greatest(a.pos, b.pos, c.pos) - c.pos - 1 <= 2)
+SELECT DISTINCT id FROM t WHERE id IN (SELECT id FROM x) AND id NOT IN (SELECT id FROM t WHERE token = 'and')""", True)
+def expression_near(spark, d):
+    return _expression(spark, d, "description : NEAR(the of th*, 2) NOT description : and")
+
+
+@query("SELECT id FROM cat WHERE name ILIKE '%ngths%' OR description ILIKE '%ngths%' OR source_object ILIKE '%ngths%' OR tags_text ILIKE '%ngths%'", True)
+def expression_fallback(spark, d):
+    """An expression that nothing matches is looked for as it stands."""
+    return search.search_expression(catalog(spark, d), "ngths", token_index_of(spark, d), grams=grams(spark, d)).select("id")
 
 
 @query(f"""t AS (SELECT id, unnest({_TOKENS.format('description')}) AS token FROM cat)

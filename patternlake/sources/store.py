@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_held: dict[tuple[str, ...], DataFrame] = {}
+Held = TypeVar("Held")
+_held: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,14 +35,23 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(schema).parquet(folder).select(*df.columns)
 
 
-def stored(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of `key`, made at its first use in the application and then read; see `forget`."""
+def stored(spark: SparkSession, key: tuple, make: Callable[[], Held]) -> Held:
+    """The table (or tables) of `key`, made at its first use in the application and then read; see `forget`."""
     whole = (spark.sparkContext.applicationId, *key)
     if whole not in _held:
         _held[whole] = make()
     return _held[whole]
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and time of change of a file or folder, on whatever file system it is: other ones mean other contents."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = system.getContentSummary(path)
+    return size.getLength(), size.getFileCount(), system.getFileStatus(path).getModificationTime()
+
+
 def forget(*key: str) -> None:
     """Let tables whose key starts so be made anew, for when what they were made from has changed."""
     for held in [k for k in _held if k[1 : 1 + len(key)] == key]:
