@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .stats import labelled
+from ..functions import terms
+from ..sources.store import numbered
+from .stats import label
 
 
 def _all_common(parts: Column) -> Column:
@@ -87,42 +90,39 @@ def brand_terms(fields: DataFrame, companies: DataFrame | None = None, custom: l
     if companies is not None:
         every = every.unionByName(company_terms(fields, companies, structural).select("term", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("place")))
     first = every.groupBy(F.lower("term").alias("low")).agg(F.min(F.struct("kind", "place", "term")).alias("x")).select("x.*")
-    return labelled(first.withColumn("all", F.lit(1)), [F.col("kind"), F.col("place"), F.col("term")], ["all"]).select("term", "label")
+    return numbered(first, ["kind", "place", "term"], "n").select("term", label(F.col("n")).alias("label"))
 
 
-def _alternation(escaped: Column) -> Column:
-    """A pattern for the terms of an array, longest first, that no letter adjoins."""
-    longest = F.array_sort(escaped, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1))
-    return F.concat(F.lit("(?i)(?<![a-zA-Z])(?:"), F.array_join(longest, "|"), F.lit(")(?![a-zA-Z])"))
+def scrub(text: Column, labels: dict[str, str]) -> Column:
+    """Labels for terms that no letter adjoins, whatever their case, longest first; `labels` is one project's table."""
+    labels = {t: label for t, label in labels.items() if t}
+    if not labels:
+        return text
+    pattern = terms.trie_pattern(list(labels))
+    low = {t.lower(): labels[t] for t in sorted(labels, key=lambda t: (len(t), t), reverse=True)}
+    table = F.from_json(F.lit(json.dumps(terms.label_buckets(low))), terms.BUCKETS)
+    return terms.replaced(text, F.lit(pattern), table)
 
 
-def _replaced(text: Column, pattern: Column, labels: Column) -> Column:
-    """`text` with each match's label from the map `labels` (by lower-case term), in one pass."""
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    parts = F.split(text, pattern, -1)
-    return F.array_join(F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.element_at(labels, F.lower(F.get(hits, i))), F.lit("")))), "")
+def term_tables(labels: DataFrame, source: str = "source_hash") -> DataFrame:
+    """(source, pattern_, buckets_): of labels (source, term, label) each source's trie and label table, in one row."""
+    once = labels.groupBy(F.col(source).alias("s"), F.lower("term").alias("t")).agg(F.min(F.struct("term", "label"))["label"].alias("l")).where("t <> ''")
+    kind = once.schema["s"].dataType.simpleString()
 
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(rows["t"], rows["l"]))
+        return pd.DataFrame({"source_": [rows["s"].iloc[0]], "pattern_": [terms.trie_pattern(list(own))], "buckets_": [terms.label_buckets(own)]})
 
-def scrub(text: Column, labels: dict[str, str]) -> Column:
-    """Labels for terms that no letter adjoins, whatever their case, longest first; `labels` is one project's small table."""
-    if not labels:
-        return text
-    terms = sorted(labels, key=lambda t: (-len(t), t))
-    pattern = "(?i)(?<![a-zA-Z])(?:" + "|".join(re.escape(t) for t in terms) + ")(?![a-zA-Z])"
-    table = F.create_map(*[F.lit(x) for t in {t.lower(): labels[t] for t in reversed(terms)}.items() for x in t])
-    return F.when(text.rlike(pattern), _replaced(text, F.lit(pattern), table)).otherwise(text)
+    return once.groupBy("s").applyInPandas(table, f"source_ {kind}, pattern_ string, buckets_ {terms.BUCKETS}")
 
 
 def scrub_by_source(rows: DataFrame, columns: list[str], labels: DataFrame, source: str = "source_hash") -> DataFrame:
     """`rows` with the terms of labels (source, term, label) scrubbed from `columns`, each row by its own source's.
 
-    A source's terms, some hundreds at most, meet in one row, which is joined to the source's rows.
+    Sorted by source, so that a task compiles a source's pattern once; rows of sources without terms, and null
+    sources, stay as they are. A source with many rows is split over tasks as any skewed join is.
     """
-    escaped = F.regexp_replace("term", r"([^A-Za-z0-9_])", r"\\$1")
-    once = labels.groupBy(F.col(source).alias("source_"), F.lower("term").alias("t")).agg(F.min(F.struct("term", "label")).alias("x")).select("source_", "x.*")
-    own = once.groupBy("source_").agg(
-        _alternation(F.collect_set(escaped)).alias("pattern_"), F.map_from_entries(F.collect_set(F.struct(F.lower("term").alias("t"), F.col("label").alias("l")))).alias("labels_")
-    )
+    own = term_tables(labels, source).hint("merge")
     joined = rows.join(own, rows[source] == own["source_"], "left")
-    new = {c: F.when(F.col("pattern_").isNull(), F.col(c)).otherwise(_replaced(F.col(c), F.col("pattern_"), F.col("labels_"))) for c in columns}
+    new = {c: F.when(F.col("pattern_").isNull(), F.col(c)).otherwise(terms.replaced(F.col(c), F.col("pattern_"), F.col("buckets_"))) for c in columns}
     return joined.select(*[new[c].alias(c) if c in new else rows[c] for c in rows.columns])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import numbered
 from .extract import hashed
 
 SCHEMA = (
@@ -44,21 +44,6 @@ def seen_again(found: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("seen_in_sources", seen).select(*catalog.columns)
 
 
-def numbered(rows: DataFrame, order: list[str], column: str = "place") -> DataFrame:
-    """`rows` with their place in `order`, from 1, without one task that sees them all.
-
-    Ranges of rows are sorted each on its own and written; then each needs just the number of rows in those before it.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("spot_", F.monotonically_increasing_id())
-    kept = written(ranged, "numbered")
-    part, inside = F.shiftright("spot_", 33), F.col("spot_").bitwiseAND(F.lit((1 << 33) - 1))
-    # one row for each range: a window over these is small
-    sizes = kept.groupBy(part.alias("part_")).agg(F.count("*").alias("n_"))
-    before = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))
-    placed = kept.withColumn("part_", part).join(before, "part_")
-    return placed.withColumn(column, F.col("before_") + inside + 1).drop("part_", "before_", "spot_")
-
-
 def ingest(found: DataFrame, catalog: DataFrame, source_hash: str) -> DataFrame:
     """Replace a source's rows: its old rows go, known content is noted, new rows get ids after the largest."""
     rest = catalog.where(F.col("source_hash") != source_hash)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import vocab
+from ..functions import terms
 from ..functions import text as T
 from ..sources.metadata import object_of
 from ..sources.store import written
@@ -690,8 +691,8 @@ class Scrubber:
 
     def __init__(self, labels: dict[str, str]):
         self.labels = {k.lower(): v for k, v in labels.items()}
-        terms = "|".join(re.escape(t) for t in sorted(labels, key=lambda t: (-len(t), t)))
-        self.brands = re.compile(rf"(?i)(?<![a-zA-Z])(?:{terms})(?![a-zA-Z])") if terms else None
+        known = [t for t in labels if t]
+        self.brands = re.compile(terms.trie_pattern(known)) if known else None
 
     def text(self, value: str) -> str:
         if len(value) < 3:

@@ -28,8 +28,11 @@ def mode_first(df: DataFrame, key: str, value: str, position: str) -> DataFrame:
     return counts.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
 
 
+def label(n: Column) -> Column:
+    """Generic labels: Brand_A to Brand_Z, then Brand_27 and on."""
+    return F.concat(F.lit("Brand_"), F.when(n <= 26, F.char(F.lit(64) + n)).otherwise(n.cast("string")))
+
+
 def labelled(terms: DataFrame, order: list[Column], partition: list[str]) -> DataFrame:
-    """Generic labels in order: Brand_A to Brand_Z, then Brand_27 and on."""
-    n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    letter = F.when(n <= 26, F.char(F.lit(64) + n)).otherwise(n.cast("string"))
-    return terms.withColumn("label", F.concat(F.lit("Brand_"), letter))
+    """Labels in order, inside each of the (bounded) groups of `partition`."""
+    return terms.withColumn("label", label(F.row_number().over(Window.partitionBy(*partition).orderBy(*order))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from patternlake.functions import text as T
 from patternlake.operators import brands, catalog, graph, rendering, search
 from patternlake.sources import dictionary, store
+from patternlake.sources.store import numbered
 from patternlake.streaming import dropfolder
 from tests import project
 
@@ -130,7 +131,7 @@ def test_drop_folder(spark, tmp_path):
 
 def test_numbered(spark):
     rows = spark.range(1000, numPartitions=7).selectExpr("id", "(id * 7919) % 1000 AS k")
-    found = catalog.numbered(rows, ["k"]).collect()
+    found = numbered(rows, ["k"]).collect()
     assert all(r["place"] == r["k"] + 1 for r in found) and len(found) == 1000
 
 
