@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Terms to a bucket of the label table, on average.
 PER_BUCKET = 4
+_MARK = "\ue000"
 BUCKETS = "array<struct<terms:array<string>,labels:array<string>>>"
 
 
@@ -73,11 +74,20 @@ def label_of(hit: Column, buckets: Column) -> Column:
 
 
 def replaced(text: Column, pattern: Column, buckets: Column, unknown: str = "[BRAND]") -> Column:
-    """`text` with each match's label in its place, in one pass."""
-    hits, parts = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    """`text` with each match's label in its place, in one pass.
+
+    Matches are put between marks, by which the text is then split: of Spark's functions, replacing keeps
+    a pattern compiled from row to row, splitting and testing don't. Texts with a mark of their own are split by the pattern.
+    """
 
-    def with_label(part: Column, hit: Column) -> Column:
-        return F.when(hit.isNull(), part).otherwise(F.concat(part, F.coalesce(label_of(F.lower(hit), buckets), F.lit(unknown))))
+    def label(hit: Column) -> Column:
+        return F.coalesce(label_of(F.lower(hit), buckets), F.lit(unknown))
 
+    def by_marks(marked: Column) -> Column:
+        return F.array_join(F.transform(F.split(marked, _MARK), lambda x, i: F.when(i % 2 == 0, x).otherwise(label(x))), "")
+
+    marked = F.get(F.transform(F.array(F.regexp_replace(text, pattern, F.lit(f"{_MARK}$0{_MARK}"))), by_marks), F.lit(0))
+    hits, parts = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     # there is one part more than there are hits
-    return F.when(F.regexp(text, pattern), F.array_join(F.zip_with(parts, hits, with_label), "")).otherwise(text)
+    by_pattern = F.array_join(F.zip_with(parts, hits, lambda x, h: F.when(h.isNull(), x).otherwise(F.concat(x, label(h)))), "")
+    return F.when(text.isNull(), text).when(F.contains(text, F.lit(_MARK)), by_pattern).otherwise(marked)

@@ -28,7 +28,7 @@ from ..sources.store import written
 
 ROW = (
     "pattern_type string, category string, name string, description string, source_object string, structure string, field_references array<string>, "
-    "api_version string, complexity_score int, tags array<string>, source_hash string, source_file string"
+    "api_version string, complexity_score int, tags array<string>, source_hash string, source_file string, path string"
 )
 _STRINGS = "array<string>"
 
@@ -70,6 +70,7 @@ def _rows(files: DataFrame, kind: str, category: str, *, name, description, sour
         tags.cast(_STRINGS).alias("tags"),
         "source_hash",
         F.col("name").alias("source_file"),
+        "path",
     )
 
 
@@ -590,8 +591,8 @@ def _element_score(element: ElementTree.Element, tag: str) -> int:
     return _score(**factors)
 
 
-def flow_rows(content: str, name: str) -> list[dict]:
-    """The whole flow and each of its elements; nothing for what isn't well-formed."""
+def flow_rows(content: str, name: str, elements: bool = True) -> list[dict]:
+    """The whole flow and, if asked for, each of its elements; nothing for what isn't well-formed."""
     try:
         root = ElementTree.fromstring(content)
     except ElementTree.ParseError:
@@ -618,7 +619,7 @@ def flow_rows(content: str, name: str) -> list[dict]:
             "api_version": api, "complexity_score": score, "tags": _tags("flow_full", "Flow Logic", main, api, score) + extra,
         }
     ]
-    for tag, (kind, title, called) in FLOW_ELEMENTS.items():
+    for tag, (kind, title, called) in FLOW_ELEMENTS.items() if elements else ():
         for element in _children(root, tag):
             label = _text(element, "label", _text(element, "name", "unnamed"))
             document = as_document(element)
@@ -635,20 +636,24 @@ def flow_rows(content: str, name: str) -> list[dict]:
     return rows
 
 
-def flows(files: DataFrame) -> DataFrame:
+def flows(files: DataFrame, elements: bool = True) -> DataFrame:
+    """Whole flows and, if asked for, their elements. Files are dealt anew before Python reads them, as they may lie in one split."""
     names = [f.split()[0] for f in ROW.split(", ")]
+    kinds = {"field_references": pa.list_(pa.string()), "tags": pa.list_(pa.string()), "complexity_score": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for file in batch.to_pylist():
-                for row in flow_rows(file["content"], file["name"]):
-                    refs = structure_fields(row["structure"])
-                    rows.append(row | {"category": "Flow Logic", "structure": json.dumps(row["structure"]), "field_references": refs, "source_hash": file["source_hash"], "source_file": file["name"]})
-            kinds = {"field_references": pa.list_(pa.string()), "tags": pa.list_(pa.string()), "complexity_score": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names)
-
-    return files.where("file_type = 'flow'").select("name", "content", "source_hash").mapInArrow(run, ROW)
+            columns: dict[str, list] = {n: [] for n in names}
+            for path, name, content, source in zip(*[batch[c].to_pylist() for c in ("path", "name", "content", "source_hash")]):
+                for row in flow_rows(content or "", name, elements):
+                    structure = row["structure"]
+                    row |= {"category": "Flow Logic", "structure": json.dumps(structure), "field_references": structure_fields(structure), "source_hash": source, "source_file": name, "path": path}
+                    for n in names:
+                        columns[n].append(row[n])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[n], kinds.get(n, pa.string())) for n in names], names)
+
+    read = files.where("file_type = 'flow'").select("path", "name", "content", "source_hash")
+    return read.repartition("path").mapInArrow(run, ROW)
 
 
 def edges(flows: DataFrame) -> DataFrame:

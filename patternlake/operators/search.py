@@ -84,6 +84,8 @@ def ids_with_all(index: DataFrame, query: str, columns: tuple[str, ...] | None =
     terms = [list(t) for t in dict.fromkeys(map(tuple, _terms(query)))]
     if not terms:
         return index.where("false").select("id")
+    if len(terms) == 1:
+        return occurrences(index, terms, columns).select("id").distinct()
     found = occurrences(index, terms, columns).groupBy("id").agg(F.count_distinct("term").alias("n"))
     return found.where(F.col("n") == len(terms)).select("id")
 
@@ -142,7 +144,7 @@ def search_expression(
 
 
 def _found(catalog: DataFrame, hits: DataFrame, query: str, columns: tuple[str, ...], grams: substring.Grams | None) -> DataFrame:
-    if hits.limit(1).count():
+    if not hits.isEmpty():
         return catalog.join(hits, "id", "left_semi")
     return substring.containing(catalog, query, grams, columns)
 

@@ -60,7 +60,7 @@ def write_grams(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) ->
 
 def _grams_of(spark: SparkSession, pattern: str) -> list[str]:
     """The trigrams that every match has; lower case is Spark's own, as in the table."""
-    low = spark.range(1).select(F.lower(F.lit(pattern))).first()[0]
+    low = pattern.lower() if pattern.isascii() else spark.range(1).select(F.lower(F.lit(pattern))).first()[0]
     return sorted({piece[k : k + 3] for piece in re.split("[%_]", low) for k in range(len(piece) - 2)})
 
 
@@ -69,10 +69,12 @@ def candidates(grams: Grams, pattern: str) -> DataFrame | None:
     every = _grams_of(grams.postings.sparkSession, pattern)
     if not every:
         return None
-    found = {r.gram: r.n for r in grams.counts.where(F.col("gram").isin(every)).collect()}  # a row for each of the pattern's own
-    if len(found) < len(every):
-        return grams.postings.where("false").select("id")
-    rarest = sorted(every, key=lambda g: (found[g], g))[:LOOKED_UP]
+    rarest = every
+    if len(every) > LOOKED_UP:
+        found = {r.gram: r.n for r in grams.counts.where(F.col("gram").isin(every)).collect()}  # a row for each of the pattern's own
+        if len(found) < len(every):
+            return grams.postings.where("false").select("id")
+        rarest = sorted(every, key=lambda g: (found[g], g))[:LOOKED_UP]
     rows = grams.postings.where(F.col("gram").isin(rarest))
     return rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("id")
 

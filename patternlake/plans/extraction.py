@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import brands, catalog, extract
-from ..sources import dictionary, metadata
+from ..sources import dictionary, filetree, metadata
 from ..sources.store import shared_folder
 from .catalog_view import load
 from .registry import query
@@ -226,7 +226,7 @@ SELECT 'Flow: Route ' || k AS name, 'AutoLaunchedFlow flow' || CASE WHEN o = 'Un
 o AS source_object, CASE WHEN two THEN 2 ELSE 2 END AS complexity_score, '58.0' AS api, CASE WHEN two THEN '{{"decisions": 1, "recordLookups": 1, "assignments": 1}}' ELSE '{{"decisions": 1, "assignments": 1}}' END AS elements,
 'flow_full,flow-logic' || CASE WHEN o = 'Unknown' THEN '' ELSE ',' || lower(o) END || ',api-v58.0,autolaunchedflow' AS tags FROM x""")
 def extract_flows(spark, d):
-    rows = extract.flows(_files(flow_files(spark, d))).where("pattern_type = 'flow_full'")
+    rows = extract.flows(_files(flow_files(spark, d)), elements=False)
     elements = F.regexp_extract("structure", r'"elements": (\{[^}]*\})', 1).alias("elements")
     return rows.select("name", "description", "source_object", "complexity_score", F.col("api_version").alias("api"), elements, F.array_join("tags", ",").alias("tags"))
 
@@ -245,13 +245,13 @@ def extract_flow_elements(spark, d):
 SELECT flow, 'Check' AS a, 'Mark' AS b, 'rule:yes' AS kind FROM x UNION ALL SELECT flow, 'Check', 'Find', 'default' FROM x
 UNION ALL SELECT flow, 'Find', 'Mark', 'next' FROM x WHERE two UNION ALL SELECT flow, 'Find', 'Oops', 'fault' FROM x WHERE two""")
 def flow_edges(spark, d):
-    flows = extract.flows(_files(flow_files(spark, d))).where("pattern_type = 'flow_full'")
+    flows = extract.flows(_files(flow_files(spark, d)), elements=False)
     return extract.edges(flows).select(F.col("source_file").alias("flow"), F.col("from").alias("a"), F.col("to").alias("b"), F.col("type").alias("kind"))
 
 
 @query("""SELECT 'v' AS name, 'String' AS data_type, true AS is_input, false AS is_output, false AS is_collection, count(*) AS n FROM orders""")
 def flow_variables(spark, d):
-    flows = extract.flows(_files(flow_files(spark, d))).where("pattern_type = 'flow_full'")
+    flows = extract.flows(_files(flow_files(spark, d)), elements=False)
     kind = "variables array<struct<name:string,dataType:string,isInput:boolean,isOutput:boolean,isCollection:boolean>>"
     v = flows.select(F.explode(F.from_json("structure", kind)["variables"]).alias("v"))
     return v.groupBy(F.col("v.name").alias("name"), F.col("v.dataType").alias("data_type"), F.col("v.isInput").alias("is_input"), F.col("v.isOutput").alias("is_output"), F.col("v.isCollection").alias("is_collection")).agg(F.count("*").alias("n"))
@@ -306,9 +306,16 @@ def project_roots(spark, d):
     return metadata.projects(field_files(spark, d).unionByName(fixed).unionByName(own).unionByName(sources), "/p")
 
 
-@query("SELECT name || '.parquet' AS name, CAST(NULL AS VARCHAR) AS file_type FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) AS v(name)")
-def discover_files(spark, d):
-    return metadata.scan(spark, d, "tables").select("name", "file_type")
+@query("""SELECT CASE s_suppkey % 4 WHEN 0 THEN '.hidden/deep/f' || s_suppkey || '.txt' WHEN 1 THEN '_x/.f' || s_suppkey ELSE 'plain/' || s_suppkey % 7 || '/classes/F' || s_suppkey || '.cls' END AS path,
+CASE WHEN s_suppkey % 4 > 1 THEN 'apex' END AS file_type, s_name || chr(65533) || ' end' AS content FROM supplier""")
+def file_tree(spark, d):
+    """Files of a table's rows, with a byte that isn't UTF-8, hidden ones and hidden folders among them, written and read back."""
+    k = F.col("s_suppkey")
+    path = F.when(k % 4 == 0, _text(".hidden/deep/f{k}.txt", k=k)).when(k % 4 == 1, _text("_x/.f{k}", k=k)).otherwise(_text("plain/{m}/classes/F{k}.cls", m=k % 7, k=k))
+    content = F.concat(F.encode("s_name", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit(" end"), "UTF-8"))
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    filetree.write_files(load(spark, d, "supplier").select(path.alias("path"), content.alias("content")), root)
+    return metadata.scan(spark, root, "tree").select(F.regexp_extract("path", r"/tree-[0-9a-f]{32}/(.*)$", 1).alias("path"), "file_type", "content")
 
 
 #: Words of structure, which are no brands; the list is a parameter of detection.

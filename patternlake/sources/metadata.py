@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .filetree import read_tree
 
 # Fixed values. File name endings and the types they mark.
 SUFFIXES = {
@@ -87,9 +88,8 @@ def described(files: DataFrame, source_name: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str, source_name: str) -> DataFrame:
-    """Every file under `root`, described. Folders and files whose names begin with . or _ are hidden to Spark and left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return described(files.select("path", F.decode("content", "UTF-8").alias("content")), source_name)
+    """Every file under `root`, described, hidden ones included; bytes that aren't UTF-8 are replaced."""
+    return described(read_tree(spark, root).select("path", "content"), source_name)
 
 
 def file_counts(files: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def test_same_as_a_flat_alternation(spark):
         labels = {}
         for t in given:  # one label for terms that differ in case alone
             labels[t] = next((labels[o] for o in labels if o.lower() == t.lower()), given[t])
-        texts = ["".join(rng.choices([*labels, "a", "B", "ab", " ", "-", "x", "É", "(", "ZED"], k=rng.randint(0, 30))) for _ in range(80)]
+        texts = ["".join(rng.choices([*labels, "a", "B", "ab", " ", "-", "x", "É", "(", "ZED", "\ue000" if k % 5 == 0 else "$1"], k=rng.randint(0, 30))) for k in range(80)]
         want = [flat(labels)(t) for t in texts]
         trie = re.compile(terms.trie_pattern(list(labels)))
         low = {t.lower(): v for t, v in labels.items()}
