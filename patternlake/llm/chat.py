@@ -124,6 +124,17 @@ def chat_format(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     )
 
 
+def loss_texts(formatted: Column, loss_mask: Column) -> Column:
+    """What lies under the mask, unescaped: an array of the texts of its stretches."""
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("texts"))
+
+    def step(s: Column, m: Column) -> Column:
+        found = F.array(unescape(F.substr(formatted, s["at"], m["chars"])))
+        return F.struct((s["at"] + m["chars"]).alias("at"), F.when(m["loss"], F.concat(s["texts"], found)).otherwise(s["texts"]).alias("texts"))
+
+    return F.aggregate(loss_mask, begin, step)["texts"]
+
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -135,8 +146,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PROBE).alias("text"),
     )
-    out = chat_format(talk.unionByName(probe)).select("conv_id", "formatted", "turns")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
+    out = chat_format(talk.unionByName(probe))
+    loss = F.array_join(loss_texts(F.col("formatted"), F.col("loss_mask")), "")
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     read = out.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), loss.alias("loss"))
     return read.select(

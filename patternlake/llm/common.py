@@ -43,6 +43,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The same for several names, which also differ from one another."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots and backquotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[list[str]], list[tuple]]], columns: str) -> DataFrame:
     """The id, as it is, and for each text (null: empty) the values of `columns`.
 

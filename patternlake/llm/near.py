@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, shared_folder, table
+from .common import cut, free_name, named, shared_folder, table
 from .hashing import Rolling, U, bytes_of, mix
 
 WORDS, REGISTERS, ROWS, BANDS = 5, 256, 6, 42
@@ -405,7 +405,7 @@ def _class(label: Column, h: Column, g: Column) -> Column:
 
 def _order(docs: DataFrame, id_col: str) -> Column:
     """By id, null ids last, then by the hash of the row."""
-    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    hashed = [named(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     return F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("tie"))
 
 
@@ -414,7 +414,7 @@ def near_classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     labels = text_labels(distinct_texts(docs, text)).withColumnsRenamed({"h": "h__", "g": "g__", "label": "label__"})
     h, g, label = (free_name(docs, x) for x in ("h", "g", "label"))
-    keyed = docs.select(*[docs[c] for c in docs.columns if c != text_col], *[x.alias(n) for x, n in zip(_ids(text), (h, g), strict=True)])
+    keyed = docs.select(*[named(c) for c in docs.columns if c != text_col], *[x.alias(n) for x, n in zip(_ids(text), (h, g), strict=True)])
     joined = keyed.join(labels, (keyed[h] == labels["h__"]) & (keyed[g] == labels["g__"]), "left")
     return joined.select(*[keyed[c] for c in keyed.columns], _class(labels["label__"], keyed[h], keyed[g]).alias(label))
 
@@ -427,7 +427,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = docs.select(*_ids(text), order).groupBy("h", "g").agg(F.min("o").alias("o"))
     classes = firsts.join(labels, ["h", "g"], "left").groupBy(_class(F.col("label"), F.col("h"), F.col("g")).alias("c"))
     best = classes.agg(F.min(F.struct("o.last", "o.id", "h", "g")).alias("best")).select("best.h", "best.g")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[named(c) for c in docs.columns])
     rows = docs.select(*_ids(text), order, row.alias("row")).groupBy("h", "g").agg(F.min_by("row", "o").alias("row"))
     return rows.join(best, ["h", "g"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 

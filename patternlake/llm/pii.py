@@ -429,13 +429,16 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the spans in its text replaced; null texts stay null."""
     weights = docs.sparkSession.sparkContext.broadcast((trained().weights, trained().moves))
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = Field(*weights.value)
         for batch in batches:
-            texts = [None if t is None else masked(t, all_spans(t, field)[1]) for t in batch[text_col].to_pylist()]
-            yield batch.set_column(batch.schema.names.index(text_col), text_col, pa.array(texts, pa.string()))
+            texts = [None if t is None else masked(t, all_spans(t, field)[1]) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots or backquotes don't go to Python
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, free_name, let, table
+from .common import BLANKS, free_name, let, named, table
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SHARE, RUNS = 1000, 50_000, 0.2, 2
@@ -200,7 +200,7 @@ def cascade(
 def keep(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
     """The rows that every rule passes, with the columns of `df`."""
     mark = free_name(df, "rejected_by")
-    return cascade(df, rules, text_col, mark).where(F.col(mark).isNull()).select(*[df[c] for c in df.columns])
+    return cascade(df, rules, text_col, mark).where(F.col(mark).isNull()).select(*map(named, df.columns))
 
 
 #: Measures that op1 returns anyway, so that its rules have them at hand.

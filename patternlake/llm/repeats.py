@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_names, named, table
 from .hashing import U as _U
 from .hashing import Rolling, bytes_of, mix
 
@@ -338,16 +338,23 @@ def _cleaned(length: int, with_text: bool):
     return run
 
 
+#: Columns of `remove_repeats`.
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """`docs` without its text, with n_bytes, n_removed, n_spans, kept_sha256 and, `with_text`, kept.
 
     kept is what remains, without bytes of characters that a cut left incomplete; kept_sha256 is of all bytes.
+    A name that `docs` has already gets underscores (`common.free_names` of it tells them).
     """
     if not 1 <= length <= LONGEST:
         raise ValueError(f"length from 1 to {LONGEST}")
-    h, g = free_name(docs, "h"), free_name(docs, "g")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(*[docs[c] for c in docs.columns if c != text_col], F.xxhash64(text).alias(h), F.xxhash64(F.lit(7), text).alias(g))
+    own = list(RESULTS[: len(RESULTS) - (not with_text)])
+    *results, h, g, h2, g2 = free_names(docs, *own, "h", "g", "h", "g")
+    text = F.coalesce(named(text_col), F.lit(""))
+    others = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(*map(named, others), F.xxhash64(text).alias(h), F.xxhash64(F.lit(7), text).alias(g))
     texts = (
         docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g"), text.alias("t"))
         .groupBy("h", "g")
@@ -357,8 +364,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     done = texts.join(repeated_spans(docs.select(text.alias("t")), texts, length, min(Q, length), hot), ["h", "g"], "left").select("h", "g", "t", "c", "spans").mapInArrow(
         _cleaned(length, with_text), kinds
     )
-    done = done.withColumnsRenamed({"h": "h_", "g": "g_"})
-    return keyed.join(done, (keyed[h] == done["h_"]) & (keyed[g] == done["g_"])).drop(h, g, "h_", "g_")
+    done = done.toDF(h2, g2, *results)
+    return keyed.join(done, (F.col(h) == F.col(h2)) & (F.col(g) == F.col(g2))).select(*map(named, [*others, *results]))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
