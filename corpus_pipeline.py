@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternlake.llm import near, packing, pii, quality, repeats
+from patternlake.llm.common import free_names, named
 from patternlake.sources.store import remove, shared_folder
 
 
@@ -34,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the byte strings of 200 that occur elsewhere too."""
-    left = repeats.remove_repeats(docs).withColumn("text", F.col("kept"))
-    return _with_length(left).select(*docs.columns)
+    *_, kept = free_names(docs, *repeats.RESULTS)
+    left = repeats.remove_repeats(docs)
+    return _with_length(left.select(*[F.col(kept).alias(c) if c == "text" else named(c) for c in docs.columns]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
