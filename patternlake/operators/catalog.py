@@ -21,6 +21,10 @@ SOURCES = "id long, source_hash string, display_name string, project_path string
 SUMMARY = ("id", "pattern_type", "category", "name", "description", "source_object", "complexity_score", "tags", "favorited", "use_count", "seen_in_sources")
 
 
+def columns() -> list[str]:
+    return [f.split()[0] for f in SCHEMA.split(", ")]
+
+
 def new_rows(found: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows whose content no other source has; repeats inside a source stay."""
     known = catalog.select(F.col("content_hash").alias("known_hash"), F.col("source_hash").alias("known_source")).distinct()
@@ -137,7 +141,7 @@ def tags_of(text: Column) -> Column:
 
 def document(catalog: DataFrame) -> DataFrame:
     """id and document: a row's 18 keys as JSON, with structure and lists as values and the time in ISO form."""
-    d = {c: F.col(c) for c in [f.split()[0] for f in SCHEMA.split(", ")]}
+    d = {c: F.col(c) for c in columns()}
     d["structure"] = F.coalesce(F.try_parse_json("structure"), F.parse_json(F.lit("{}")))
     d["created_at"] = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
     return catalog.select("id", F.to_json(F.struct(*[c.alias(n) for n, c in d.items()]), {"ignoreNullFields": "false"}).alias("document"))

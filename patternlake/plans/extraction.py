@@ -16,6 +16,7 @@ from .. import vocab
 from ..operators import brands, catalog, extract
 from ..sources import dictionary, filetree, metadata
 from ..sources.store import shared_folder
+from ..streaming import dropfolder
 from .catalog_view import load
 from .registry import query
 
@@ -318,6 +319,22 @@ def file_tree(spark, d):
     return metadata.scan(spark, root, "tree").select(F.regexp_extract("path", r"/tree-[0-9a-f]{32}/(.*)$", 1).alias("path"), "file_type", "content")
 
 
+@query("""SELECT 'LWC: Row List' || s_suppkey AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'Account' ELSE 'Unknown' END AS source_object, CASE WHEN s_suppkey % 2 = 0 THEN '["c-row","lightning-input"]' END AS children, CASE WHEN s_suppkey % 3 = 0 THEN 'true' END AS exposed FROM supplier
+UNION ALL SELECT 'Apex: Job' || s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Case' || s_suppkey ELSE 'Unknown' END, NULL, NULL FROM supplier WHERE s_suppkey % 3 <> 1""")
+def drop_folder(spark, d):
+    """Bundles of which pages and settings arrive a batch later, and classes that change, as the log holds them in the end."""
+    base = f"{shared_folder(spark)}/drop-{uuid.uuid4().hex}"
+    below = lambda rows: rows.select(F.regexp_replace("path", "^/p/acme/", "").alias("path"), "content")
+    files, classes = below(bundle_files(spark, d)), below(class_files(spark, d))
+    late = F.col("path").rlike(r"\.(html|js-meta\.xml)$")
+    early = classes.select("path", F.lit("public class Other { public void first() {} }").alias("content"))
+    for batch in (files.where(~late).unionByName(early), files.where(late).unionByName(classes)):
+        filetree.write_files(batch, f"{base}/in")
+        dropfolder.watch(spark, f"{base}/in", "acme", f"{base}/out", f"{base}/state", settle=0).awaitTermination()
+    rows = dropfolder.current(spark, f"{base}/out")
+    return rows.select("name", "source_object", _json("html.child_components", "children"), F.get_json_object("structure", "$.meta.isExposed").alias("exposed"))
+
+
 #: Words of structure, which are no brands; the list is a parameter of detection.
 STRUCTURAL = ["account", "report", "custom", "field", "oldring", "nsbluerod"]
 

@@ -1,6 +1,7 @@
 """A data source for trees of text files, and a sink that writes rows as files.
 
     spark.read.format("filetree").load(root)
+    spark.readStream.format("filetree").load(root)
 
 reads every regular file under a root, also hidden ones and those in hidden folders, which
 Spark's own sources leave out. The text is UTF-8; bytes that aren't become the replacement
@@ -9,100 +10,150 @@ character, as Python puts it; a file that can't be read any more has the empty t
 The tree is listed level by level on the driver just until it has folders for all tasks; each
 task lists its own folders and reads what it finds. Files of the listed levels are dealt by size.
 Any file system that pyarrow.fs knows by its URI will do (local, s3, gs, hdfs).
+
+A stream has each file when it is new and again whenever it has changed, by its time of change (Spark's
+own file stream knows a path once and for all). Changes of the last `settle` seconds wait for a
+later batch, as a store may round times or show a file late.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "path string, length long, content string"
+SCHEMA = "path string, length long, modified timestamp, content string"
 #: Bytes of a batch and of a task's listed files, and folders that the driver lists for, by default.
 BATCH_BYTES, TASK_BYTES, TASKS = 4 << 20, 32 << 20, 64
+#: Seconds that a stream leaves a changed file alone.
+SETTLE = 2
 
 
 def _system(root: str) -> tuple[fs.FileSystem, str]:
     """The file system of a root, and the root's path there."""
     if root.startswith("file:"):
         root = "/" + root.removeprefix("file:").lstrip("/")
+    root = root.rstrip("/") or "/"
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
+#: A file: path, length, and time of change in nanoseconds.
+File = tuple[str, int, int]
+_KINDS = [("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("content", pa.string())]
+
+
 class Share(InputPartition):
     """What a task reads: listed files, and folders whose trees it lists itself."""
 
-    def __init__(self, files: list[tuple[str, int]], folders: list[str]):
+    def __init__(self, files: list[File], folders: list[str]):
         self.files, self.folders = files, folders
 
 
+def _children(system: fs.FileSystem, folder: str, must_exist: bool = False) -> tuple[list[File], list[str]]:
+    files, folders = [], []
+    for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=not must_exist)):
+        if info.type == fs.FileType.Directory:
+            folders.append(info.path)
+        elif info.type == fs.FileType.File:
+            files.append((info.path, info.size or 0, info.mtime_ns or 0))
+    return files, folders
+
+
+def _every(system: fs.FileSystem, folders: list[str]) -> Iterator[File]:
+    waiting = list(folders)
+    while waiting:
+        files, more = _children(system, waiting.pop())
+        yield from files
+        waiting += more
+
+
+def _dealt(files: list[File]) -> list[Share]:
+    shares, held, weight = [], [], 0
+    for file in sorted(files):
+        held.append(file)
+        weight += file[1] + 4096  # opening a file takes time too
+        if weight >= TASK_BYTES:
+            shares.append(Share(held, []))
+            held, weight = [], 0
+    return [*shares, Share(held, [])] if held else shares
+
+
+def _read(root: str, share: Share) -> Iterator[pa.RecordBatch]:
+    system, _ = _system(root)
+    rows: list[tuple] = []
+    size = 0
+    for path, length, changed in (*share.files, *_every(system, share.folders)):
+        try:
+            with system.open_input_stream(path) as stream:
+                content = stream.read()
+        except OSError:
+            content = b""
+        rows.append((path, length, changed // 1000, content.decode("utf-8", "replace")))
+        size += length + 100
+        if size >= BATCH_BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_KINDS)], [n for n, _ in _KINDS])
+
+
 class FileTreeReader(DataSourceReader):
     def __init__(self, root: str, tasks: int):
-        self.root, self.tasks = root.rstrip("/") or "/", tasks
+        self.root, self.tasks = root, tasks
 
     def partitions(self) -> list[Share]:
         system, top = _system(self.root)
-        files, folders = [], [top]
+        files, folders = _children(system, top, must_exist=True)
         while folders and len(folders) < self.tasks:
             level, folders = folders, []
             for folder in level:
-                for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=folder != top)):
-                    if info.type == fs.FileType.Directory:
-                        folders.append(info.path)
-                    elif info.type == fs.FileType.File:
-                        files.append((info.path, info.size or 0))
-        shares = [Share([], [f]) for f in sorted(folders)]
-        held: list[tuple[str, int]] = []
-        weight = 0
-        for file in sorted(files):
-            held.append(file)
-            weight += file[1] + 4096  # opening a file takes time too
-            if weight >= TASK_BYTES:
-                shares.append(Share(held, []))
-                held, weight = [], 0
-        return [*shares, Share(held, [])] if held or not shares else shares
+                more, below = _children(system, folder)
+                files += more
+                folders += below
+        return [Share([], [f]) for f in sorted(folders)] + _dealt(files) or [Share([], [])]
 
     def read(self, share: Share) -> Iterator[pa.RecordBatch]:
-        system, _ = _system(self.root)
-        rows: list[tuple[str, int, str]] = []
-        size = 0
-        for path, length in _files(system, share):
-            try:
-                with system.open_input_stream(path) as stream:
-                    content = stream.read()
-            except OSError:
-                content = b""
-            rows.append((path, length, content.decode("utf-8", "replace")))
-            size += length + 100
-            if size >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
+        return _read(self.root, share)
 
 
-def _files(system: fs.FileSystem, share: Share) -> Iterator[tuple[str, int]]:
-    yield from share.files
-    waiting = list(share.folders)
-    while waiting:
-        for info in system.get_file_info(fs.FileSelector(waiting.pop(), allow_not_found=True)):
-            if info.type == fs.FileType.Directory:
-                waiting.append(info.path)
-            elif info.type == fs.FileType.File:
-                yield info.path, info.size or 0
+class FileTreeStreamReader(DataSourceStreamReader):
+    """Offsets are times of change; a batch has the files that changed after one and not after the next."""
+
+    def __init__(self, root: str, settle: float):
+        self.root, self.settle = root, settle
+
+    def _files(self) -> Iterator[File]:
+        system, top = _system(self.root)
+        return _every(system, [top])
+
+    def initialOffset(self) -> dict:
+        return {"changed": -1}
+
+    def latestOffset(self) -> dict:
+        until = int((time.time() - self.settle) * 1e9)
+        return {"changed": max((f[2] for f in self._files() if f[2] <= until), default=-1)}
 
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        return _dealt([f for f in self._files() if start["changed"] < f[2] <= end["changed"]]) or [Share([], [])]
 
-def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
-    kinds = [("path", pa.string()), ("length", pa.int64()), ("content", pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        return _read(self.root, share)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class FileTree(DataSource):
-    """Options: path, and `tasks`, the number of folders to list for."""
+    """Options: path; `tasks`, the number of folders to list for; and of a stream `settle`, in seconds."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,13 +165,22 @@ class FileTree(DataSource):
     def reader(self, schema: StructType) -> FileTreeReader:
         return FileTreeReader(self.options["path"], int(self.options.get("tasks", TASKS)))
 
+    def streamReader(self, schema: StructType) -> FileTreeStreamReader:
+        return FileTreeStreamReader(self.options["path"], float(self.options.get("settle", SETTLE)))
+
 
 def read_tree(spark: SparkSession, root: str, tasks: int = TASKS) -> DataFrame:
-    """path, length and content of every file under `root`."""
+    """path, length, modified and content of every file under `root`."""
     spark.dataSource.register(FileTree)
     return spark.read.format("filetree").option("tasks", tasks).load(root)
 
 
+def watch_tree(spark: SparkSession, root: str, settle: float = SETTLE) -> DataFrame:
+    """A stream of the same columns: new and changed files under `root`."""
+    spark.dataSource.register(FileTree)
+    return spark.readStream.format("filetree").option("settle", settle).load(root)
+
+
 def write_files(rows: DataFrame, root: str) -> int:
     """Write rows (path, content as text or bytes) as files under `root`; how many.
 

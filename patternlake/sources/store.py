@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,11 +25,27 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at the end, so what is computed from them must be stored before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            remove(spark, folder)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """`df`, written to a new folder and read again."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    if _scratch:
+        _scratch[-1].append(folder)
     writer.parquet(folder)
     kinds = {f.name: f for f in df.schema.fields}
     order = [c for c in df.columns if c not in partition_by] + list(partition_by)

@@ -48,7 +48,7 @@ def test_wide_folders_are_dealt_by_size(tmp_path, monkeypatch):
     for k in range(40):
         (tmp_path / f"f{k}").write_bytes(b"x" * 1000)
     shares = filetree.FileTreeReader(str(tmp_path), 8).partitions()
-    assert len(shares) == 4 and sorted(f for s in shares for f, _ in s.files) == sorted(str(tmp_path / f"f{k}") for k in range(40))
+    assert len(shares) == 4 and sorted(f[0] for s in shares for f in s.files) == sorted(str(tmp_path / f"f{k}") for k in range(40))
 
 
 def test_missing_and_vanished(spark, tmp_path):
@@ -56,9 +56,9 @@ def test_missing_and_vanished(spark, tmp_path):
         filetree.read_tree(spark, str(tmp_path / "none")).collect()
     assert filetree.read_tree(spark, str(tmp_path)).collect() == []
     reader = filetree.FileTreeReader(str(tmp_path), 1)
-    gone = filetree.Share([(str(tmp_path / "gone"), 5)], [str(tmp_path / "gone too")])
+    gone = filetree.Share([(str(tmp_path / "gone"), 5, 1_000_000)], [str(tmp_path / "gone too")])
     (batch,) = reader.read(gone)
-    assert batch.to_pylist() == [{"path": str(tmp_path / "gone"), "length": 5, "content": ""}]
+    assert [(r["path"], r["length"], r["content"]) for r in batch.to_pylist()] == [(str(tmp_path / "gone"), 5, "")]
 
 
 def test_written_files(spark, tmp_path):
@@ -66,3 +66,24 @@ def test_written_files(spark, tmp_path):
     assert filetree.write_files(rows, str(tmp_path / "out")) == 2
     assert (tmp_path / "out/a/b.txt").read_bytes() == b"1\xff" and os.path.getsize(tmp_path / "out/.h/c") == 0
     assert filetree.write_files(rows.where("false"), str(tmp_path / "out")) == 0
+
+
+def test_stream_offsets(tmp_path):
+    """Every change is in one batch; what has just changed waits."""
+    reader = filetree.FileTreeStreamReader(str(tmp_path), 0)
+    assert reader.latestOffset() == reader.initialOffset()
+
+    def batch(start):
+        end = reader.latestOffset()
+        return end, sorted(os.path.basename(f[0]) for share in reader.partitions(start, end) for f in share.files)
+
+    for name, at in (("a", 10), ("b", 20)):
+        (tmp_path / name).write_text(name)
+        os.utime(tmp_path / name, (at, at))
+    end, names = batch(reader.initialOffset())
+    assert names == ["a", "b"] and batch(end)[1] == []
+    os.utime(tmp_path / "a", (30, 30))
+    (tmp_path / ".c").write_text("now")
+    slow = filetree.FileTreeStreamReader(str(tmp_path), 3600)
+    assert slow.latestOffset() == {"changed": 30 * 10**9}
+    assert batch(end)[1] == [".c", "a"]

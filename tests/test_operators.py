@@ -7,8 +7,6 @@ from patternlake.functions import text as T
 from patternlake.operators import brands, catalog, graph, rendering, search
 from patternlake.sources import dictionary, store
 from patternlake.sources.store import numbered
-from patternlake.streaming import dropfolder
-from tests import project
 
 
 def value(spark, text, f):
@@ -122,13 +120,6 @@ def test_pages(spark):
         search.page(cat, 0)
 
 
-def test_drop_folder(spark, tmp_path):
-    project.write(tmp_path)
-    query = dropfolder.watch(spark, str(tmp_path / "acme"), "acme", str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).where("pattern_type = 'field_definition'").count() == 4
-
-
 def test_numbered(spark):
     rows = spark.range(1000, numPartitions=7).selectExpr("id", "(id * 7919) % 1000 AS k")
     found = numbered(rows, ["k"]).collect()
