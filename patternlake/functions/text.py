@@ -116,9 +116,11 @@ def keywords(text: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(kept), 1, most)
 
 
-def map_field(ref: Column) -> Column:
-    """Target name for a field reference: custom fields as they are, paths by their last part."""
-    return F.when(ref.contains("__c"), ref).when(ref.contains("."), F.element_at(F.split(ref, r"\."), -1)).otherwise(ref)
+def map_field(ref: Column, target_object: str = "") -> Column:
+    """Target name for a field reference: custom fields as they are, paths by their last part, on the target object if one is given."""
+    last = F.element_at(F.split(ref, r"\."), -1)
+    last = F.concat(F.lit(f"{target_object}."), last) if target_object else last
+    return F.when(ref.contains("__c"), ref).when(ref.contains("."), last).otherwise(ref)
 
 
 def company_core(name: Column) -> Column:

@@ -35,6 +35,12 @@ def fresh(entries: DataFrame, at: str, hours: int, now: Column) -> DataFrame:
     return entries.where(F.col(at) > now - F.expr(f"interval {int(hours)} hours"))
 
 
+def cached(entries: DataFrame, at: str, body: str, hours: int, now: Column) -> DataFrame:
+    """Fresh entries with their `ids`; an entry whose body isn't JSON, or has no list of ids, is a miss."""
+    ids = F.try_variant_get(F.try_parse_json(body), "$.ids", "array<bigint>")
+    return fresh(entries, at, hours, now).withColumn("ids", ids).where("ids IS NOT NULL")
+
+
 def store_call(ledger: DataFrame, day: Column, spent: Column, calls: DataFrame) -> DataFrame:
     """The ledger (day, calls, cost) with further calls added to their days."""
     new = calls.groupBy(day.alias("day")).agg(F.count("*").alias("calls"), F.sum(spent).alias("cost"))

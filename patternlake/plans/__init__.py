@@ -1,3 +1,3 @@
 """Operators bound to the fixture tables."""
 
-from . import extraction, queries  # noqa: F401  (both register their queries)
+from . import answers, extraction, queries  # noqa: F401  (they register their queries)

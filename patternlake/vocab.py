@@ -192,3 +192,14 @@ COMPLEXITY_WEIGHTS = {
     "formulas": 2, "fields": 0.5, "elements": 0.3, "nesting_depth": 4, "subflows": 3,
 }
 COMPLEXITY_STEPS = (3, 8, 18, 35)
+
+# Fixed values. Colours that categories are shown in.
+CATEGORY_COLORS = {
+    "Flow Logic": "#3b82f6",
+    "Data Validation": "#22c55e",
+    "Data Model": "#a855f7",
+    "UI Component": "#f97316",
+    "Reporting": "#eab308",
+    "Page Layout": "#06b6d4",
+    "Apex Logic": "#ef4444",
+}
