@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,20 +62,21 @@ def redact(key: str, value: Column) -> Column:
 # Full text ----------------------------------------------------------------------
 
 
-def _latin() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and the letters without."""
+@cache
+def _marked() -> tuple[str, str]:
+    """Lower-case letters with marks, of all scripts, and the letters without: what decomposition makes of them."""
     source, target = "", ""
-    for code in range(0xC0, 0x250):
+    for code in range(0xC0, 0x10000):
         base = unicodedata.normalize("NFD", chr(code))
-        if len(base) > 1 and base[0].isascii() and chr(code).islower():
+        if len(base) > 1 and chr(code).lower() == chr(code) and unicodedata.category(base[0])[0] == "L" and all(unicodedata.category(c) == "Mn" for c in base[1:]):
             source, target = source + chr(code), target + base[0]
     return source, target
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics, as index and query see it."""
+    """Lower case without diacritics, as index and query see it; marks that follow their letter go as well."""
     low = F.lower(text)
-    return F.when(low.rlike("[^\\x00-\\x7F]"), F.translate(low, *_latin())).otherwise(low)
+    return F.when(low.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.translate(low, *_marked()), r"\p{Mn}+", "")).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
@@ -101,8 +103,8 @@ def has_prefix(text: Column, start: str) -> Column:
 
 
 def _plain_tokens(term: str) -> list[str]:
-    source, target = _latin()
-    folded = term.lower().translate(str.maketrans(source, target))
+    folded = term.lower().translate(str.maketrans(*_marked()))
+    folded = "".join(c for c in folded if unicodedata.category(c) != "Mn")
     return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in folded).split()
 
 

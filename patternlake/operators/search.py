@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import written
+from ..sources.store import numbered, written
 from . import expression, substring
 from .substring import like
 
@@ -159,6 +159,21 @@ def page(catalog: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     return ordered(catalog).offset((number - 1) * size).limit(size)
 
 
+def write_places(catalog: DataFrame) -> DataFrame:
+    """(place, id): the order of pages, stored, so that a page far down is as near as the first."""
+    keyed = catalog.select((-F.col("complexity_score")).alias("high"), "name", "id")
+    placed = numbered(keyed, ["high", "name", "id"]).select("place", "id")
+    return written(placed.repartitionByRange("place").sortWithinPartitions("place"), "places")
+
+
+def page_at(catalog: DataFrame, places: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
+    """The rows of `page`, of a catalog that `places` was made of: a range of places is read, then the ids there."""
+    if number < 1 or not 1 <= size <= 200:
+        raise ValueError("page from 1, size from 1 to 200")
+    ids = [r.id for r in places.where(F.col("place").between((number - 1) * size + 1, number * size)).collect()]
+    return ordered(catalog.where(substring.id_ranges(ids))) if ids else catalog.where("false")
+
+
 def page_counts(catalog: DataFrame, size: int = 50) -> DataFrame:
     return catalog.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("pages"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.search import write_index
+from ..operators.search import write_index, write_places
 from ..operators.substring import Grams, write_grams
 from ..sources.store import fingerprint, stored, written
 
@@ -35,6 +35,11 @@ def grams(spark: SparkSession, sf_dir: str) -> Grams:
     return _kept(spark, sf_dir, "grams", lambda: write_grams(catalog(spark, sf_dir)))
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored order of the catalog's pages."""
+    return _kept(spark, sf_dir, "places", lambda: write_places(catalog(spark, sf_dir)))
+
+
 def made(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """documents and labels in the roles of patterns."""
     docs = load(spark, sf_dir, "documents")

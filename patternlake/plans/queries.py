@@ -9,7 +9,7 @@ from .. import vocab
 from ..functions import text as T
 from ..operators import brands, expression, graph, rendering, search, stats, substring
 from ..operators import catalog as C
-from .catalog_view import catalog, grams, load
+from .catalog_view import catalog, grams, load, places
 from .catalog_view import token_index as token_index_of
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -26,6 +26,14 @@ def list_patterns(spark, d):
     return page.select("id", "name", "category", "source_object", "complexity_score", "favorited", "use_count")
 
 
+@query("SELECT id, complexity_score FROM (SELECT *, row_number() OVER (ORDER BY complexity_score DESC, name, id) AS k, count(*) OVER () AS n FROM cat) WHERE CAST(ceil(k / 20.0) AS BIGINT) = CAST(ceil(n / 40.0) AS BIGINT)", True)
+def deep_page(spark, d):
+    """The page in the middle, by stored places."""
+    cat = catalog(spark, d)
+    middle = -(-cat.count() // 40)
+    return search.page_at(cat, places(spark, d), middle, 20).select("id", "complexity_score")
+
+
 @query("SELECT count(*) AS total, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM cat WHERE category = 'en' AND complexity_score BETWEEN 2 AND 4", True)
 def list_totals(spark, d):
     return search.page_counts(catalog(spark, d).where(search.filters(category="en", min_complexity=2, max_complexity=4)))
@@ -92,6 +100,18 @@ def match_folded(spark, d):
     return search.ids_with_all(token_index_of(spark, d), "Élément", ("description",))
 
 
+_SCRIPTS = ["Άνθρωπος ΜΪΑ ᾧ", "Йод и Ёлка", "e\u0301le\u0300ve a\u0308o\u0308 n\u0303", "Ấn Độ Ǻ ﬁ İ"]
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, [{', '.join(f"'{t}'" for t in _SCRIPTS)}][CAST(o_orderkey % 4 AS INT) + 1] || '-' || o_orderpriority AS text FROM orders)
+SELECT o_orderkey, array_to_string({_TOKENS.format('text')}, ' ') AS tokens FROM x""")
+def fold_scripts(spark, d):
+    """Letters with marks of all scripts, composed or followed by their marks, fold alike."""
+    text = F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = load(spark, d, "orders").select("o_orderkey", F.concat(text, F.lit("-"), "o_orderpriority").alias("text"))
+    return rows.select("o_orderkey", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+
+
 @query(f"""SELECT id FROM cat WHERE len(list_filter({_TOKENS.format('description')}, lambda t: starts_with(t, 'thin'))) > 0 AND NOT list_contains({_TOKENS.format('description')}, 'of')
 OR list_contains({_TOKENS.format('source_object')}, 'src4')""", True)
 def match_boolean(spark, d):
