@@ -79,7 +79,7 @@ def candidates(grams: Grams, pattern: str) -> DataFrame | None:
     return rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("id")
 
 
-def id_ranges(ids: list[int], most: int = 8) -> Column:
+def id_ranges(ids: list[int], most: int = 32) -> Column:
     """Whether `id` is in the list, with the ranges around it that a scan can skip by: split at the widest gaps."""
     ids = sorted(ids)
     cuts = sorted(sorted(range(1, len(ids)), key=lambda k: ids[k - 1] - ids[k])[: most - 1])

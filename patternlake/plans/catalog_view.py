@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.ranking import Impacts, write_impacts
 from ..operators.search import write_index, write_places
 from ..operators.substring import Grams, write_grams
 from ..sources.store import fingerprint, stored, written
@@ -40,6 +41,11 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "places", lambda: write_places(catalog(spark, sf_dir)))
 
 
+def impacts(spark: SparkSession, sf_dir: str) -> Impacts:
+    """The stored postings of the catalog by falling counts."""
+    return _kept(spark, sf_dir, "impacts", lambda: write_impacts(token_index(spark, sf_dir), catalog(spark, sf_dir).count()))
+
+
 def made(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """documents and labels in the roles of patterns."""
     docs = load(spark, sf_dir, "documents")

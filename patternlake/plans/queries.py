@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import brands, expression, graph, rendering, search, stats, substring
+from ..operators import brands, expression, graph, ranking, rendering, search, stats, substring
 from ..operators import catalog as C
-from .catalog_view import catalog, grams, load, places
+from .catalog_view import catalog, grams, impacts, load, places
 from .catalog_view import token_index as token_index_of
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -228,6 +228,17 @@ def rank_lexical(spark, d):
     return search.rank(token_index_of(spark, d), catalog(spark, d), "the thing Élément")
 
 
+_EVERY_TOKEN = " UNION ALL ".join(f"SELECT id, unnest({_TOKENS.format(c)}) AS token FROM cat" for c in ("name", "description", "source_object", "pattern_type", "tags_text"))
+
+
+@query(f"""t AS ({_EVERY_TOKEN}), x AS (SELECT id, token, count(*) AS tf FROM t WHERE token IN ('thing', 'nations', 'element', 'elle', 'src3') GROUP BY id, token),
+y AS (SELECT token, ln((SELECT count(*) FROM cat) / count(*)) AS w FROM x GROUP BY token)
+SELECT id, round(sum(tf * w), 6) AS score FROM x JOIN y USING (token) GROUP BY id ORDER BY score DESC, id LIMIT 10""", True)
+def rank_top(spark, d):
+    """The same ranking over all text columns, from the heads of the words' lists."""
+    return ranking.top(impacts(spark, d), "Thing nations Élément, elle src3!")
+
+
 @query("SELECT pos, p_partkey, p_name FROM (VALUES (0, 17), (1, 3), (2, 99999999), (3, 8)) AS v(pos, k) JOIN part ON p_partkey = k")
 def ranked_lookup(spark, d):
     ids = spark.createDataFrame([(0, 17), (1, 3), (2, 99999999), (3, 8)], "pos int, id long")
