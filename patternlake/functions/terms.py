@@ -7,6 +7,7 @@ grow with the number of terms.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 from pyspark.sql import Column
@@ -91,3 +92,13 @@ def replaced(text: Column, pattern: Column, buckets: Column, unknown: str = "[BR
     # there is one part more than there are hits
     by_pattern = F.array_join(F.zip_with(parts, hits, lambda x, h: F.when(h.isNull(), x).otherwise(F.concat(x, label(h)))), "")
     return F.when(text.isNull(), text).when(F.contains(text, F.lit(_MARK)), by_pattern).otherwise(marked)
+
+
+def scrubbed(text: Column, labels: dict[str, str]) -> Column:
+    """Labels for terms that no letter adjoins, whatever their case, longest first; `labels` is one project's table."""
+    labels = {t: label for t, label in labels.items() if t}
+    if not labels:
+        return text
+    low = {t.lower(): labels[t] for t in sorted(labels, key=lambda t: (len(t), t), reverse=True)}
+    table = F.from_json(F.lit(json.dumps(label_buckets(low))), BUCKETS)
+    return replaced(text, F.lit(trie_pattern(list(labels))), table)

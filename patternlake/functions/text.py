@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
+from . import terms
 
 # Fixed values. What is scrubbed and the marks that take its place; the order matters, as earlier marks hide text from later patterns.
 _ID = r"\b(?=(?:%s|a[0-3]))[A-Za-z0-9]{15}(?:[A-Za-z0-9]{3})?\b" % "|".join(vocab.RECORD_ID_PREFIXES)
@@ -46,12 +47,13 @@ def scrub_money(text: Column) -> Column:
     return _scrubbed(text, *SCRUBS[4])
 
 
-def anonymize(text: Column) -> Column:
-    """Ids, mail and web addresses, IP addresses and amounts; texts under three characters stay."""
-    out = scrub_ids(text)
-    for pattern, mark in SCRUBS[1:]:  # without hints, which would evaluate what is inside them twice
-        out = _scrubbed(out, pattern, mark)
-    return F.when(F.length(text) < 3, text).otherwise(out)
+def anonymize(text: Column, labels: dict[str, str] | None = None) -> Column:
+    """Ids, mail and web addresses, IP addresses and amounts, then brand terms by their labels; texts under three characters stay."""
+    out = text
+    for (pattern, mark), hint in zip(SCRUBS, (_RUN_OF_15, _AT, "(?i)http", _DOTTED, r"\$"), strict=True):
+        # as a lambda variable a step's result is evaluated once, though its guard and its pattern both read it
+        out = F.get(F.transform(F.array(out), lambda v: _scrubbed(v, pattern, mark, hint)), F.lit(0))
+    return F.when(F.length(text) < 3, text).otherwise(terms.scrubbed(out, labels or {}))
 
 
 def redact(key: str, value: Column) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import terms
+from ..functions.terms import scrubbed as scrub  # noqa: F401  (of one project; by source: scrub_by_source)
 from ..sources.store import numbered
 from .stats import label
 
@@ -93,17 +92,6 @@ def brand_terms(fields: DataFrame, companies: DataFrame | None = None, custom: l
     return numbered(first, ["kind", "place", "term"], "n").select("term", label(F.col("n")).alias("label"))
 
 
-def scrub(text: Column, labels: dict[str, str]) -> Column:
-    """Labels for terms that no letter adjoins, whatever their case, longest first; `labels` is one project's table."""
-    labels = {t: label for t, label in labels.items() if t}
-    if not labels:
-        return text
-    pattern = terms.trie_pattern(list(labels))
-    low = {t.lower(): labels[t] for t in sorted(labels, key=lambda t: (len(t), t), reverse=True)}
-    table = F.from_json(F.lit(json.dumps(terms.label_buckets(low))), terms.BUCKETS)
-    return terms.replaced(text, F.lit(pattern), table)
-
-
 def term_tables(labels: DataFrame, source: str = "source_hash") -> DataFrame:
     """(source, pattern_, buckets_): of labels (source, term, label) each source's trie and label table, in one row."""
     once = labels.groupBy(F.col(source).alias("s"), F.lower("term").alias("t")).agg(F.min(F.struct("term", "label"))["label"].alias("l")).where("t <> ''")

@@ -242,6 +242,16 @@ def extract_flow_elements(spark, d):
     return rows.select("pattern_type", "name", "description", "source_object", F.array_join("field_references", ",").alias("refs"), "complexity_score")
 
 
+@query("""WITH x AS (SELECT 'Route_' || o_orderkey || '.flow-meta.xml' AS flow, o_orderkey AS k, o_orderkey % 2 = 0 AS two FROM orders)
+SELECT flow, 'flow_decision' AS pattern_type, '{"name": "Check", "label": "Is ' || k || ' hot?", "rules": {"name": "yes", "conditions": {"leftValueReference": "Case.Heat' || k || '__c"}, "connector": {"targetReference": "Mark"}}, "defaultConnector": {"targetReference": "Find"}}' AS document FROM x
+UNION ALL SELECT flow, 'flow_assignment', '{"name": "Mark", "assignmentItems": {"value": "Done."}}' FROM x
+UNION ALL SELECT flow, 'flow_record_lookup', '{"name": "Find", "object": "Lead", "filters": {"field": "Heat__c"}, "connector": {"targetReference": "Mark"}, "faultConnector": {"targetReference": "Oops"}}' FROM x WHERE two""")
+def flow_documents(spark, d):
+    """Every element's own tree as a document, without its place on the canvas."""
+    rows = extract.flows(_files(flow_files(spark, d))).where("pattern_type <> 'flow_full'")
+    return rows.select(F.col("source_file").alias("flow"), "pattern_type", F.col("structure").alias("document"))
+
+
 @query("""WITH x AS (SELECT 'Route_' || o_orderkey || '.flow-meta.xml' AS flow, o_orderkey % 2 = 0 AS two FROM orders)
 SELECT flow, 'Check' AS a, 'Mark' AS b, 'rule:yes' AS kind FROM x UNION ALL SELECT flow, 'Check', 'Find', 'default' FROM x
 UNION ALL SELECT flow, 'Find', 'Mark', 'next' FROM x WHERE two UNION ALL SELECT flow, 'Find', 'Oops', 'fault' FROM x WHERE two""")

@@ -456,6 +456,11 @@ def anonymize_strings(spark, d):
     return _amounts(spark, d).select("o_orderkey", T.anonymize(F.col("text")).alias("text"))
 
 
+@query(f"SELECT o_orderkey, replace(replace({_ALL_SQL.replace('@', _AMOUNT)}, 'amt', 'Brand_A'), ' due', ' Brand_B') AS text FROM orders")
+def anonymize_with_brands(spark, d):
+    return _amounts(spark, d).select("o_orderkey", T.anonymize(F.col("text"), {"AMT": "Brand_A", "due": "Brand_B", "Du": "no"}).alias("text"))
+
+
 @query("SELECT conv_id, turn, '[DESCRIPTION:' || length(text) || 'chars]' AS text FROM conversations")
 def redact_content(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", T.redact("description", F.col("text")).alias("text"))
