@@ -31,7 +31,7 @@ def one(rows, kind, file):
 
 def test_counts(files, rows):
     counts = {r["file_type"]: r["n"] for r in metadata.file_counts(files).collect()}
-    assert counts == {"flow": 2, "validation": 1, "object": 1, "field": 5, "report": 1, "layout": 2, "lwc": 2, "apex": 2}
+    assert counts == {"flow": 2, "validation": 1, "object": 1, "field": 5, "report": 2, "layout": 2, "lwc": 2, "apex": 2}
     kinds = {}
     for r in rows:
         kinds[r["pattern_type"]] = kinds.get(r["pattern_type"], 0) + 1
