@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.store import written
 
 
+def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """`rows` written, and their number, which the writing tells."""
+    told = Observation()
+    kept = written(rows.observe(told, F.count("*").alias("n")), "reach")
+    return kept, told.get["n"]
+
+
 def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(g, node, steps) of what the edges (g, a, b) lead to from the starts (g, node), with the fewest steps.
 
@@ -15,12 +22,11 @@ def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     each round is written, as rounds build on one another. Cycles end, as nothing new is reached. A start has 0 steps.
     """
     jumps = edges.select("g", "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
-    reached = written(starts.select("g", "node").distinct().withColumn("steps", F.lit(0).cast("long")), "reach")
-    step, known = 1, reached.count()
+    reached, known = _counted(starts.select("g", "node").distinct().withColumn("steps", F.lit(0).cast("long")))
+    step = 1
     while True:
         more = reached.join(jumps.withColumnRenamed("a", "node"), ["g", "node"]).select("g", F.col("b").alias("node"), (F.col("steps") + step).alias("steps"))
-        reached = written(reached.unionByName(more).groupBy("g", "node").agg(F.min("steps").alias("steps")), "reach")
-        now = reached.count()
+        reached, now = _counted(reached.unionByName(more).groupBy("g", "node").agg(F.min("steps").alias("steps")))
         if now == known:
             return reached
         known, step = now, 2 * step
