@@ -37,7 +37,7 @@ def test_counts(files, rows):
         kinds[r["pattern_type"]] = kinds.get(r["pattern_type"], 0) + 1
     assert kinds == {
         "flow_full": 1, "flow_decision": 1, "flow_record_update": 1, "flow_assignment": 1, "flow_formula": 1, "validation_rule": 1,
-        "object_definition": 1, "field_definition": 4, "report_definition": 1, "layout_definition": 2, "lwc_component": 2, "apex_class": 1,
+        "object_definition": 1, "field_definition": 4, "report_definition": 2, "layout_definition": 2, "lwc_component": 2, "apex_class": 1,
     }
     assert all(1 <= r["complexity_score"] <= 5 and len(r["content_hash"]) == 16 for r in rows)
 
