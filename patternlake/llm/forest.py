@@ -4,8 +4,11 @@ A tree gives each vector a string of BITS bits, the sides of BITS random orthogo
 hyperplanes on which it lies, and is kept as a sorted array of these strings. A query
 descends in each tree to its longest matching prefix, by binary search; then all trees
 ascend together, one bit at a time, until the rows that share a prefix, counted once a
-tree, are as many as the rows of the forest (or 8 * FEWEST). Of these the share SCORED that most trees
-met, at least FEWEST, are scored in double precision; the others are never looked at.
+tree, are as many as the rows of the forest (or 8 * `fewest`). Of the rows met, the share
+`scored` that most trees met, at least `fewest`, are scored in double precision; the others
+are counted only. Counting isn't free: among random vectors two thirds of a forest's rows
+are met. With `scored` = 1 every row of a forest is scored without a descent, and
+the result is exact.
 
 Rows are dealt by hash into shards with a forest each, and every query of the stated set
 is searched in each shard, a batch at a time; the best of a shard are merged. A shard has
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 TREES, BITS = 128, 32
-#: Share of a forest's rows that are scored for a query, and the fewest.
+#: Share of a forest's rows that are scored for a query (1: all, exact), and the fewest.
 SCORED, FEWEST = 0.08, 600
 #: Rows of a shard: at most, and where it doesn't pay to have more shards.
 SHARD, SMALL = 65_536, 8192
@@ -78,15 +81,19 @@ class Forest:
         hi = np.stack([np.searchsorted(self.sorted[t], keys[:, t] | below, "right") for t in range(TREES)], axis=1)
         return lo, hi
 
-    def candidates(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+    def candidates(self, keys: np.ndarray, scored: float = SCORED, fewest: int = FEWEST) -> Iterator[np.ndarray]:
         """The rows to score for each query, sorted."""
-        most = max(FEWEST, int(SCORED * len(self.ids)))
+        most = max(fewest, int(scored * len(self.ids)))
+        if most >= len(self.ids):
+            for _ in keys:
+                yield np.arange(len(self.ids))
+            return
         # the common depth to which all trees ascend: the greatest with enough rows
         low, high = np.zeros(len(keys), np.int64), np.full(len(keys), BITS)
         while (low < high).any():
             middle = (low + high + 1) // 2
             lo, hi = self.ranges(keys, middle)
-            enough = (hi - lo).sum(axis=1) >= max(len(self.ids), 8 * FEWEST)
+            enough = (hi - lo).sum(axis=1) >= max(len(self.ids), 8 * fewest)
             low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
         lo, hi = self.ranges(keys, low)
         for q in range(len(keys)):
@@ -96,10 +103,10 @@ class Forest:
                 rows = np.sort(rows[np.argpartition(-met[rows], most - 1)[:most]])
             yield rows
 
-    def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def nearest(self, ids: np.ndarray, vectors: np.ndarray, k: int, scored: float = SCORED, fewest: int = FEWEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's id, ids, scores) with up to k neighbours each, nearest first."""
         lengths = np.sqrt((vectors**2).sum(axis=1))
-        for q, rows in enumerate(self.candidates(strings(vectors))):
+        for q, rows in enumerate(self.candidates(strings(vectors), scored, fewest)):
             rows = rows[self.ids[rows] != ids[q]]
             scores = (self.vectors[rows] * vectors[q]).sum(axis=1) / (self.lengths[rows] * lengths[q])
             best = np.lexsort((self.ids[rows], -scores))[:k]
@@ -115,8 +122,23 @@ def _stacked(rows: pd.DataFrame) -> np.ndarray:
     return np.stack(rows["v"].to_numpy()).astype(np.float64)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shards: int | None = None) -> DataFrame:
-    """query_id, rank, the neighbour's id and score, for each row where `is_query` holds."""
+def nearest(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    shards: int | None = None,
+    scored: float = SCORED,
+    fewest: int = FEWEST,
+) -> DataFrame:
+    """query_id, rank, the neighbour's id and score, for each row where `is_query` holds.
+
+    A shard scores at least `k` rows, and `scored` of its rows, or `fewest` if these are more.
+    """
+    if not (0 <= scored <= 1 and k >= 1):
+        raise ValueError("scored is a share, and k at least 1")
+    fewest = max(fewest, k + 1)
     given = vectors.select(F.col(id_col).alias("i"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     given = given.where(F.col("i").isNotNull() & valid(F.col("v"))).withColumn("d", F.size("v"))
     rows = given.dropDuplicates(["i", "v"])
@@ -140,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 if len(asks := part[part["asks"]]) and held:
                     if forest is None:
                         forest = Forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    for q, ids, scores in forest.nearest(asks["i"].to_numpy(), _stacked(asks), k):
+                    for q, ids, scores in forest.nearest(asks["i"].to_numpy(), _stacked(asks), k, scored, fewest):
                         yield pd.DataFrame({"query_id": q, "i": ids, "score": scores})
 
     found = both.select("i", "v", "d", "asks", "shard").mapInPandas(run, f"query_id {kind}, i {kind}, score double")

@@ -138,23 +138,28 @@ def features(text: str, start: int, end: int) -> list[float]:
 
 
 def values(text: str) -> Iterator[tuple[int, int]]:
-    """What the context makes a candidate; in time linear in the text."""
-    m = _NAMED.search(text)
+    """What the context makes a candidate; in time linear in the text.
+
+    A value without quotes is a candidate as a whole. What a name inside it introduces is one
+    of its own, up to the next such name, however long the value.
+    """
+    run, m = 0, _NAMED.search(text)  # where the last value without quotes ends
     while m:
-        start = at = m.end()
-        quoted = _IN_QUOTES[text[at]].match(text, at) if text[at : at + 1] in _IN_QUOTES else None
-        if quoted:
+        start, end = m.end(), -1
+        following = _NAMED.search(text, start)
+        mark = text[start : start + 1]
+        if mark in _IN_QUOTES and (quoted := _IN_QUOTES[mark].match(text, start)):
             yield quoted.span(1)
-        else:
-            start += text[at : at + 1] in _IN_QUOTES
-            if plain := _PLAIN.match(text, start):
-                end = plain.end()
-                # a long value is not searched for further names, it is a candidate with what they name
-                at = end if end - start > 64 else at
-                while end > start and text[end - 1] in ".=~-,;:)]}" and text[end - 2 : end] != "==":
-                    end -= 1
-                yield start, end
-        m = _NAMED.search(text, at)
+        elif start < run:
+            end = min(run, following.start()) if following else run
+        elif plain := _PLAIN.match(text, start + (mark in _IN_QUOTES)):
+            start, end = plain.span()
+            run = end
+        if end >= 0:
+            while end > start and text[end - 1] in ".=~-,;:)]}" and text[end - 2 : end] != "==":
+                end -= 1
+            yield start, end
+        m = following
     for m in _QUOTED.finditer(text):
         yield m.span(2)
     for m in _USERINFO.finditer(text):

@@ -54,6 +54,29 @@ def test_forest_prunes():
     assert hits / (5 * len(ids)) >= 0.9
 
 
+@pytest.mark.parametrize("shards", [1, 3])
+def test_all_rows_scored_is_exact(spark, shards):
+    rng = np.random.default_rng(9)
+    vectors = np.round(rng.standard_normal((2000, 6)), 1)  # with ties
+    vectors[:, 0] += 0.05
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in forest.nearest(table, F.col("vec_id") % 50 == 0, k=7, shards=shards, scored=1.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
+    want = exact(np.arange(2000), vectors, 7)
+    assert {q: [round(s, 9) for _, s in sorted(x.items())] for q, x in got.items()} == {q: [round(s, 9) for _, s in x] for q, x in want.items()}
+
+
+def test_share_and_fewest_bound_the_scored_rows():
+    f = forest.Forest(np.arange(4000), np.random.default_rng(3).standard_normal((4000, 16)))
+    keys = forest.strings(f.vectors[:20])
+    assert all(len(x) <= 200 for x in f.candidates(keys, 0.05, 10))
+    assert all(len(x) <= 300 for x in f.candidates(keys, 0.05, 300))
+    assert all(len(x) == 4000 for x in f.candidates(keys, 1.0, 10))
+    with pytest.raises(ValueError):
+        forest.nearest(None, None, scored=1.5)
+
+
 def test_several_vectors_of_an_id(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [-1.0, -2.0])]
     found = forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()

@@ -43,7 +43,46 @@ def test_values():
     assert of("key=a,b," + "a1" * 20) == ["a,b," + "a1" * 20, "a1" * 20]
 
 
-@pytest.mark.parametrize("text", ["key=" * 50_000, 'key="' * 50_000, "://a" * 50_000, "key " * 50_000, "'" * 200_000, "://" + "a@" * 50_000])
+@pytest.mark.parametrize("letters", [4, 30, 64, 70, 5_000])
+def test_names_inside_values_of_any_length(letters):
+    text = "token=" + "a" * letters + "/password=hunter2hunter2-pwd=abcd9876. x"
+    found = {text[a:b] for a, b in secrets.candidates(text)}
+    assert {text[6:-3], "hunter2hunter2", "abcd9876"} <= found
+
+
+def slow_values(text):
+    """The value of each name, anew from its place; what lies in a value without quotes ends at the next name."""
+    names, at = [], 0
+    while m := secrets._NAMED.search(text, at):
+        names.append(m.span())
+        at = m.end()
+    out, runs = [], []
+    for k, (_, start) in enumerate(names):
+        mark = text[start : start + 1]
+        if mark in ("'", '"', "`") and (q := secrets._IN_QUOTES[mark].match(text, start)):
+            out.append(q.span(1))
+        elif plain := secrets._PLAIN.match(text, start + (mark in ("'", '"', "`"))):
+            begin, end = plain.span()
+            if any(a < start < b for a, b in runs) and k + 1 < len(names):
+                end = min(end, names[k + 1][0])
+            runs.append(plain.span())
+            while end > begin and text[end - 1] in ".=~-,;:)]}" and text[end - 2 : end] != "==":
+                end -= 1
+            out.append((begin, end))
+    return out
+
+
+def test_values_against_brute_force():
+    rng = random.Random(5)
+    pieces = ["token=", "key: ", "pwd='", "password=", "secret", "=", "&", "abc", "x9" * 5, "'", '"', " ", "/", ".", "==", "-", "user=", "a" * 70]
+    for _ in range(2000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        named = [v for v in secrets.values(text)]
+        others = [m.span(2) for m in secrets._QUOTED.finditer(text)] + [(m.start(1) + m[1].find(":") + 1, m.end(1)) for m in secrets._USERINFO.finditer(text)]
+        assert named == slow_values(text) + others, text
+
+
+@pytest.mark.parametrize("text", ["token=" + "a" * 100_000 + "/password=" + "b" * 100_000, "key=" * 50_000, 'key="' * 50_000, "://a" * 50_000, "key " * 50_000, "'" * 200_000, "://" + "a@" * 50_000])
 def test_long_texts_stay_linear(text):
     began = time.perf_counter()
     secrets.candidates(text)
