@@ -316,8 +316,8 @@ def _pairs(text: Column, pattern: str, names: dict[str, int]) -> Column:
 
 
 def components(files: DataFrame) -> DataFrame:
-    """UI components: a script with the template and settings beside it."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
+    """UI components: a script with the template and settings beside it, in the same folder of the same source."""
+    folder = F.struct(F.coalesce("source_hash", F.lit("")).alias("source"), F.regexp_replace("path", "/[^/]*$", "").alias("path"))
     scripts = files.where("file_type = 'lwc'").where(~F.col("path").contains("__tests__") & (F.col("content") != "")).select("*", folder.alias("folder"), _stem(".js").alias("component"))
     beside = files.where("file_type IS NULL").select(folder.alias("folder"), F.col("name").alias("beside"), F.col("content").alias("text"))
     pages = beside.select("folder", F.regexp_replace("beside", r"\.html$", "").alias("component"), F.col("text").alias("html")).where(F.col("beside").endswith(".html"))
@@ -719,17 +719,40 @@ def content_hash(kind: str, source_object: str, structure) -> str:
     return hashlib.sha256(canonical.encode()).hexdigest()[:16]
 
 
-def finished(rows: DataFrame, labels: dict[str, str] | DataFrame) -> DataFrame:
+#: Rows of a source that one task scrubs, and the most terms of a table that is sent to all tasks.
+SHARE_ROWS, MOST_TERMS = 50_000, 100_000
+
+
+def _dealt(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`rows` in shares of a source, each in one task behind a row that has only the source and its table, `labels_`.
+
+    So a table goes once to a share, not with every row. `sizes` (source_hash, n) tells how many shares a source
+    gets; a source of any size is split. Of terms that are equal but for case the least counts; sources
+    without terms get no table, and rows without source are spread.
+    """
+    names = rows.columns
+    once = labels.where("term <> ''").groupBy("source_hash", F.lower("term").alias("low")).agg(F.min(F.struct("term", "label")).alias("x"))
+    tables = once.groupBy("source_hash").agg(F.map_from_entries(F.collect_list("x")).alias("labels_"))
+    # written, so that Spark knows its size and decides by it whether to broadcast
+    shares = written(sizes.select("source_hash", F.ceil(F.col("n") / SHARE_ROWS).alias("shares_")), "shares")
+    first = tables.join(shares, "source_hash").select("source_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares_") - 1)).alias("share_"), "labels_")
+    spot = F.pmod(F.xxhash64("path", "name", "pattern_type"), F.coalesce("shares_", F.lit(1024).cast("long")))
+    both = rows.join(shares, "source_hash", "left").select(*names, spot.alias("share_")).unionByName(first, allowMissingColumns=True)
+    return both.repartition("source_hash", "share_").sortWithinPartitions("source_hash", "share_", F.col("labels_").isNull()).drop("share_")
+
+
+def finished(rows: DataFrame, labels: dict[str, str] | DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Scrubbed rows with content_hash.
 
     `labels` is one project's small table of brand terms, or a DataFrame (source_hash, term, label) of those of
-    several, of which each row meets its own source's.
+    several, of which each row meets its own source's. `sizes` (source_hash, n) has for these about how many rows each source
+    has; it is counted where it isn't given.
     """
     names = rows.columns
     if isinstance(labels, DataFrame):
-        own = labels.groupBy("source_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "label"))).alias("labels_"))
-        rows = rows.join(own, "source_hash", "left").select(*names, "labels_")
-        shared = None
+        rows, shared = _dealt(rows, labels, rows.groupBy("source_hash").agg(F.count("*").alias("n")) if sizes is None else sizes), None
+    elif len(labels) > MOST_TERMS:
+        raise ValueError(f"{len(labels)} terms: give more than {MOST_TERMS} as a DataFrame (source_hash, term, label)")
     else:
         shared = rows.sparkSession.sparkContext.broadcast(labels)
 
@@ -738,8 +761,12 @@ def finished(rows: DataFrame, labels: dict[str, str] | DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if shared is None and row["source_hash"] != of:
-                    clean, of = Scrubber(dict(row["labels_"] or ())), row["source_hash"]
+                if shared is None:
+                    table = row.pop("labels_")
+                    if row["source_hash"] != of:
+                        clean, of = Scrubber(dict(table or ())), row["source_hash"]
+                    if table is not None:
+                        continue
                 structure = clean.document(json.loads(row["structure"]))
                 if row["pattern_type"] == "lwc_component":  # parts that a bundle lacks are empty, not missing
                     structure = {"html": {}, "meta": {}} | structure
@@ -768,7 +795,9 @@ def extract(files: DataFrame, labels: dict[str, str] | DataFrame | None = None)
     """The finished rows of all files; these are read once and kept by type, so that each extractor reads its own."""
     files = written(files, "files", ("file_type",))
     every = reduce(DataFrame.unionByName, (f(files) for f in EXTRACTORS.values()))
-    return finished(every, {} if labels is None else labels)
+    if not isinstance(labels, DataFrame):
+        return finished(every, labels or {})
+    return finished(every, labels, files.groupBy("source_hash").agg(F.count("*").alias("n")))
 
 
 def watched(rows: DataFrame, progress: Observation) -> DataFrame:

@@ -143,3 +143,35 @@ def test_progress(files):
     progress = Observation("extraction")
     extract.watched(extract.extract(files), progress).count()
     assert progress.get["rows"] == progress.get["Data Model"] + sum(progress.get[c] for c in ("Flow Logic", "Data Validation", "UI Component", "Reporting", "Page Layout", "Apex Logic")) and progress.get["Data Model"] == 5
+
+
+def test_tables_go_once_to_a_share(spark, files, monkeypatch):
+    monkeypatch.setattr(extract, "SHARE_ROWS", 3)
+    own, other = files.first()["source_hash"], files.withColumn("source_hash", F.lit("other"))
+    loose, bare = files.withColumn("source_hash", F.lit(None).cast("string")), files.withColumn("source_hash", F.lit("bare"))
+    every = files.unionByName(other).unionByName(loose).unionByName(bare)
+    terms = [(own, "AcmeCloud", "Brand_A"), (own, "ACMECLOUD", "Brand_A"), (own, "AcmeCloud", "Brand_A"), (own, "", "no"), ("other", "Solo", "Brand_B"), ("absent", "x", "no")]
+    labels = spark.createDataFrame(terms, "source_hash string, term string, label string")
+    seen = lambda rows: sorted((str(r["source_hash"]), r["path"], r["pattern_type"], r["name"], r["structure"], r["content_hash"]) for r in rows.collect())
+    want = []
+    for part, table in ((files, {"AcmeCloud": "Brand_A"}), (other, {"Solo": "Brand_B"}), (loose, {}), (bare, {})):
+        want += seen(extract.extract(part, table))
+    assert seen(extract.extract(every, labels)) == sorted(want)
+
+    rows = extract.fields(every)
+    sizes = rows.groupBy("source_hash").agg(F.count("*").alias("n"))
+    parts = extract._dealt(rows, labels, sizes).select("source_hash", F.spark_partition_id().alias("p"), "labels_", "name").collect()
+    tables = [r for r in parts if r["labels_"] is not None]
+    assert {r["source_hash"] for r in tables} == {own, "other"} and len(tables) == 4 and all(r["name"] is None for r in tables)
+    of = {}
+    for r in parts:  # each row of a source with terms comes after its table
+        if r["labels_"] is not None:
+            of[r["p"]] = r["source_hash"]
+        elif r["source_hash"] in (own, "other"):
+            assert of[r["p"]] == r["source_hash"]
+    assert len(parts) - len(tables) == rows.count()
+
+
+def test_a_large_table_is_refused(spark, files):
+    with pytest.raises(ValueError, match="DataFrame"):
+        extract.extract(files, {f"t{k}": "x" for k in range(extract.MOST_TERMS + 1)})
