@@ -122,16 +122,21 @@ def without(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def search(
-    catalog: DataFrame, query: str, index: DataFrame | None = None, substring_columns: tuple[str, ...] = substring.TEXT_COLUMNS, grams: substring.Grams | None = None
+    catalog: DataFrame,
+    query: str,
+    index: DataFrame | None = None,
+    substring_columns: tuple[str, ...] = substring.TEXT_COLUMNS,
+    grams: substring.Grams | None = None,
+    columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Rows that have all terms; where no row of the whole catalog does, or a term is malformed (has a quote), rows that
-    have the query as a substring.
+    """Rows that have all terms, in `columns` if these are given; where no row of the whole catalog does, or a term is
+    malformed (has a quote), rows that have the query as a substring.
 
     Whether there is a hit is asked at once, of the token table (the catalog's own where none is given); substrings
     are looked up in the trigrams, where these are given.
     """
     index = token_table(catalog) if index is None else index
-    hits = index.where("false").select("id") if '"' in query else ids_with_all(index, query)
+    hits = index.where("false").select("id") if '"' in query else ids_with_all(index, query, columns)
     return _found(catalog, hits, query, substring_columns, grams)
 
 
@@ -220,9 +225,9 @@ def _escaped(part: str) -> str:
     return part.replace("\\", "\\\\")
 
 
-def compose_client(catalog: DataFrame, requirement: str, target_object: str, per_category: int = 5, by_object: int = 10, index: DataFrame | None = None) -> DataFrame:
-    """The other composition: per category the first matches of the whole requirement, then the object's rows not yet there."""
+def compose_client(catalog: DataFrame, requirement: str, target_object: str, per_category: int = 5, by_object: int = 10, index: DataFrame | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The other composition: per category the first matches of the whole requirement (in `columns`, if given), then the object's rows not yet there."""
     own = Window.partitionBy("category").orderBy(F.desc("complexity_score"), "name", "id")
-    first = search(catalog, requirement, index).withColumn("place", F.row_number().over(own)).where(F.col("place") <= per_category).select("id", F.lit(0).alias("origin"))
+    first = search(catalog, requirement, index, columns=columns).withColumn("place", F.row_number().over(own)).where(F.col("place") <= per_category).select("id", F.lit(0).alias("origin"))
     object_rows = ordered(catalog.where(like(F.col("source_object"), target_object))).limit(by_object).select("id", F.lit(1).alias("origin"))
     return first.unionByName(object_rows).groupBy("id").agg(F.min("origin").alias("origin")).join(catalog, "id")
