@@ -516,13 +516,20 @@ def _local(element: ElementTree.Element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def _children(element: ElementTree.Element, tag: str) -> list[ElementTree.Element]:
-    return [c for c in element if _local(c) == tag]
+#: An element's children by local name, in document order: each element's are looked through once.
+Children = dict[str, list[ElementTree.Element]]
 
 
-def _text(element: ElementTree.Element | None, tag: str, default: str = "") -> str:
-    child = next(iter(_children(element, tag)), None) if element is not None else None
-    return child.text.strip() if child is not None and child.text else default
+def _children(element: ElementTree.Element) -> Children:
+    found: Children = {}
+    for child in element:
+        found.setdefault(child.tag.rpartition("}")[2], []).append(child)
+    return found
+
+
+def _text(children: Children, tag: str, default: str = "") -> str:
+    text = children[tag][0].text if tag in children else None
+    return text.strip() if text else default
 
 
 def as_document(element: ElementTree.Element):
@@ -530,37 +537,47 @@ def as_document(element: ElementTree.Element):
     if not len(element):
         return (element.text or "").strip()
     out = {"@attrs": dict(element.attrib)} if element.attrib else {}
+    several = set()
     for child in element:
-        out.setdefault(_local(child), []).append(as_document(child))
-    return {k: v if k == "@attrs" or len(v) > 1 else v[0] for k, v in out.items()}
-
-
-def topology(root: ElementTree.Element) -> list[dict[str, str]]:
-    """Edges from, to, type between the elements, in tag order, then document order."""
+        tag, value = child.tag.rpartition("}")[2], as_document(child) if len(child) else (child.text or "").strip()
+        if tag not in out:
+            out[tag] = value
+        elif tag in several:
+            out[tag].append(value)
+        else:
+            several.add(tag)
+            out[tag] = [out[tag], value]
+    return out
+
+
+def topology(elements: dict[str, list[Children]]) -> list[dict[str, str]]:
+    """Edges from, to, type between the elements (their children, by tag), in tag order, then document order."""
     edges = []
-    for element in (e for tag in FLOW_ELEMENTS for e in _children(root, tag)):
+    for element in (e for tag in FLOW_ELEMENTS for e in elements.get(tag, ())):
         start = _text(element, "name")
         for tag, kind in CONNECTORS if start else ():
-            for holder in _children(element, tag)[: None if tag == "rules" else 1]:
-                link = next(iter(_children(holder, "connector")), None) if tag == "rules" else holder
-                target = next((t.text for t in _children(link, "targetReference") if t.text), None) if link is not None else None
+            for holder in element.get(tag, ())[: None if tag == "rules" else 1]:
+                inner = _children(holder)
+                link = (_children(inner["connector"][0]) if "connector" in inner else {}) if tag == "rules" else inner
+                target = next((t.text for t in link.get("targetReference", ()) if t.text), None)
                 if target:
-                    edges.append({"from": start, "to": target, "type": kind or f"rule:{_text(holder, 'name', 'unnamed')}"})
+                    edges.append({"from": start, "to": target, "type": kind or f"rule:{_text(inner, 'name', 'unnamed')}"})
     return edges
 
 
-def flow_object(root: ElementTree.Element) -> str:
+def flow_object(root: ElementTree.Element, elements: dict[str, list[Children]]) -> str:
     """Of the start, else the commonest of record elements (first met among equals), else the first anywhere."""
     start = next((e for e in root.iter() if _local(e) == "start"), None)
-    if found := _text(start, "object"):
+    if start is not None and (found := _text(_children(start), "object")):
         return found
-    counts = Counter(o for tag in RECORD_TAGS for e in _children(root, tag) if (o := _text(e, "object")))
+    counts = Counter(o for tag in RECORD_TAGS for e in elements.get(tag, ()) if (o := _text(e, "object")))
     if counts:
         return counts.most_common(1)[0][0]
-    for tag in ("object", "objectType", "Object"):
-        if found := next((e.text.strip() for e in root.iter() if _local(e) == tag and e.text), ""):
-            return found
-    return "Unknown"
+    first: dict[str, str] = {}
+    for e in root.iter():
+        if e.text:
+            first.setdefault(_local(e), e.text.strip())
+    return next((first[tag] for tag in ("object", "objectType", "Object") if first.get(tag)), "Unknown")
 
 
 def _score(**factors: float) -> int:
@@ -575,11 +592,11 @@ def _tags(kind: str, category: str, source_object: str, api: str, score: int) ->
     return tags + ["complex"] * (score >= 4) + ["simple"] * (score <= 1)
 
 
-def _element_score(element: ElementTree.Element, tag: str) -> int:
-    n = lambda child: len(_children(element, child))
+def _element_score(element: Children, tag: str) -> int:
+    n = lambda child: len(element.get(child, ()))
     factors: dict[str, float] = {"elements": 1}
     if tag == "decisions":
-        factors |= {"decisions": 1, "conditions": sum(len(_children(r, "conditions")) for r in _children(element, "rules"))}
+        factors |= {"decisions": 1, "conditions": sum(len(_children(r).get("conditions", ())) for r in element.get("rules", ()))}
     elif tag == "screens":
         factors |= {"screens": 1, "fields": n("fields")}
     elif tag in RECORD_TAGS:
@@ -591,38 +608,42 @@ def _element_score(element: ElementTree.Element, tag: str) -> int:
     return _score(**factors)
 
 
-def flow_rows(content: str, name: str, elements: bool = True) -> list[dict]:
-    """The whole flow and, if asked for, each of its elements; nothing for what isn't well-formed."""
-    try:
-        root = ElementTree.fromstring(content)
-    except ElementTree.ParseError:
-        return []
-    api, process, status = (_text(root, k, "unknown") for k in ("apiVersion", "processType", "status"))
-    trigger, main = _text(root, "recordTriggerType"), flow_object(root)
-    counts = {tag: n for tag in FLOW_ELEMENTS if (n := len(_children(root, tag)))}
+def _whole_flow(name: str, top: Children, inside: dict[str, list[Children]], api: str, main: str) -> dict:
+    process, status, trigger = _text(top, "processType", "unknown"), _text(top, "status", "unknown"), _text(top, "recordTriggerType")
+    counts = {tag: len(found) for tag, found in inside.items()}
     variables = []
-    for v in _children(root, "variables"):
+    for v in map(_children, top.get("variables", ())):
         row = {k: _text(v, k) for k in ("name", "dataType")} | {k: _text(v, k) == "true" for k in ("isInput", "isOutput", "isCollection")}
         variables.append(row | ({"apexClass": a} if (a := _text(v, "apexClass")) else {}))
-    structure = {"processType": process, "status": status, "triggerType": trigger, "runInMode": _text(root, "runInMode"), "elements": counts, "variables": variables, "topology": topology(root)}
+    structure = {"processType": process, "status": status, "triggerType": trigger, "runInMode": _text(top, "runInMode"), "elements": counts, "variables": variables, "topology": topology(inside)}
     score = _score(
         **{k: counts.get(k, 0) for k in ("decisions", "loops", "screens", "formulas", "subflows")}, record_ops=sum(counts.get(t, 0) for t in RECORD_TAGS), elements=sum(counts.values())
     )
     told = [(f"{trigger}-triggered " if trigger else "") + f"{process} flow"]
     told += [f"on {main}"] if main != "Unknown" else []
     told += ["with " + ", ".join(f"{n} {tag}" for tag, n in sorted(counts.items()))] if counts else []
-    label = _text(root, "label", name.removesuffix(".xml")).replace("_", " ").strip()
+    label = _text(top, "label", name.removesuffix(".xml")).replace("_", " ").strip()
     extra = [process.lower()] + ([trigger.lower()] if trigger else [])
-    rows = [
-        {
-            "pattern_type": "flow_full", "name": f"Flow: {label}", "description": ". ".join(told) + ".", "source_object": main, "structure": structure,
-            "api_version": api, "complexity_score": score, "tags": _tags("flow_full", "Flow Logic", main, api, score) + extra,
-        }
-    ]
+    return {
+        "pattern_type": "flow_full", "name": f"Flow: {label}", "description": ". ".join(told) + ".", "source_object": main, "structure": structure,
+        "api_version": api, "complexity_score": score, "tags": _tags("flow_full", "Flow Logic", main, api, score) + extra,
+    }
+
+
+def flow_rows(content: str, name: str, elements: bool = True, whole: bool = True) -> list[dict]:
+    """The whole flow and each of its elements, whichever is asked for; nothing for what isn't well-formed."""
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError:
+        return []
+    top = _children(root)
+    inside = {tag: [_children(e) for e in top[tag]] for tag in FLOW_ELEMENTS if tag in top}
+    api, main = _text(top, "apiVersion", "unknown"), flow_object(root, inside)
+    rows = [_whole_flow(name, top, inside, api, main)] if whole else []
     for tag, (kind, title, called) in FLOW_ELEMENTS.items() if elements else ():
-        for element in _children(root, tag):
+        for element, held in zip(inside.get(tag, ()), top.get(tag, ()), strict=True):
             label = _text(element, "label", _text(element, "name", "unnamed"))
-            document = as_document(element)
+            document = as_document(held)
             document = {k: v for k, v in document.items() if k not in ("locationX", "locationY")} if isinstance(document, dict) else {}
             own = _text(element, "object") or main
             score = _element_score(element, tag)
@@ -636,8 +657,8 @@ def flow_rows(content: str, name: str, elements: bool = True) -> list[dict]:
     return rows
 
 
-def flows(files: DataFrame, elements: bool = True) -> DataFrame:
-    """Whole flows and, if asked for, their elements. Files are dealt anew before Python reads them, as they may lie in one split."""
+def flows(files: DataFrame, elements: bool = True, whole: bool = True) -> DataFrame:
+    """Whole flows and their elements, whichever is asked for. Files are dealt anew before Python reads them, as they may lie in one split."""
     names = [f.split()[0] for f in ROW.split(", ")]
     kinds = {"field_references": pa.list_(pa.string()), "tags": pa.list_(pa.string()), "complexity_score": pa.int32()}
 
@@ -645,7 +666,7 @@ def flows(files: DataFrame, elements: bool = True) -> DataFrame:
         for batch in batches:
             columns: dict[str, list] = {n: [] for n in names}
             for path, name, content, source in zip(*[batch[c].to_pylist() for c in ("path", "name", "content", "source_hash")]):
-                for row in flow_rows(content or "", name, elements):
+                for row in flow_rows(content or "", name, elements, whole):
                     structure = row["structure"]
                     row |= {"category": "Flow Logic", "structure": json.dumps(structure), "field_references": structure_fields(structure), "source_hash": source, "source_file": name, "path": path}
                     for n in names:
@@ -668,10 +689,9 @@ def structure_fields(document) -> list[str]:
 
     def walk(x) -> None:
         if isinstance(x, str):
-            parts = x.split(".")
             if "__c" in x or "__r" in x:
-                found.update(p for p in parts if "__c" in p or "__r" in p)
-            if len(parts) == 2 and not x.startswith("$") and parts[1][:1].isupper():
+                found.update(p for p in x.split(".") if "__c" in p or "__r" in p)
+            if x.count(".") == 1 and x[0] != "$" and x[x.index(".") + 1 :][:1].isupper():
                 found.add(x)
         elif isinstance(x, dict):
             for v in x.values():
