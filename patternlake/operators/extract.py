@@ -40,9 +40,9 @@ def _value(raw: Column, default: Column | str = "") -> Column:
 
 
 def _xml(files: DataFrame, kind: str, schema: str) -> DataFrame:
-    """The files of a type with x, their parsed tree; what isn't well-formed is left out."""
+    """The files of a type with x, their parsed tree; what isn't well-formed is left out. Files are dealt anew, as they may lie in one split."""
     options = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "bad"}
-    parsed = files.where(F.col("file_type") == kind).withColumn("x", F.from_xml("content", f"{schema}, bad string", options))
+    parsed = files.where(F.col("file_type") == kind).repartition("path").withColumn("x", F.from_xml("content", f"{schema}, bad string", options))
     return parsed.where("x IS NOT NULL AND x.bad IS NULL")
 
 

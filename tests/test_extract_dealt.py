@@ -1,6 +1,10 @@
 """Extractors over many files: each file is looked through once, in whatever split it lies."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from patternlake.operators import extract
+from patternlake.sources import metadata
 
 _FLOW = """<Flow xmlns="http://soap.sforce.com/2006/04/metadata"><apiVersion>58.0</apiVersion><start><object>Case</object></start><object>Other</object>
 <decisions a="1"><name>D</name><rules><name>r</name><conditions/><conditions/><connector><targetReference>M</targetReference></connector></rules><rules><connector/></rules></decisions>
@@ -21,3 +25,10 @@ def test_elements_without_the_whole_flow():
     }
     assert every[3]["structure"] == {"name": "M", "assignmentItems": ["Acc.Name", "x__c"]}
     assert extract.structure_fields(every[3]["structure"]) == ["Acc.Name", "x__c"]
+
+
+@pytest.mark.parametrize("kind", ["validations", "objects", "fields", "reports", "layouts"])
+def test_files_of_one_split_are_dealt(spark, kind):
+    files = spark.range(10).select(F.concat(F.lit("/p/a/"), "id").alias("path"), F.lit("x").alias("content")).coalesce(1)
+    rows = getattr(extract, kind)(metadata.described(files, "a"))
+    assert "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString()
