@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import written
-from .substring import FETCHED, id_ranges
+from ..sources.store import pieces, written
+from .substring import FETCHED, SPREAD, id_ranges
 
 #: Scores are rounded so; bounds leave as much room.
 DIGITS = 6
@@ -37,10 +37,11 @@ class Impacts:
     rows: int
 
 
-def write_impacts(index: DataFrame, rows: int) -> Impacts:
-    """Made of the token table of a catalog with `rows` rows."""
-    tf = index.groupBy("token", "id").agg(F.count("*").alias("tf")).withColumn("low", -F.col("tf"))
-    postings = written(tf.repartitionByRange("token", "low", "id").sortWithinPartitions("token", "low", "id").select("token", "tf", "id"), "impacts")
+def write_impacts(index: DataFrame, rows: int, stored: DataFrame | None = None) -> Impacts:
+    """Made of the token table of a catalog with `rows` rows; `stored` are its postings, which have a row for each token of a text, not for each place."""
+    tf = index.groupBy("token", "id").agg(F.count("*").alias("tf")) if stored is None else stored.groupBy("token", "id").agg(F.sum(F.size("places")).alias("tf"))
+    dealt = tf.withColumn("low", -F.col("tf")).repartition(pieces(index), "token", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    postings = written(dealt.sortWithinPartitions("token", "low", "id").select("token", "tf", "id"), "impacts")
     counts = postings.groupBy("token", "tf").agg(F.count("*").alias("n"))
     return Impacts(postings, written(counts.repartitionByRange("token").sortWithinPartitions("token"), "impactcounts"), index, rows)
 

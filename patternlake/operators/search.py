@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.store import numbered, written
+from ..sources.store import numbered, pieces, written
 from . import expression, substring
-from .substring import like
+from .substring import SPREAD, like
 
 TEXT_COLUMNS = ("name", "description", "source_object", "pattern_type", "tags_text")
 
@@ -53,17 +56,52 @@ def _terms(query: str) -> list[list[str]]:
 # The token table --------------------------------------------------------------------
 
 
+def _token_lists(catalog: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), T.tokens(F.coalesce(c, F.lit(""))).alias("tokens")) for c in columns])
+    return catalog.select("id", F.explode(parts).alias("x")).select("id", "x.column", "x.tokens")
+
+
 def token_table(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """(id, column, pos, token): the inverted index as a table."""
-    parts = F.array(*[F.struct(F.lit(c).alias("column"), T.tokens(F.coalesce(c, F.lit(""))).alias("tokens")) for c in columns])
-    rows = catalog.select("id", F.explode(parts).alias("x")).select("id", "x.column", F.posexplode("x.tokens").alias("pos", "token"))
-    return rows.select("id", "column", "pos", "token")
+    return _token_lists(catalog, columns).select("id", "column", F.posexplode("tokens").alias("pos", "token"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, column, tokens) to (token, column, id, places): a row for each token of a text, with its places there."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        counts = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(counts)), counts)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        told = lists.flatten().dictionary_encode()
+        token = told.indices.to_numpy().astype("int64")
+        key = row * max(1, len(told.dictionary)) + token
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        at = order[first]
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype("int32")), pa.array(pos[order].astype("int32")))
+        of = pa.array(row[at])
+        yield pa.RecordBatch.from_arrays([told.dictionary.take(pa.array(token[at])), batch.column("column").take(of), batch.column("id").take(of), places], ["token", "column", "id", "places"])
+
+
+def write_postings(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
+    """(token, column, id, places): a row for each token of a text, stored in order of tokens, so that a search reads the
+    pages of its tokens in each file. Rows are dealt by hash, a frequent token's also by id: ranges would be sampled,
+    for which all texts would be split twice."""
+    kind = catalog.schema["id"].dataType.simpleString()
+    rows = _token_lists(catalog, columns).mapInArrow(_placed, f"token string, column string, id {kind}, places array<int>")
+    dealt = rows.repartition(pieces(catalog), "token", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    return written(dealt.sortWithinPartitions("token", "id", "column"), "tokens")
+
+
+def as_index(postings: DataFrame) -> DataFrame:
+    """The token table (id, column, pos, token) of stored postings."""
+    return postings.select("id", "column", F.explode("places").alias("pos"), "token")
 
 
 def write_index(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
-    """The token table, stored in order of tokens, so that a search reads the row groups of its tokens. A frequent
-    token's rows are split by id."""
-    return written(token_table(catalog, columns).repartitionByRange("token", "id").sortWithinPartitions("token", "id", "column", "pos"), "tokens")
+    """The token table, stored as postings."""
+    return as_index(write_postings(catalog, columns))
 
 
 def occurrences(index: DataFrame, phrases: list[list[str]], columns: tuple[str, ...] | None = None) -> DataFrame:

@@ -19,11 +19,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import pieces, written
 
 TEXT_COLUMNS = ("name", "description", "source_object", "tags_text")
 #: Trigrams of a pattern that are looked up at most, and candidates that are fetched by id at most.
 LOOKED_UP, FETCHED = 4, 2000
+#: Parts that the rows of one trigram go over, by id.
+SPREAD = 32
 
 
 def like(column: Column, part: str) -> Column:
@@ -52,8 +54,9 @@ def gram_table(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> D
 
 
 def write_grams(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> Grams:
-    """The table stored; a frequent trigram's rows go over several tasks by id."""
-    postings = written(gram_table(catalog, columns).repartitionByRange("gram", "id").sortWithinPartitions("gram", "id"), "grams")
+    """The table stored; a frequent trigram's rows go over several tasks by id. Rows are dealt by hash, as ranges would be sampled, for which every text would be cut twice."""
+    dealt = gram_table(catalog, columns).repartition(pieces(catalog), "gram", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    postings = written(dealt.sortWithinPartitions("gram", "id"), "grams")
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     return Grams(postings, written(counts.repartitionByRange("gram").sortWithinPartitions("gram"), "gramcounts"), columns)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.ranking import Impacts, write_impacts
-from ..operators.search import write_index, write_places
+from ..operators.search import as_index, write_places, write_postings
 from ..operators.substring import Grams, write_grams
 from ..sources.store import fingerprint, stored, written
 
@@ -26,9 +26,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "catalog", lambda: written(made(spark, sf_dir, True), "catalog"))
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings of the catalog's tokens."""
+    return _kept(spark, sf_dir, "tokens", lambda: write_postings(catalog(spark, sf_dir)))
+
+
 def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored token table of the catalog."""
-    return _kept(spark, sf_dir, "tokens", lambda: write_index(catalog(spark, sf_dir)))
+    """The token table of the catalog, as its postings tell it."""
+    return as_index(postings(spark, sf_dir))
 
 
 def grams(spark: SparkSession, sf_dir: str) -> Grams:
@@ -43,7 +48,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def impacts(spark: SparkSession, sf_dir: str) -> Impacts:
     """The stored postings of the catalog by falling counts."""
-    return _kept(spark, sf_dir, "impacts", lambda: write_impacts(token_index(spark, sf_dir), catalog(spark, sf_dir).count()))
+    return _kept(spark, sf_dir, "impacts", lambda: write_impacts(token_index(spark, sf_dir), catalog(spark, sf_dir).count(), postings(spark, sf_dir)))
 
 
 def made(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:

@@ -85,6 +85,13 @@ def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return size.getLength(), size.getFileCount(), system.getFileStatus(path).getModificationTime()
 
 
+def pieces(stored_table: DataFrame, mb: int = 8) -> int:
+    """How many partitions what is derived from a stored table is dealt to, so that a task sorts it in memory at any size: one for each `mb` stored."""
+    spark = stored_table.sparkSession
+    held = sum(fingerprint(spark, folder)[0] for folder in {f.rpartition("/")[0] for f in stored_table.inputFiles()})
+    return max(spark.sparkContext.defaultParallelism, -(-held // (mb << 20)))
+
+
 def forget(*key: str) -> None:
     """Let tables whose key starts so be made anew, for when what they were made from has changed."""
     for held in [k for k in _held if k[1 : 1 + len(key)] == key]:
