@@ -39,8 +39,10 @@ class Impacts:
 
 def write_impacts(index: DataFrame, rows: int, stored: DataFrame | None = None) -> Impacts:
     """Made of the token table of a catalog with `rows` rows; `stored` are its postings, which have a row for each token of a text, not for each place."""
-    tf = index.groupBy("token", "id").agg(F.count("*").alias("tf")) if stored is None else stored.groupBy("token", "id").agg(F.sum(F.size("places")).alias("tf"))
-    dealt = tf.withColumn("low", -F.col("tf")).repartition(pieces(index), "token", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    told = index.select("token", "id", F.lit(1).alias("n")) if stored is None else stored.select("token", "id", F.size("places").alias("n"))
+    # the grouping holds within the parts that the rows are dealt to, so they are dealt once
+    dealt = told.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).repartition(pieces(index), "token", "part")
+    dealt = dealt.groupBy("token", "part", "id").agg(F.sum("n").alias("tf")).withColumn("low", -F.col("tf"))
     postings = written(dealt.sortWithinPartitions("token", "low", "id").select("token", "tf", "id"), "impacts")
     counts = postings.groupBy("token", "tf").agg(F.count("*").alias("n"))
     return Impacts(postings, written(counts.repartitionByRange("token").sortWithinPartitions("token"), "impactcounts"), index, rows)

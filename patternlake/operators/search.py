@@ -67,7 +67,7 @@ def token_table(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) ->
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, column, tokens) to (token, column, id, places): a row for each token of a text, with its places there."""
+    """(id, column, tokens) to (token, column, ids, places): a row for each token in a column of a batch of texts, with the texts' ids and its places in each."""
     for batch in batches:
         lists = batch.column("tokens")
         counts = np.diff(lists.offsets.to_numpy())
@@ -75,22 +75,32 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         told = lists.flatten().dictionary_encode()
         token = told.indices.to_numpy().astype("int64")
-        key = row * max(1, len(told.dictionary)) + token
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        at = order[first]
-        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype("int32")), pa.array(pos[order].astype("int32")))
-        of = pa.array(row[at])
-        yield pa.RecordBatch.from_arrays([told.dictionary.take(pa.array(token[at])), batch.column("column").take(of), batch.column("id").take(of), places], ["token", "column", "id", "places"])
+        kinds = batch.column("column").dictionary_encode()
+        kind, several = kinds.indices.to_numpy()[row].astype("int64"), max(1, len(kinds.dictionary))
+        key = token * several + kind
+        order = np.argsort(key, kind="stable")  # rows and places stay in order
+        key, row = key[order], row[order]
+        text = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+        group = np.flatnonzero(np.diff(key[text], prepend=-1))
+        places = pa.ListArray.from_arrays(_ends(text, len(order)), pa.array(pos[order].astype("int32")))
+        ends = _ends(group, len(text))
+        ids, spots = pa.ListArray.from_arrays(ends, batch.column("id").take(pa.array(row[text]))), pa.ListArray.from_arrays(ends, places)
+        of = key[text][group]
+        yield pa.RecordBatch.from_arrays([told.dictionary.take(pa.array(of // several)), kinds.dictionary.take(pa.array(of % several)), ids, spots], ["token", "column", "ids", "places"])
+
+
+def _ends(starts: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.append(starts, n).astype("int32"))
 
 
 def write_postings(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """(token, column, id, places): a row for each token of a text, stored in order of tokens, so that a search reads the
-    pages of its tokens in each file. Rows are dealt by hash, a frequent token's also by id: ranges would be sampled,
+    pages of its tokens in each file. A batch of texts sends each token once. Rows are dealt by hash, a frequent token's to several parts: ranges would be sampled,
     for which all texts would be split twice."""
     kind = catalog.schema["id"].dataType.simpleString()
-    rows = _token_lists(catalog, columns).mapInArrow(_placed, f"token string, column string, id {kind}, places array<int>")
-    dealt = rows.repartition(pieces(catalog), "token", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    rows = _token_lists(catalog, columns).mapInArrow(_placed, f"token string, column string, ids array<{kind}>, places array<array<int>>")
+    dealt = rows.repartition(pieces(catalog), "token", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD)))
+    dealt = dealt.select("token", "column", F.explode(F.arrays_zip("ids", "places")).alias("x")).select("token", "column", F.col("x.ids").alias("id"), "x.places")
     return written(dealt.sortWithinPartitions("token", "id", "column"), "tokens")
 
 

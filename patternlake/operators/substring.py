@@ -13,9 +13,12 @@ by a scan, as are patterns whose candidates are a good part of the catalog.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +50,29 @@ class Grams:
     columns: tuple[str, ...] = TEXT_COLUMNS
 
 
-def gram_table(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
-    """(gram, id), each pair once."""
-    every = F.array_distinct(F.concat(*[trigrams(F.coalesce(c, F.lit(""))) for c in columns]))
-    return catalog.select(F.explode(every).alias("gram"), "id")
+def _every(columns: tuple[str, ...]) -> Column:
+    return F.array_distinct(F.concat(*[trigrams(F.coalesce(c, F.lit(""))) for c in columns]))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, grams) to (gram, ids): a row for each trigram of a batch of texts."""
+    for batch in batches:
+        lists = batch.column("grams")
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        told = lists.flatten().dictionary_encode()
+        gram = told.indices.to_numpy()
+        order = np.argsort(gram, kind="stable")
+        first = np.flatnonzero(np.diff(gram[order], prepend=-1))
+        ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype("int32")), batch.column("id").take(pa.array(row[order])))
+        yield pa.RecordBatch.from_arrays([told.dictionary.take(pa.array(gram[order][first])), ids], ["gram", "ids"])
 
 
 def write_grams(catalog: DataFrame, columns: tuple[str, ...] = TEXT_COLUMNS) -> Grams:
-    """The table stored; a frequent trigram's rows go over several tasks by id. Rows are dealt by hash, as ranges would be sampled, for which every text would be cut twice."""
-    dealt = gram_table(catalog, columns).repartition(pieces(catalog), "gram", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-    postings = written(dealt.sortWithinPartitions("gram", "id"), "grams")
+    """The table stored; a frequent trigram's rows go over several tasks. A batch of texts sends each trigram once, with its ids. Rows are dealt by hash, as ranges would be sampled, for which every text would be cut twice."""
+    kind = catalog.schema["id"].dataType.simpleString()
+    rows = catalog.select("id", _every(columns).alias("grams")).mapInArrow(_met, f"gram string, ids array<{kind}>")
+    dealt = rows.repartition(pieces(catalog), "gram", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SPREAD)))
+    postings = written(dealt.select("gram", F.explode("ids").alias("id")).sortWithinPartitions("gram", "id"), "grams")
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     return Grams(postings, written(counts.repartitionByRange("gram").sortWithinPartitions("gram"), "gramcounts"), columns)
 
