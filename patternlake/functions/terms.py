@@ -3,12 +3,17 @@
 A flat alternation is tried term by term at each place of a text. In a trie each character of the
 text rules out all terms but those that go on with it, so the time for a text doesn't
 grow with the number of terms.
+
+Where the terms are themselves a table, texts and terms meet by keys (`keys`, `key`), so that a text
+gets just those terms that it may have, which `replacer` then looks for.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +22,12 @@ from pyspark.sql import functions as F
 PER_BUCKET = 4
 _MARK = "\ue000"
 BUCKETS = "array<struct<terms:array<string>,labels:array<string>>>"
+UNKNOWN = "[BRAND]"
+#: What [a-zA-Z] is in a pattern that ignores case; long s, the Kelvin sign and both odd i are folded to letters.
+_LETTERS = "a-zA-Z\u017f\u212a\u0131\u0130"
+_RUNS, _PIECES = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]")
+#: Characters of a key that has no letter.
+GRAM = 3
 
 
 def trie_pattern(terms: list[str]) -> str:
@@ -74,7 +85,7 @@ def label_of(hit: Column, buckets: Column) -> Column:
     return F.get(bucket["labels"], F.when(place > 0, place - 1))
 
 
-def replaced(text: Column, pattern: Column, buckets: Column, unknown: str = "[BRAND]") -> Column:
+def replaced(text: Column, pattern: Column, buckets: Column, unknown: str = UNKNOWN) -> Column:
     """`text` with each match's label in its place, in one pass.
 
     Matches are put between marks, by which the text is then split: of Spark's functions, replacing keeps
@@ -102,3 +113,97 @@ def scrubbed(text: Column, labels: dict[str, str]) -> Column:
     low = {t.lower(): labels[t] for t in sorted(labels, key=lambda t: (len(t), t), reverse=True)}
     table = F.from_json(F.lit(json.dumps(label_buckets(low))), BUCKETS)
     return replaced(text, F.lit(trie_pattern(list(labels))), table)
+
+
+class _Folds(dict):
+    """Of code points, what patterns that ignore case compare: the small letter of the capital one."""
+
+    def __missing__(self, c: int) -> str:
+        up = chr(c).upper()
+        low = (up if len(up) == 1 else chr(c)).lower()
+        self[c] = low if len(low) == 1 else "i"  # just U+0130 has a longer one
+        return self[c]
+
+
+_folds = _Folds()
+
+
+def _folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_folds)
+
+
+def _is_word(folded: str) -> bool:
+    return "a" <= folded[0] <= "z"
+
+
+def keys(texts: Iterable[str | None]) -> set[str]:
+    """Of texts, all that `key` may be of a term that they have: words, and up to GRAM characters of what lies between."""
+    runs: set[str] = set()
+    for text in texts:
+        runs.update(_RUNS.findall(text or ""))
+    found = set()
+    for run in map(_folded, runs):
+        if _is_word(run):
+            found.add(run)
+        else:
+            found.update(run[i : i + n] for n in range(1, GRAM + 1) for i in range(len(run) - n + 1))
+    return found
+
+
+def key(term: str) -> str:
+    """A term's longest word, which is a whole word wherever the term is found; the first characters of one that has no letter."""
+    folded = _folded(term)
+    words = [run for run in _RUNS.findall(folded) if _is_word(run)]
+    return max(words, key=len) if words else folded[:GRAM]
+
+
+class _Words(dict):
+    """What stands for each run of a text, where all terms are single words."""
+
+    def __init__(self, labels: dict[str, str], whole: set[str]):
+        self.labels, self.whole = labels, whole
+
+    def __missing__(self, run: str) -> str:
+        self[run] = self.labels.get(run.lower(), UNKNOWN) if _folded(run) in self.whole else run
+        return self[run]
+
+
+def replacer(labels: dict[str, str]) -> Callable[[str], str]:
+    """What puts labels (by lower-case term) for the terms in a text, as `replaced` does: longest first, where no letter adjoins.
+
+    Words of a term are whole words of the text, so they are compared whole, in a trie of words and other characters.
+    """
+    whole = {_folded(t) for t in labels}
+    if all(_is_word(t) and _RUNS.fullmatch(t) for t in whole):
+        words = _Words(labels, whole)
+        return lambda text: "".join(map(words.__getitem__, _RUNS.findall(text)))
+    root: dict = {}
+    for term in whole:
+        node = root
+        for piece in _PIECES.findall(term):
+            node = node.setdefault(piece, {})
+        node[""] = {}
+
+    def end(folded: list[str], i: int) -> int:
+        """Where the longest term at i ends, 0 if there is none."""
+        node, found = root.get(folded[i]), 0
+        if node is None or i and not _is_word(folded[i]) and _is_word(folded[i - 1]):
+            return 0
+        for j in range(i + 1, len(folded) + 1):
+            if "" in node and (j == len(folded) or _is_word(folded[j - 1]) or not _is_word(folded[j])):
+                found = j
+            node = node.get(folded[j]) if j < len(folded) else None
+            if node is None:
+                break
+        return found
+
+    def replace(text: str) -> str:
+        pieces = _PIECES.findall(text)
+        folded, done, i = [*map(_folded, pieces)], [], 0
+        while i < len(pieces):
+            j = end(folded, i)
+            done.append(labels.get("".join(pieces[i:j]).lower(), UNKNOWN) if j else pieces[i])
+            i = j or i + 1
+        return "".join(done)
+
+    return replace

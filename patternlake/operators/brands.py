@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab
 from ..functions import terms
 from ..functions.terms import scrubbed as scrub  # noqa: F401  (of one project; by source: scrub_by_source)
-from ..sources.store import numbered
+from ..sources.store import numbered, written
 from .stats import label
 
 
@@ -92,25 +99,53 @@ def brand_terms(fields: DataFrame, companies: DataFrame | None = None, custom: l
     return numbered(first, ["kind", "place", "term"], "n").select("term", label(F.col("n")).alias("label"))
 
 
-def term_tables(labels: DataFrame, source: str = "source_hash") -> DataFrame:
-    """(source, pattern_, buckets_): of labels (source, term, label) each source's trie and label table, in one row."""
-    once = labels.groupBy(F.col(source).alias("s"), F.lower("term").alias("t")).agg(F.min(F.struct("term", "label"))["label"].alias("l")).where("t <> ''")
-    kind = once.schema["s"].dataType.simpleString()
-
-    def table(rows: pd.DataFrame) -> pd.DataFrame:
-        own = dict(zip(rows["t"], rows["l"]))
-        return pd.DataFrame({"source_": [rows["s"].iloc[0]], "pattern_": [terms.trie_pattern(list(own))], "buckets_": [terms.label_buckets(own)]})
-
-    return once.groupBy("s").applyInPandas(table, f"source_ {kind}, pattern_ string, buckets_ {terms.BUCKETS}")
+#: Rows that get their terms together, at most, and characters from which a row gets its own.
+BATCH_ROWS, LARGE = 1024, 32_768
 
 
 def scrub_by_source(rows: DataFrame, columns: list[str], labels: DataFrame, source: str = "source_hash") -> DataFrame:
     """`rows` with the terms of labels (source, term, label) scrubbed from `columns`, each row by its own source's.
 
-    Sorted by source, so that a task compiles a source's pattern once; rows of sources without terms, and null
-    sources, stay as they are. A source with many rows is split over tasks as any skewed join is.
+    Rows are written in batches, as far as may be of one source. A batch sends each word once to the terms of its
+    source and gets back those that it may have (`terms.key`), so no source's terms come together in one place.
+    Rows of sources without terms, and of null sources, stay as they are. Of many terms that share their
+    longest word, each batch with that word gets all.
     """
-    own = term_tables(labels, source).hint("merge")
-    joined = rows.join(own, rows[source] == own["source_"], "left")
-    new = {c: F.when(F.col("pattern_").isNull(), F.col(c)).otherwise(terms.replaced(F.col(c), F.col("pattern_"), F.col("buckets_"))) for c in columns}
-    return joined.select(*[new[c].alias(c) if c in new else rows[c] for c in rows.columns])
+    once = labels.groupBy(F.col(source).alias("s"), F.lower("term").alias("t")).agg(F.min(F.struct("term", "label"))["label"].alias("l")).where("t <> ''")
+    keyed = once.select("s", "t", F.coalesce("l", F.lit(terms.UNKNOWN)).alias("l"), _key("t").alias("k"))
+    length = reduce(operator.add, [F.coalesce(F.length(rows[c]), F.lit(0)) for c in columns], F.lit(0))
+    spot = F.monotonically_increasing_id()
+    kept = written(rows.sortWithinPartitions(rows[source]).select("*", spot.alias("spot_"), (length > LARGE).alias("large_")), "scrub")
+    batch = F.when(F.col("large_"), -1 - F.col("spot_")).otherwise(F.expr(f"spot_ div {BATCH_ROWS}")).alias("batch_")
+    kept = kept.select(*rows.columns, batch)
+    sought = kept.select("batch_", F.col(source).alias("s_"), *[F.col(c).alias(f"text{i}_") for i, c in enumerate(columns)])
+    found = sought.where("s_ IS NOT NULL").mapInArrow(_batch_keys, f"batch_ long, s_ {rows.schema[source].dataType.simpleString()}, k_ string")
+    own = found.join(keyed, (F.col("s_") == F.col("s")) & (F.col("k_") == F.col("k"))).select("batch_", "s_", "t", "l")
+
+    def scrubbed(batch: pa.Table, own: pa.Table) -> pa.Table:
+        replace = terms.replacer(dict(zip(own["t"].to_pylist(), own["l"].to_pylist()))) if own.num_rows else None
+        out = batch.select(rows_columns)
+        for c in columns if replace else []:
+            new = [x if x is None else replace(x) for x in out[c].to_pylist()]
+            out = out.set_column(out.schema.get_field_index(c), c, pa.array(new, out[c].type))
+        return out
+
+    rows_columns = rows.columns
+    return kept.groupBy("batch_", source).cogroup(own.groupBy("batch_", "s_")).applyInArrow(scrubbed, rows.schema)
+
+
+@F.pandas_udf(StringType())
+def _key(term: pd.Series) -> pd.Series:
+    return term.map(terms.key)
+
+
+def _batch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, source, key) of each stretch of rows that have one batch and source."""
+    for rows in batches:
+        spot, source = rows["batch_"].to_pylist(), rows["s_"].to_pylist()
+        texts = list(zip(*[c.to_pylist() for c in rows.columns[2:]]))
+        starts = [i for i in range(len(spot)) if i == 0 or spot[i] != spot[i - 1] or source[i] != source[i - 1]]
+        for start, end in zip(starts, [*starts[1:], len(spot)]):
+            found = list(terms.keys(itertools.chain.from_iterable(texts[start:end])))
+            at = pa.array([start] * len(found), pa.int32())
+            yield pa.RecordBatch.from_arrays([rows["batch_"].take(at), rows["s_"].take(at), pa.array(found, pa.string())], ["batch_", "s_", "k_"])

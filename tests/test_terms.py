@@ -79,6 +79,28 @@ def test_time_does_not_grow_with_the_terms(spark):
     assert many < 3 * few + 2
 
 
+def test_a_text_gets_only_the_terms_that_it_may_have(spark):
+    known = ["w" + "".join(chr(97 + k // 26**i % 26) for i in range(5)) for k in range(100_000)]
+    labels = spark.createDataFrame([("s", t, f"<{k}>") for k, t in enumerate(known)] + [("s", "z" * k, "Z") for k in range(1, 3000)], "source_hash string, term string, label string")
+    rows = spark.createDataFrame([(k, "s", f"{known[k]} {known[-1 - k].upper()}, x{known[k]} {'z' * (k + 1)}") for k in range(2000)], "k int, source_hash string, t string")
+    began = time.perf_counter()
+    got = {r.k: r.t for r in brands.scrub_by_source(rows, ["t"], labels).collect()}
+    assert got == {k: f"<{k}> <{99_999 - k}>, x{known[k]} Z" for k in range(2000)}
+    assert time.perf_counter() - began < 30
+
+
+def test_long_texts_empty_sources_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(brands, "BATCH_ROWS", 2)
+    monkeypatch.setattr(brands, "LARGE", 30)
+    labels = spark.createDataFrame([(1, "Acme Cloud", "A"), (1, "acme", "B"), (1, "7-7", None), (1, "\u212aay", "K"), (2, "acme", "C")], "n int, term string, label string")
+    texts = [(1, "acme cloud 7-7 x7-7 17-78"), (1, "ACME clouds" + " acme" * 9), (1, None), (2, "Acme Cloud"), (3, "acme"), (None, "acme"), (1, "kay Kay \u212aay ka\u0131 acme\u017f")] * 3
+    rows = spark.createDataFrame([(k, n, t, t) for k, (n, t) in enumerate(texts)], "k int, n int, t string, u string").repartition(3)
+    want = ["A [BRAND] x7-7 1[BRAND]8", "B clouds" + " B" * 9, None, "C Cloud", "acme", "acme", "K K K ka\u0131 acme\u017f"] * 3
+    got = brands.scrub_by_source(rows, ["t", "u"], labels, "n").orderBy("k").collect()
+    assert [r.t for r in got] == [r.u for r in got] == want
+    assert [r.n for r in got] == [n for n, _ in texts]
+
+
 def test_documents_are_scrubbed_alike():
     labels = {"AcmeCloud": "Brand_A", "Acme": "Brand_B"}
     clean = Scrubber(labels | {"": "no"})
