@@ -293,13 +293,17 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH, q: i
     several = classes.groupBy(F.struct("k").alias("x")).agg(F.count("*").alias("m")).where("m > 1").select("x.k", "m")
     asked = classes.join(several, "k").select("h", "g", "k", "n", "m", "at")
 
-    def contents(some: DataFrame) -> DataFrame:
+    def of_texts(some: DataFrame) -> DataFrame:
         by_text = some.groupBy("h", "g").agg(F.collect_list(F.struct("k", "n", "at")).alias("asked"))
-        return texts.join(by_text, ["h", "g"]).select("h", "g", "t", "c", "asked").mapInArrow(_contents(length), "k long, n long, h long, g long, at long, b binary")
+        return texts.join(by_text, ["h", "g"]).select("h", "g", "t", "c", "asked")
 
-    few = contents(asked.where(F.col("m") <= hot))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both steps in one, as each of two would have a Python worker for each task."""
+        return _window_hashes(length)(_contents(length)(batches))
+
+    few = of_texts(asked.where(F.col("m") <= hot)).mapInArrow(_contents(length), "k long, n long, h long, g long, at long, b binary")
     partly = few.repartition("k").sortWithinPartitions("k").mapInArrow(_refine(length), _SPAN)
-    windows = contents(asked.where(F.col("m") > hot)).mapInArrow(_window_hashes(length), "e long, f long, n long, h long, g long, a long")
+    windows = of_texts(asked.where(F.col("m") > hot)).mapInArrow(hashed, "e long, f long, n long, h long, g long, a long")
     twice = windows.groupBy(F.struct("e", "f").alias("x")).agg(F.count("*").alias("m")).where("m > 1").select("x.*")
     hotly = windows.where("n = 1").join(twice, ["e", "f"], "left_semi").select("h", "g", "a", (F.col("a") + length).alias("b"))
     every = whole.unionByName(partly).unionByName(hotly)

@@ -208,3 +208,12 @@ def test_signatures(near_texts):
 def test_near_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_classes(empty).count() == 0 and near.keep_one(empty).count() == 0
+
+
+def test_a_task_has_one_python_worker(spark):
+    """Of two steps in a row each would have a worker of its own, whose memory an executor has twice."""
+    docs = spark.createDataFrame([("a b c " * 100,), ("b c d " * 100,)], "text string")
+    plan = repeats.remove_repeats(docs, hot=1)._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line.strip(" :+-|") for line in plan.splitlines()]
+    over = [(x, y) for x, y in zip(steps, steps[1:]) if x.startswith("MapInArrow") and y.startswith("MapInArrow")]
+    assert sum(x.startswith("MapInArrow") for x in steps) > 3 and not over
