@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import zlib
 from collections.abc import Callable, Iterable
 
@@ -23,9 +24,12 @@ PER_BUCKET = 4
 _MARK = "\ue000"
 BUCKETS = "array<struct<terms:array<string>,labels:array<string>>>"
 UNKNOWN = "[BRAND]"
-#: What [a-zA-Z] is in a pattern that ignores case; long s, the Kelvin sign and both odd i are folded to letters.
-_LETTERS = "a-zA-Z\u017f\u212a\u0131\u0130"
-_RUNS, _PIECES = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+"), re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]")
+#: What [a-zA-Z] is in a pattern that ignores case, by whether only a to z have capital letters; else long s, the Kelvin sign and both odd i are folded to letters.
+_LETTERS = {False: "a-zA-Z\u017f\u212a\u0131\u0130", True: "a-zA-Z"}
+_RUNS = {k: re.compile(f"[{x}]+|[^{x}]+") for k, x in _LETTERS.items()}
+_PIECES = {k: re.compile(f"[{x}]+|[^{x}]") for k, x in _LETTERS.items()}
+_CAPITALS, _SMALL = string.ascii_uppercase, string.ascii_lowercase
+_ASCII_FOLDS = str.maketrans(_CAPITALS, _SMALL)
 #: Characters of a key that has no letter.
 GRAM = 3
 
@@ -128,21 +132,30 @@ class _Folds(dict):
 _folds = _Folds()
 
 
-def _folded(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_folds)
+def _folded(text: str, ascii_only: bool) -> str:
+    return text.lower() if text.isascii() else text.translate(_ASCII_FOLDS if ascii_only else _folds)
+
+
+def _lower(text: str, ascii_only: bool) -> str:
+    """What labels are found by: see `lowered`."""
+    return text.translate(_ASCII_FOLDS) if ascii_only else text.lower()
+
+
+def lowered(term: Column, ascii_only: bool = False) -> Column:
+    return F.translate(term, _CAPITALS, _SMALL) if ascii_only else F.lower(term)
 
 
 def _is_word(folded: str) -> bool:
     return "a" <= folded[0] <= "z"
 
 
-def keys(texts: Iterable[str | None]) -> set[str]:
+def keys(texts: Iterable[str | None], ascii_only: bool = False) -> set[str]:
     """Of texts, all that `key` may be of a term that they have: words, and up to GRAM characters of what lies between."""
     runs: set[str] = set()
     for text in texts:
-        runs.update(_RUNS.findall(text or ""))
+        runs.update(_RUNS[ascii_only].findall(text or ""))
     found = set()
-    for run in map(_folded, runs):
+    for run in (_folded(x, ascii_only) for x in runs):
         if _is_word(run):
             found.add(run)
         else:
@@ -150,37 +163,39 @@ def keys(texts: Iterable[str | None]) -> set[str]:
     return found
 
 
-def key(term: str) -> str:
+def key(term: str, ascii_only: bool = False) -> str:
     """A term's longest word, which is a whole word wherever the term is found; the first characters of one that has no letter."""
-    folded = _folded(term)
-    words = [run for run in _RUNS.findall(folded) if _is_word(run)]
+    folded = _folded(term, ascii_only)
+    words = [run for run in _RUNS[ascii_only].findall(folded) if _is_word(run)]
     return max(words, key=len) if words else folded[:GRAM]
 
 
 class _Words(dict):
     """What stands for each run of a text, where all terms are single words."""
 
-    def __init__(self, labels: dict[str, str], whole: set[str]):
-        self.labels, self.whole = labels, whole
+    def __init__(self, labels: dict[str, str], whole: set[str], ascii_only: bool):
+        self.labels, self.whole, self.ascii_only = labels, whole, ascii_only
 
     def __missing__(self, run: str) -> str:
-        self[run] = self.labels.get(run.lower(), UNKNOWN) if _folded(run) in self.whole else run
+        self[run] = self.labels.get(_lower(run, self.ascii_only), UNKNOWN) if _folded(run, self.ascii_only) in self.whole else run
         return self[run]
 
 
-def replacer(labels: dict[str, str]) -> Callable[[str], str]:
-    """What puts labels (by lower-case term) for the terms in a text, as `replaced` does: longest first, where no letter adjoins.
+def replacer(labels: dict[str, str], ascii_only: bool = False) -> Callable[[str], str]:
+    """What puts labels (by term as `lowered`) for the terms in a text, as `replaced` does: longest first, where no letter adjoins.
 
     Words of a term are whole words of the text, so they are compared whole, in a trie of words and other characters.
+    With `ascii_only` just a to z have capital letters and are letters, as in patterns that ignore the case of ASCII alone.
     """
-    whole = {_folded(t) for t in labels}
-    if all(_is_word(t) and _RUNS.fullmatch(t) for t in whole):
-        words = _Words(labels, whole)
-        return lambda text: "".join(map(words.__getitem__, _RUNS.findall(text)))
+    runs, parts = _RUNS[ascii_only], _PIECES[ascii_only]
+    whole = {_folded(t, ascii_only) for t in labels}
+    if all(_is_word(t) and runs.fullmatch(t) for t in whole):
+        words = _Words(labels, whole, ascii_only)
+        return lambda text: "".join(map(words.__getitem__, runs.findall(text)))
     root: dict = {}
     for term in whole:
         node = root
-        for piece in _PIECES.findall(term):
+        for piece in parts.findall(term):
             node = node.setdefault(piece, {})
         node[""] = {}
 
@@ -198,11 +213,11 @@ def replacer(labels: dict[str, str]) -> Callable[[str], str]:
         return found
 
     def replace(text: str) -> str:
-        pieces = _PIECES.findall(text)
-        folded, done, i = [*map(_folded, pieces)], [], 0
+        pieces = parts.findall(text)
+        folded, done, i = [_folded(x, ascii_only) for x in pieces], [], 0
         while i < len(pieces):
             j = end(folded, i)
-            done.append(labels.get("".join(pieces[i:j]).lower(), UNKNOWN) if j else pieces[i])
+            done.append(labels.get(_lower("".join(pieces[i:j]), ascii_only), UNKNOWN) if j else pieces[i])
             i = j or i + 1
         return "".join(done)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import operator
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -103,27 +103,27 @@ def brand_terms(fields: DataFrame, companies: DataFrame | None = None, custom: l
 BATCH_ROWS, LARGE = 1024, 32_768
 
 
-def scrub_by_source(rows: DataFrame, columns: list[str], labels: DataFrame, source: str = "source_hash") -> DataFrame:
+def scrub_by_source(rows: DataFrame, columns: list[str], labels: DataFrame, source: str = "source_hash", ascii_only: bool = False) -> DataFrame:
     """`rows` with the terms of labels (source, term, label) scrubbed from `columns`, each row by its own source's.
 
     Rows are written in batches, as far as may be of one source. A batch sends each word once to the terms of its
     source and gets back those that it may have (`terms.key`), so no source's terms come together in one place.
     Rows of sources without terms, and of null sources, stay as they are. Of many terms that share their
-    longest word, each batch with that word gets all.
+    longest word, each batch with that word gets all. `ascii_only`: see `terms.replacer`.
     """
-    once = labels.groupBy(F.col(source).alias("s"), F.lower("term").alias("t")).agg(F.min(F.struct("term", "label"))["label"].alias("l")).where("t <> ''")
-    keyed = once.select("s", "t", F.coalesce("l", F.lit(terms.UNKNOWN)).alias("l"), _key("t").alias("k"))
+    once = labels.groupBy(F.col(source).alias("s"), terms.lowered(F.col("term"), ascii_only).alias("t")).agg(F.min(F.struct("term", "label"))["label"].alias("l")).where("t <> ''")
+    keyed = once.select("s", "t", F.coalesce("l", F.lit(terms.UNKNOWN)).alias("l"), _key("t", F.lit(ascii_only)).alias("k"))
     length = reduce(operator.add, [F.coalesce(F.length(rows[c]), F.lit(0)) for c in columns], F.lit(0))
     spot = F.monotonically_increasing_id()
     kept = written(rows.sortWithinPartitions(rows[source]).select("*", spot.alias("spot_"), (length > LARGE).alias("large_")), "scrub")
     batch = F.when(F.col("large_"), -1 - F.col("spot_")).otherwise(F.expr(f"spot_ div {BATCH_ROWS}")).alias("batch_")
     kept = kept.select(*rows.columns, batch)
     sought = kept.select("batch_", F.col(source).alias("s_"), *[F.col(c).alias(f"text{i}_") for i, c in enumerate(columns)])
-    found = sought.where("s_ IS NOT NULL").mapInArrow(_batch_keys, f"batch_ long, s_ {rows.schema[source].dataType.simpleString()}, k_ string")
+    found = sought.where("s_ IS NOT NULL").mapInArrow(partial(_batch_keys, ascii_only=ascii_only), f"batch_ long, s_ {rows.schema[source].dataType.simpleString()}, k_ string")
     own = found.join(keyed, (F.col("s_") == F.col("s")) & (F.col("k_") == F.col("k"))).select("batch_", "s_", "t", "l")
 
     def scrubbed(batch: pa.Table, own: pa.Table) -> pa.Table:
-        replace = terms.replacer(dict(zip(own["t"].to_pylist(), own["l"].to_pylist()))) if own.num_rows else None
+        replace = terms.replacer(dict(zip(own["t"].to_pylist(), own["l"].to_pylist())), ascii_only) if own.num_rows else None
         out = batch.select(rows_columns)
         for c in columns if replace else []:
             new = [x if x is None else replace(x) for x in out[c].to_pylist()]
@@ -135,17 +135,17 @@ def scrub_by_source(rows: DataFrame, columns: list[str], labels: DataFrame, sour
 
 
 @F.pandas_udf(StringType())
-def _key(term: pd.Series) -> pd.Series:
-    return term.map(terms.key)
+def _key(term: pd.Series, ascii_only: pd.Series) -> pd.Series:
+    return pd.Series([*map(terms.key, term, ascii_only)], dtype=object)
 
 
-def _batch_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batch_keys(batches: Iterator[pa.RecordBatch], ascii_only: bool) -> Iterator[pa.RecordBatch]:
     """(batch, source, key) of each stretch of rows that have one batch and source."""
     for rows in batches:
         spot, source = rows["batch_"].to_pylist(), rows["s_"].to_pylist()
         texts = list(zip(*[c.to_pylist() for c in rows.columns[2:]]))
         starts = [i for i in range(len(spot)) if i == 0 or spot[i] != spot[i - 1] or source[i] != source[i - 1]]
         for start, end in zip(starts, [*starts[1:], len(spot)]):
-            found = list(terms.keys(itertools.chain.from_iterable(texts[start:end])))
+            found = list(terms.keys(itertools.chain.from_iterable(texts[start:end]), ascii_only))
             at = pa.array([start] * len(found), pa.int32())
             yield pa.RecordBatch.from_arrays([rows["batch_"].take(at), rows["s_"].take(at), pa.array(found, pa.string())], ["batch_", "s_", "k_"])

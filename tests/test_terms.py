@@ -4,8 +4,10 @@ import random
 import re
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from patternlake.functions import terms
 from patternlake.operators import brands
 from patternlake.operators.extract import Scrubber
@@ -101,6 +103,25 @@ def test_long_texts_empty_sources_and_batches(spark, monkeypatch):
     assert [r.n for r in got] == [n for n, _ in texts]
 
 
+def test_odd_texts_as_in_sql(spark, tmp_path):
+    """No row for a document without text, and letters other than a to z, though folded to some, part words."""
+    texts = ["\u212aelvinx ok", "kelvinx \u017fuccess", "KELVINX success", None, "", "SUCCESS x\u0130stanbul \u0130stanbul", "istanbul xistanbul \u0131stanbul stanbul", " ", "uccess \u017fUCCESS", "su\u0307ccess \u00e9success"]
+    rows = [(k, "s", t) for k, t in enumerate(texts)] + [(20, None, "success"), (21, "t", "success"), (22, None, "success"), (23, None, None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["scrub_many_terms"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()["scrub_many_terms"]).fetchall()
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(want)
+
+
+def test_only_ascii_letters_have_two_cases(spark):
+    rows = spark.createDataFrame([(1, "s", "ACME \u00c9a 7-7 \u212aay KAY-1 acme\u017f \u00e9A")], "k int, source_hash string, t string")
+    labels = spark.createDataFrame([("s", "Acme", "A"), ("s", "\u00e9a", "E"), ("s", "7-7", "7"), ("s", "kay", "K"), ("s", "kay-1", "K1")], "source_hash string, term string, label string")
+    assert brands.scrub_by_source(rows, ["t"], labels, ascii_only=True).first().t == "A \u00c9a 7 \u212aay K1 A\u017f E"
+    assert brands.scrub_by_source(rows, ["t"], labels).first().t == "A E 7 K K1 acme\u017f E"
+
+
 def test_documents_are_scrubbed_alike():
     labels = {"AcmeCloud": "Brand_A", "Acme": "Brand_B"}
     clean = Scrubber(labels | {"": "no"})
