@@ -323,7 +323,8 @@ def components(files: DataFrame) -> DataFrame:
     pages = beside.select("folder", F.regexp_replace("beside", r"\.html$", "").alias("component"), F.col("text").alias("html")).where(F.col("beside").endswith(".html"))
     metas = beside.select("folder", F.regexp_replace("beside", r"\.js-meta\.xml$", "").alias("component"), F.col("text").alias("meta")).where(F.col("beside").endswith(".js-meta.xml"))
     on = ["folder", "component"]
-    rows = scripts.join(pages, on, "left").join(metas, on, "left")
+    # merged, as paths and like pages shrink so well when stored that Spark takes them for small tables and sends them to the driver
+    rows = scripts.join(pages.hint("merge"), on, "left").join(metas.hint("merge"), on, "left")
     js, html, meta = F.col("content"), F.coalesce("html", F.lit("")), F.coalesce("meta", F.lit(""))
     hooks = F.filter(F.array(*map(F.lit, ("connectedCallback", "disconnectedCallback", "renderedCallback", "errorCallback"))), lambda h: F.contains(js, h))
     rows = rows.select(

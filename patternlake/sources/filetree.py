@@ -9,6 +9,8 @@ character, as Python puts it; a file that can't be read any more has the empty t
 
 The tree is listed level by level on the driver just until it has folders for all tasks; each
 task lists its own folders and reads what it finds. Files of the listed levels are dealt by size.
+What the driver has listed it holds packed, some bytes for a file. Local folders are listed entry
+by entry; of other file systems one folder's entries are held at once.
 Any file system that pyarrow.fs knows by its URI will do (local, s3, gs, hdfs).
 
 A stream has each file when it is new and again whenever it has changed, by its time of change (Spark's
@@ -18,8 +20,12 @@ later batch, as a store may round times or show a file late.
 
 from __future__ import annotations
 
+import itertools
+import os
+import pickle
 import time
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,8 +34,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, length long, modified timestamp, content string"
-#: Bytes of a batch and of a task's listed files, and folders that the driver lists for, by default.
-BATCH_BYTES, TASK_BYTES, TASKS = 4 << 20, 32 << 20, 64
+#: Bytes of a batch and of a task's listed files, and folders that the driver lists for, by default; shares of folders for each of these, at most.
+BATCH_BYTES, TASK_BYTES, TASKS, SHARES = 4 << 20, 32 << 20, 64, 16
 #: Seconds that a stream leaves a changed file alone.
 SETTLE = 2
 
@@ -48,46 +54,78 @@ _KINDS = [("path", pa.string()), ("length", pa.int64()), ("modified", pa.timesta
 
 
 class Share(InputPartition):
-    """What a task reads: listed files, and folders whose trees it lists itself."""
+    """What a task reads: listed files, and folders whose trees it lists itself. They are packed, as the driver holds all tasks' shares."""
 
     def __init__(self, files: list[File], folders: list[str]):
-        self.files, self.folders = files, folders
-
-
-def _children(system: fs.FileSystem, folder: str, must_exist: bool = False) -> tuple[list[File], list[str]]:
-    files, folders = [], []
-    for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=not must_exist)):
-        if info.type == fs.FileType.Directory:
-            folders.append(info.path)
-        elif info.type == fs.FileType.File:
-            files.append((info.path, info.size or 0, info.mtime_ns or 0))
-    return files, folders
+        self.packed = zlib.compress(pickle.dumps(([*zip(*files)], folders)))
+
+    def _unpacked(self) -> tuple[list[tuple], list[str]]:
+        return pickle.loads(zlib.decompress(self.packed))
+
+    @property
+    def files(self) -> list[File]:
+        return [*zip(*self._unpacked()[0])]
+
+    @property
+    def folders(self) -> list[str]:
+        return self._unpacked()[1]
+
+
+def _entries(system: fs.FileSystem, folder: str, must_exist: bool = False) -> Iterator[File | str]:
+    """The files in a folder, and the paths of its folders."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=not must_exist)):
+            if info.type == fs.FileType.Directory:
+                yield info.path
+            elif info.type == fs.FileType.File:
+                yield info.path, info.size or 0, info.mtime_ns or 0
+        return
+    try:
+        listed = os.scandir(folder)
+    except FileNotFoundError:
+        if must_exist:
+            raise
+        return
+    with listed:
+        for entry in listed:
+            if entry.is_dir():
+                yield entry.path
+            elif entry.is_file():
+                try:
+                    found = entry.stat()
+                except FileNotFoundError:
+                    continue
+                yield entry.path, found.st_size, found.st_mtime_ns
 
 
 def _every(system: fs.FileSystem, folders: list[str]) -> Iterator[File]:
-    waiting = list(folders)
-    while waiting:
-        files, more = _children(system, waiting.pop())
-        yield from files
-        waiting += more
-
-
-def _dealt(files: list[File]) -> list[Share]:
+    open_folders = [iter(folders)]
+    while open_folders:
+        for found in open_folders[-1]:
+            if isinstance(found, str):
+                open_folders.append(_entries(system, found))
+                break
+            yield found
+        else:
+            open_folders.pop()
+
+
+def _dealt(files: Iterable[File]) -> list[Share]:
     shares, held, weight = [], [], 0
-    for file in sorted(files):
+    for file in files:
         held.append(file)
         weight += file[1] + 4096  # opening a file takes time too
         if weight >= TASK_BYTES:
-            shares.append(Share(held, []))
+            shares.append(Share(sorted(held), []))
             held, weight = [], 0
-    return [*shares, Share(held, [])] if held else shares
+    return [*shares, Share(sorted(held), [])] if held else shares
 
 
 def _read(root: str, share: Share) -> Iterator[pa.RecordBatch]:
     system, _ = _system(root)
     rows: list[tuple] = []
     size = 0
-    for path, length, changed in (*share.files, *_every(system, share.folders)):
+    for path, length, changed in itertools.chain(share.files, _every(system, share.folders)):
         try:
             with system.open_input_stream(path) as stream:
                 content = stream.read()
@@ -112,14 +150,24 @@ class FileTreeReader(DataSourceReader):
 
     def partitions(self) -> list[Share]:
         system, top = _system(self.root)
-        files, folders = _children(system, top, must_exist=True)
-        while folders and len(folders) < self.tasks:
-            level, folders = folders, []
-            for folder in level:
-                more, below = _children(system, folder)
-                files += more
-                folders += below
-        return [Share([], [f]) for f in sorted(folders)] + _dealt(files) or [Share([], [])]
+        level, shares = [top], []
+        while level and (level == [top] or len(level) < self.tasks):
+            below: list[str] = []
+            shares += _dealt(self._files(system, level, level == [top], below))
+            level = below
+        level.sort()
+        step = max(1, -(-len(level) // (SHARES * self.tasks)))
+        return [Share([], level[i : i + step]) for i in range(0, len(level), step)] + shares or [Share([], [])]
+
+    @staticmethod
+    def _files(system: fs.FileSystem, folders: list[str], must_exist: bool, below: list[str]) -> Iterator[File]:
+        """The files in some folders; `below` gets the folders in these."""
+        for folder in folders:
+            for found in _entries(system, folder, must_exist):
+                if isinstance(found, str):
+                    below.append(found)
+                else:
+                    yield found
 
     def read(self, share: Share) -> Iterator[pa.RecordBatch]:
         return _read(self.root, share)
@@ -143,7 +191,7 @@ class FileTreeStreamReader(DataSourceStreamReader):
         return {"changed": max((f[2] for f in self._files() if f[2] <= until), default=-1)}
 
     def partitions(self, start: dict, end: dict) -> list[Share]:
-        return _dealt([f for f in self._files() if start["changed"] < f[2] <= end["changed"]]) or [Share([], [])]
+        return _dealt(f for f in self._files() if start["changed"] < f[2] <= end["changed"]) or [Share([], [])]
 
     def read(self, share: Share) -> Iterator[pa.RecordBatch]:
         return _read(self.root, share)

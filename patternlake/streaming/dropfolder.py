@@ -87,10 +87,13 @@ def watch(spark: SparkSession, folder: str, source_name: str, out: str, state: s
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """The patterns of every path as its latest batch found them."""
+    """The patterns of every path as its latest batch found them.
+
+    Paths shrink so well when stored that Spark would take all of them for a small table and send it to the driver.
+    """
     latest = spark.read.schema("path string, batch int").parquet(f"{out}/files").groupBy("path").agg(F.max("batch").alias("batch"))
     rows = spark.read.schema(f"{ROW}, content_hash string, batch int").parquet(f"{out}/patterns")
-    return rows.join(latest, ["path", "batch"], "left_semi").drop("batch")
+    return rows.join(latest.hint("merge"), ["path", "batch"], "left_semi").drop("batch")
 
 
 def compacted(spark: SparkSession, out: str, to: str) -> None:

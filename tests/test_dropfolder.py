@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from patternlake.functions import text as T
-from patternlake.operators import catalog
+from patternlake.operators import catalog, extract
+from patternlake.sources import metadata
 from patternlake.streaming import dropfolder
 from tests import project
 
@@ -59,6 +60,16 @@ def test_late_siblings_and_changes(spark, drop):
     assert spark.read.parquet(str(base / "small/patterns")).count() == 4
 
 
+def test_no_table_of_paths_goes_through_the_driver(spark, drop, capsys):
+    base, go = drop
+    for name in ("rowList.js", "rowList.html", "rowList.js-meta.xml"):
+        put(base / "in", f"lwc/rowList/{name}", project.SCRIPT if name.endswith(".js") else project.PAGE if name.endswith("html") else project.META)
+    rows = go()
+    extract.components(metadata.scan(spark, str(base / "in"), "acme")).explain()
+    rows.explain()
+    assert rows.count() == 1 and "Broadcast" not in capsys.readouterr().out
+
+
 def test_ingest_with_provenance(spark, drop):
     base, go = drop
     put(base / "in", "objects/Lead/fields/Tier__c.field-meta.xml", project.field("Tier__c"))

@@ -1,6 +1,8 @@
 """Files that are written by tasks and read back, hidden and broken ones among them."""
 
 import os
+import pickle
+import tracemalloc
 
 import pytest
 
@@ -51,6 +53,34 @@ def test_wide_folders_are_dealt_by_size(tmp_path, monkeypatch):
     assert len(shares) == 4 and sorted(f[0] for s in shares for f in s.files) == sorted(str(tmp_path / f"f{k}") for k in range(40))
 
 
+def test_the_driver_holds_some_bytes_for_a_file(tmp_path):
+    """Neither a wide folder nor what was listed is held entry by entry; folders without end don't make as many tasks."""
+    (tmp_path / "wide").mkdir()
+    (tmp_path / "many").mkdir()
+    for k in range(10_000):
+        (tmp_path / "wide" / f"SomeLongNameOfAClass{k}.cls").touch()
+    for k in range(3000):
+        (tmp_path / "many" / f"f{k}").mkdir()
+    reader = filetree.FileTreeStreamReader(str(tmp_path), 0)
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    end, held = peak(reader.latestOffset)
+    assert held < 200_000
+    shares, held = peak(lambda: reader.partitions({"changed": -1}, end))
+    assert len({f[0] for s in shares for f in s.files}) == 10_000
+    assert sum(len(pickle.dumps(s)) for s in shares) < 400_000
+    (tmp_path / "many" / "f7" / "x").touch()
+    shares = filetree.FileTreeReader(str(tmp_path), 8).partitions()
+    assert len(shares) < 200 and len({f for s in shares for f in s.folders}) == 3000
+    assert len({row for s in shares for batch in filetree._read(str(tmp_path), s) for row in batch["path"].to_pylist()}) == 10_001
+
+
 def test_missing_and_vanished(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
         filetree.read_tree(spark, str(tmp_path / "none")).collect()
